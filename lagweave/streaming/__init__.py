@@ -1,0 +1 @@
+"""Every source here is a finished table: no streaming operator exists to be rebuilt, so none is offered."""
