@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import cleaning, timeseries
 from .base import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning", "timeseries"]
 FLAGSHIP = "rus_modalities"
