@@ -129,14 +129,16 @@ def coupling(p: np.ndarray, cap: int = 600, stop: float = 1e-10, inner: int = 30
     value, change, rounds = joint_information(q), np.full(len(p), np.inf), np.zeros(len(p), "i8")
     todo = np.arange(len(p))
     for _ in range(cap):
-        q[todo] = scaled(np.broadcast_to(q[todo].sum(1, keepdims=True), q[todo].shape), rows[todo], columns[todo], inner)
+        pooled = q[todo].sum(1, keepdims=True)
+        pooled = np.where(pooled > 0, np.maximum(pooled, 1e-60), 0)  # else what fades out ends in 0 / 0
+        q[todo] = scaled(np.broadcast_to(pooled, q[todo].shape), rows[todo], columns[todo], inner)
         now = joint_information(q[todo])
         change[todo], value[todo] = np.abs(value[todo] - now), now
         rounds[todo] += 1
         todo = todo[change[todo] >= stop]
         if not len(todo):
             break
-    return scaled(q, rows, columns, 500), rounds, change
+    return scaled(np.where(q > 0, np.maximum(q, 1e-60), 0), rows, columns, 500), rounds, change
 
 
 def tensors(cells: pd.Series) -> np.ndarray:

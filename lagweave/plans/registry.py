@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, timeseries
+from . import cleaning, information, timeseries
 from .base import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning", "timeseries"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning", "information", "timeseries"]
 FLAGSHIP = "rus_modalities"
