@@ -87,7 +87,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", F.col("quality").cast("long").alias("y"), ((F.col("n_chars") % 97) / 97.0).alias("score"))
 
 
-SCORES = "scores AS (SELECT doc_id, CAST(quality AS BIGINT) AS y, (n_chars % 97) / 97.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
+SCORES = "WITH scores AS (SELECT doc_id, CAST(quality AS BIGINT) AS y, (n_chars % 97) / 97.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
 
 
 def routing(spark: SparkSession, d: str) -> DataFrame:
