@@ -115,9 +115,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         rows = rows.sort_values("vec_id")
         tree = VantageTree(rows["vec_id"].to_numpy("i8"), np.stack(rows["embedding"].to_numpy()))
         own = asked["vec_id"].to_numpy("i8")
-        score, ids = tree.search(own, np.stack(asked["embedding"].to_numpy()), k, factor)
+        points = np.stack(asked["embedding"].to_numpy())
+        score, ids = tree.search(own, points, k, factor)
         there = np.isfinite(score)
-        return pd.DataFrame({"query_id": np.repeat(own, there.sum(1)), "vec_id": ids[there], "score": score[there]})
+        near, of = ids[there], np.repeat(np.arange(len(own)), there.sum(1))
+        # scores are summed number by number, so their last digit doesn't depend on a library's order
+        squares = (points[of] - tree.vectors[np.searchsorted(tree.ids, near)]) ** 2
+        total = np.zeros(len(near))
+        for x in squares.T:
+            total += x
+        return pd.DataFrame({"query_id": own[of], "vec_id": near, "score": np.sqrt(total)})
 
     keys = ["_shard", "_block", "_width"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")

@@ -14,6 +14,8 @@ from .common import written
 #: A marginal's target share goes as its natural share to this power: below 1 evens a dimension out.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 ROUNDS, SEED = 8, 17
+WORD = r"[^ \t\n\x0B\f\r]+"
+LEGAL = "licen[sc]e|rights reserved|copyright"
 #: Share of the tokens to keep, of what the most wanted cell allows.
 BUDGET = 1.0
 
@@ -22,7 +24,7 @@ def default_topic() -> Column:
     """A coarse topic, by what is in the whole text: contact data, legal lines, tables, or prose."""
     text = F.coalesce("text", F.lit(""))
     return (
-        F.when(F.lower(text).rlike("licen[sc]e|rights reserved|copyright"), "legal")
+        F.when(F.lower(text).rlike(LEGAL), "legal")
         .when(text.contains("@"), "contact")
         .when(text.contains(" | "), "table")
         .otherwise("prose")
@@ -30,9 +32,9 @@ def default_topic() -> Column:
 
 
 def token_count() -> Column:
-    """Words of the whole text, as white space separates them: where a blank or the start is followed by none."""
+    """Words of the whole text, as ASCII white space separates them."""
     text = F.coalesce("text", F.lit(""))
-    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def dimensions(topic: Column | None = None) -> dict[str, Column]:
@@ -64,8 +66,9 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) ->
 
 
 def draw(seed: int = SEED) -> Column:
-    """A number from 0 to 1 that depends on doc_id alone."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    """A number from 0 to 1 that depends on doc_id alone: ten hex digits of a digest that any SQL engine has."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
 def chances(counted: DataFrame, powers: dict[str, float], budget: float, rounds: int, goals: dict[str, DataFrame] | None) -> DataFrame:
@@ -98,3 +101,26 @@ def sampled_documents(docs: DataFrame, powers: dict[str, float] | None = None, b
     chance = chances(counted, powers, budget, rounds, None).withColumnsRenamed({d: f"_{d}" for d in powers})
     held = docs.withColumns({f"_{d}": c for d, c in dimensions(topic).items()}).join(chance, [f"_{d}" for d in powers])
     return held.where((token_count() > 0) & (draw(seed) < F.col("probability"))).select(*docs.columns)
+
+
+def mix_sql(powers: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED) -> str:
+    """What `mix` computes over the table documents, as one DuckDB statement; the probability has six digits."""
+    powers = powers or POWERS
+    dims = ", ".join(powers)
+    parts = [
+        f"""counted AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
+  CASE WHEN regexp_matches(lower(coalesce(text, '')), '{LEGAL}') THEN 'legal' WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS topic,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens,
+  CAST(CAST(concat('0x', substr(md5(concat('{seed}:', coalesce(CAST(doc_id AS VARCHAR), 'none'))), 1, 10)) AS BIGINT) AS DOUBLE) / {float(1 << 40)}::DOUBLE AS draw FROM documents)""",
+        f"w0 AS (SELECT {dims}, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS weight FROM counted WHERE n_tokens > 0 GROUP BY ALL)",
+    ]
+    for d, p in powers.items():
+        parts.append(f"goal_{d} AS (SELECT {d}, t / sum(t) OVER () AS target FROM (SELECT {d}, pow(sum(tokens), {p}::DOUBLE) AS t FROM w0 GROUP BY {d}))")
+    step = 0
+    for _ in range(rounds):
+        for d in powers:
+            step += 1
+            parts.append(f"w{step} AS MATERIALIZED (SELECT {dims}, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{step - 1} JOIN goal_{d} USING ({d}))")
+    parts.append(f"chance AS (SELECT {dims}, least(1.0::DOUBLE, {budget}::DOUBLE * (weight / tokens) / max(weight / tokens) OVER ()) AS p FROM w{step})")
+    chosen = "CASE WHEN n_tokens > 0 THEN coalesce(p, 0) ELSE 0 END"
+    return f"WITH {', '.join(parts)} SELECT doc_id, {dims}, n_tokens, round({chosen}, 6) AS probability, draw < {chosen} AS sampled FROM counted LEFT JOIN chance USING ({dims})"
