@@ -40,8 +40,12 @@ def lag_features(features: Column, lag: Column, lags: int) -> Column:
     return F.concat(features, F.array(*[F.when(lag == k, 1.0).otherwise(0.0) for k in range(lags)]))
 
 
-def prior(df: DataFrame, y: str, classes: int, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.array(*[F.count_if(F.col(y) == k) / F.count("*") for k in range(classes)]).alias("prior"))
+def with_prior(df: DataFrame, y: str, classes: int, keys: Sequence[str] = ()) -> DataFrame:
+    """df with the class shares of its group, or of all rows, as an array."""
+    found = df.groupBy(*keys).agg(F.array(*[F.count_if(F.col(y) == k) / F.count("*") for k in range(classes)]).alias("prior"))
+    if keys:
+        return df.join(found, list(keys))
+    return df.withColumn("prior", F.array(*[F.lit(x) for x in found.first()["prior"] or [0.0] * classes]))
 
 
 def mi_from_posterior(df: DataFrame, keys: Sequence[str], posterior: str, of: str = "prior", unit: str = "bits") -> DataFrame:
@@ -91,10 +95,11 @@ def decompose_learned(df: DataFrame) -> DataFrame:
 
 def learned_terms(df: DataFrame, keys: Sequence[str], classes: int, y: str = "y") -> DataFrame:
     """keys, i1, i2, i12, iq (bits) and the terms, from rows with posteriors p1, p2, p12 and a batch_id."""
-    rows = df.join(prior(df, y, classes, keys), list(keys)) if keys else df.crossJoin(F.broadcast(prior(df, y, classes)))
-    parts = rows.groupBy(*keys).agg(*[(F.avg(kl(F.col(p), F.col("prior"))) / math.log(2)).alias(i) for p, i in (("p1", "i1"), ("p2", "i2"), ("p12", "i12"))])
-    q = batch_couplings(df, keys).groupBy(*keys).agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"))
-    return decompose_learned(parts.join(q, list(keys)) if keys else parts.crossJoin(F.broadcast(q)))
+    keyed = keys or ["_all"]
+    rows = with_prior(df, y, classes, keys).withColumn("_all", F.lit(0))
+    parts = rows.groupBy(*keyed).agg(*[(F.avg(kl(F.col(p), F.col("prior"))) / math.log(2)).alias(i) for p, i in (("p1", "i1"), ("p2", "i2"), ("p12", "i12"))])
+    q = batch_couplings(df.withColumn("_all", F.lit(0)), keyed).groupBy(*keyed).agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"))
+    return decompose_learned(parts.join(q, list(keyed)).drop("_all"))
 
 
 def reduce_dims(df: DataFrame, features: str, k: int, method: str = "pca", seed: int = 0, to: str = "reduced") -> DataFrame:

@@ -17,13 +17,13 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
-def ranked(df: DataFrame, key: str, seed: int, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, key: str, seed: int, buckets: int = 4096) -> DataFrame:
     """rank: 0-based place of each row in the hash order, without one task that sorts all rows.
 
-    The order's first hex digits deal the rows into ranges; counts of the ranges before, a table of at most
+    The hash deals the rows into equal ranges of its own order; counts of the ranges before, a table of at most
     `buckets` rows, give each its start.
     """
-    h = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % buckets)
+    h = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
     sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     placed = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))

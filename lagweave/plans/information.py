@@ -259,7 +259,7 @@ def posteriors(df, keys=()):
 
 @query(STATES + ", one AS (SELECT 1 AS k, b1, y AS yb, count(*) AS n FROM s GROUP BY ALL) SELECT round(mi / ln(2), 5) AS mi FROM " + mi_sql("b1", "yb", "one", "k"))
 def mi_from_posterior(spark, d):
-    s = posteriors(states(spark, d)).crossJoin(F.broadcast(L.prior(states(spark, d), "y", CLASSES)))
+    s = L.with_prior(posteriors(states(spark, d)), "y", CLASSES)
     return L.mi_from_posterior(s, [], "p1").select(F.round("mi", 5).alias("mi"))
 
 
