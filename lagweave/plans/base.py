@@ -14,11 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, name: str | None = None) -> Callable:
     def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register

@@ -145,8 +145,8 @@ def reorder_drop_columns(spark, d):
 @query("""WITH parts AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '20241301' ELSE strftime(ts, '%Y%m%d') END AS day,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat(CAST(CAST(strftime(ts, '%H%M%S') AS BIGINT) AS VARCHAR), '.250') END AS time FROM events)
 SELECT event_id, CAST(epoch(try_strptime(concat(lpad(day, 8, '0'), lpad(coalesce(split_part(time, '.', 1), '0'), 6, '0')), '%Y%m%d%H%M%S')) AS BIGINT) AS at FROM parts
-WHERE try_strptime(concat(lpad(day, 8, '0'), lpad(coalesce(split_part(time, '.', 1), '0'), 6, '0')), '%Y%m%d%H%M%S') IS NOT NULL""")
-def compose_datetimes(spark, d):
+WHERE try_strptime(concat(lpad(day, 8, '0'), lpad(coalesce(split_part(time, '.', 1), '0'), 6, '0')), '%Y%m%d%H%M%S') IS NOT NULL""", "compose_datetime")
+def composed(spark, d):
     day = F.when(F.col("event_id") % 17 == 0, "20241301").otherwise(F.date_format("ts", "yyyyMMdd"))
     time = F.when(F.col("event_id") % 5 != 0, F.concat(F.date_format("ts", "HHmmss").cast("long").cast("string"), F.lit(".250")))
     at = compose_datetime(day, time)

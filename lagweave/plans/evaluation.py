@@ -15,6 +15,8 @@ from lagweave.operators import series as S
 from lagweave.operators.aggregate import apply_standardizer as standardized
 from lagweave.operators.aggregate import fit_standardizer as fit_scaler
 from lagweave.functions import arrays as A
+from lagweave.functions.dates import compose_datetime
+from lagweave.operators.joins import interval_join_first
 from lagweave.sources import readers as X
 
 from .base import MEASURES, ROUTING, SCORES, SERIES, STAYS, measures, query, routing, scores, series, stays, table
@@ -89,6 +91,27 @@ def write_predictions(spark, d):
     return spark.read.parquet(path)
 
 
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS size, CAST(len(string_split(coalesce(text, ''), chr(10))) AS DOUBLE) AS lines FROM documents")
+def udf_encoder(spark, d):
+    """An encoder given by the user: here, length and number of lines."""
+    coded = X.batch_map(table(spark, d, "documents").select("doc_id", "text"), "text", "v", lambda: lambda texts: [[float(len(t or "")), float((t or "").count("\n") + 1)] for t in texts])
+    return coded.select("doc_id", F.get("v", F.lit(0)).alias("size"), F.get("v", F.lit(1)).alias("lines"))
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def write_parquet(spark, d):
+    path = scratch(spark, "written")
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.partitionBy("o_orderstatus").parquet(path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("WITH z AS (SELECT 1)" + RUS + " SELECT mod1, CAST(count(*) AS BIGINT) AS lags, round(max(r), 6) AS most FROM t GROUP BY mod1")
+def read_results_flat(spark, d):
+    path = scratch(spark, "results")
+    X.write_results(X.nest_results(term_rows(spark, d), ["cohort", "mod1"]), path, "cohort")
+    return X.read_results_flat(spark, path).groupBy("mod1").agg(F.count("*").alias("lags"), F.round(F.max("R"), 6).alias("most"))
+
+
 @query("SELECT event_type AS method, CAST(user_id % 8 AS BIGINT) AS run_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'view' GROUP BY ALL")
 def run_tag(spark, d):
     """Runs are partition columns, so one run's results are found by pruning."""
@@ -151,6 +174,32 @@ def task_los(spark, d):
     return task_rows(spark, d).groupBy("split").agg(F.count("*").alias("stays"), F.sum(label).alias("positive"))
 
 
+@query(TASK + " SELECT split, CAST(count(*) AS BIGINT) AS stays, CAST(sum(n) AS BIGINT) AS rows_seen FROM cut GROUP BY split")
+def write_stays(spark, d):
+    """Nested stays by split, with the scaler's parameters beside them, written and read back."""
+    path = scratch(spark, "stays")
+    t = task_rows(spark, d)
+    e = table(spark, d, "events").select(F.col("user_id").alias("subject"), "ts", "event_id", "value")
+    rows = died(spark, d).join(e, "subject").where(F.col("ts").between(F.col("admittime"), F.col("admittime") + F.expr("interval 48 hours")))
+    nested = H.ordered(rows, "hadm_id", "ts", ["event_id", "value"], "series")
+    t.select("hadm_id", "died", "split").join(nested, "hadm_id").write.partitionBy("split").parquet(f"{path}/stays")
+    fit_scaler(t.where("split = 'train'"), ["value"]).write.parquet(f"{path}/scaler")
+    return spark.read.parquet(f"{path}/stays").groupBy("split").agg(F.count("*").alias("stays"), F.sum(F.size("series")).alias("rows_seen"))
+
+
+IMAGES = TWO + ", shot AS (SELECT event_id, user_id, date_trunc('second', ts) AS at FROM events WHERE event_id % 17 <> 0), inside AS (SELECT x.event_id, s.stay_id, row_number() OVER (PARTITION BY x.event_id ORDER BY s.intime, s.stay_id) AS r FROM shot x JOIN stays s ON s.subject = x.user_id AND x.at BETWEEN s.intime AND s.outtime)"
+
+
+@query(IMAGES + " SELECT x.event_id, CAST(epoch(x.at) AS BIGINT) AS at, i.stay_id, round(date_diff('microsecond', s.intime, x.at) / 3.6e9, 6) AS icu FROM shot x LEFT JOIN (SELECT * FROM inside WHERE r = 1) i USING (event_id) LEFT JOIN stays s USING (stay_id)")
+def build_images(spark, d):
+    """Image metadata whose date and time come as numbers, invalid ones dropped, with the stay they fall in."""
+    day = F.when(F.col("event_id") % 17 == 0, "20241301").otherwise(F.date_format("ts", "yyyyMMdd"))
+    time = F.concat(F.date_format("ts", "HHmmss").cast("long").cast("string"), F.lit(".5"))
+    shots = table(spark, d, "events").select("event_id", F.col("user_id").alias("subject"), compose_datetime(day, time).cast("timestamp_ntz").alias("at")).where("at is not null")
+    found = interval_join_first(shots, stays(spark, d), ["subject"], "event_id", "at", "stay_id", "intime", "outtime")
+    return found.select("event_id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("at"), "stay_id", F.round(S.hours_between(F.col("intime"), F.col("at")), 6).alias("icu"))
+
+
 @query("WITH " + MEASURES + " SELECT subject, CAST(floor(epoch(charttime) / 3600) AS BIGINT) AS hour, " + ", ".join(f"arg_min(valuenum, event_id) FILTER (event = '{e}') AS \"{e}\"" for e in ("click", "view")) + " FROM measures WHERE event IN ('click', 'view') GROUP BY ALL")
 def build_irregular_series(spark, d):
     from lagweave.operators.aggregate import pivot_first as pivot

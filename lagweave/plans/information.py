@@ -133,6 +133,14 @@ def multi_lag_pid(spark, d):
     return identities(I.pid(hist(spark, d, 2), K))
 
 
+@query(SERIES + ", hist AS (SELECT event_type, CAST(x2 % 4 AS BIGINT) AS b1, CAST(floor(x1 / 40) AS BIGINT) % 3 AS b2, CAST(event_id % 2 AS BIGINT) AS yb, count(*) AS n FROM series GROUP BY ALL), i1 AS " + mi_sql("b1", "yb", keys="event_type") + ", i2 AS " + mi_sql("b2", "yb", keys="event_type") + ", i12 AS " + mi_sql("b1, b2", "yb", keys="event_type") + " SELECT event_type, round(i1.mi, 6) AS r_u1, round(i2.mi, 6) AS r_u2, round(i12.mi, 6) AS total FROM i1 JOIN i2 USING (event_type) JOIN i12 USING (event_type)")
+def udf_pid_solver(spark, d):
+    """The solver over any grouped cells a user brings."""
+    s = series(spark, d).select("event_type", (F.col("x2") % 4).cast("long").alias("b1"), (F.floor(F.col("x1") / 40) % 3).cast("long").alias("b2"), (F.col("event_id") % 2).alias("yb"))
+    found = I.pid(s.groupBy("event_type", "b1", "b2", "yb").agg(F.count("*").alias("n")), ["event_type"])
+    return identities(found.withColumnRenamed("event_type", "subject")).withColumnRenamed("subject", "event_type")
+
+
 @query(INFO0 + " SELECT subject, i12.mi >= 0 AS gap_ok FROM i12")
 def synergy_gap(spark, d):
     return I.pid(hist(spark, d, 0), ["subject"]).select("subject", (F.col("S") >= -1e-6).alias("gap_ok"))

@@ -364,6 +364,26 @@ def divergences(spark, d):
     return routing(spark, d).select("event_id", F.round(A.kl(p, u), 6).alias("kl"), F.round(A.jsd(p, u), 6).alias("jsd"))
 
 
+@query(SOFT + " SELECT event_id, round(sum(ln(p)), 6) AS total FROM soft GROUP BY event_id")
+def log_softmax(spark, d):
+    return routing(spark, d).select("event_id", F.round(A.total(A.log_softmax(F.col("logits"))), 6).alias("total"))
+
+
+PARTS = SOFT + ", two AS (SELECT a.event_id, a.expert, a.p, b.p AS q FROM soft a JOIN soft b ON b.event_id = a.event_id AND b.expert = 7 - a.expert)"
+
+
+@query(PARTS + " SELECT event_id, round(sum(p * ln(p / q)), 6) AS kl FROM two GROUP BY event_id")
+def kl(spark, d):
+    p = A.softmax(F.col("logits"))
+    return routing(spark, d).select("event_id", F.round(A.kl(p, F.reverse(p)), 6).alias("kl"))
+
+
+@query(PARTS + " SELECT event_id, round(sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2, 6) AS jsd FROM two GROUP BY event_id")
+def jsd(spark, d):
+    p = A.softmax(F.col("logits"))
+    return routing(spark, d).select("event_id", F.round(A.jsd(p, F.reverse(p)), 6).alias("jsd"))
+
+
 @query("WITH rows AS (SELECT event_id, value AS r, value * 2 AS mi FROM events) SELECT event_id, round(CASE WHEN mi > 1e-9 THEN r / mi ELSE 0 END, 6) AS \"R_norm\" FROM rows")
 def normalize_terms(spark, d):
     rows = table(spark, d, "events").select("event_id", F.col("value").alias("R"), F.lit(0.0).alias("U1"), F.lit(0.0).alias("U2"), F.lit(0.0).alias("S"), (F.col("value") * 2).alias("MI"))
