@@ -118,11 +118,11 @@ def joint_information(p: np.ndarray) -> np.ndarray:
     return (p * np.log(np.where(p > 0, p, 1) / np.where(p > 0, outer, 1))).sum((-3, -2, -1))
 
 
-def coupling(p: np.ndarray, cap: int = 600, stop: float = 1e-10, inner: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coupling(p: np.ndarray, cap: int = 600, stop: float = 1e-10, inner: int = 30, polish: int = 500, close: float = 1e-13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all joints with p's (x1, y) and (x2, y) margins the one with the least I(Y; X1, X2); rounds and last change.
 
     p is [group, y, x1, x2], each group adding up to 1; all groups are solved together and each stops when
-    its objective stands still. A round scales, class by class, the pooled joint to the two margins, then pools the classes.
+    its objective moves less than `stop`. A round scales, class by class, the pooled joint to the two margins, then pools the classes.
     """
     rows, columns, mass = p.sum(3), p.sum(2), p.sum((2, 3))
     q = over(rows[..., :, None] * columns[..., None, :], mass[..., None, None])
@@ -138,7 +138,7 @@ def coupling(p: np.ndarray, cap: int = 600, stop: float = 1e-10, inner: int = 30
         todo = todo[change[todo] >= stop]
         if not len(todo):
             break
-    return scaled(np.where(q > 0, np.maximum(q, 1e-60), 0), rows, columns, 500), rounds, change
+    return scaled(np.where(q > 0, np.maximum(q, 1e-60), 0), rows, columns, polish, close), rounds, change
 
 
 def tensors(cells: pd.Series) -> np.ndarray:

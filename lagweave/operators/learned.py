@@ -76,7 +76,7 @@ def batch_couplings(df: DataFrame, keys: Sequence[str], p1: str = "p1", p2: str
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         p = batch_joint(np.stack(rows[p1].to_numpy()), np.stack(rows[p2].to_numpy()))
-        q, _, _ = coupling(p, cap=rounds, inner=10)
+        q, _, _ = coupling(p, cap=rounds, stop=1e-5, inner=10, polish=200, close=1e-6)
         off = max(np.abs(q.sum(3) - p.sum(3)).max(), np.abs(q.sum(2) - p.sum(2)).max())
         found = {"rows": len(rows), "i_start": float(joint_information(p)[0]), "i_q": float(joint_information(q)[0]), "off": float(off)}
         return pd.DataFrame([dict(zip((*keys, batch), key, strict=True)) | found])
