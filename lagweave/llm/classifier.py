@@ -18,6 +18,8 @@ from .common import map_slices, sample_of
 BITS, SIZE, EPOCHS, RATE, SEED = 18, 8, 5, 1.0, 11
 #: Labelled rows that are fitted, at most: those with the smallest hash of doc_id.
 FITTED = 2000
+#: Longer texts are scored whole, but not fitted: this bounds what reaches the driver.
+LONGEST = 200_000
 THRESHOLD = 0.3
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(1_000_003)
 BLANKS = np.array([9, 10, 11, 12, 13, 32], "u4")
@@ -109,12 +111,12 @@ def held_out() -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FITTED) -> DataFrame:
-    """text and quality of rows that may be learned from, at most so many. Null labels and texts are left out.
+    """text and quality of rows that may be learned from, at most so many. Null labels and texts, and texts above LONGEST, are left out.
 
     The bounded set of ids is broadcast; only its texts leave the scan.
     """
     some = sample_of(labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")), rows, "doc_id")
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
+    return docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FITTED) -> Model:

@@ -29,8 +29,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TAGS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 NEAR = re.compile(r"[0-9@]")
-#: Rows of the labelled table, at most; and passes over it.
-LABELLED, PASSES, SEED = 1500, 12, 3
+#: Documents that are labelled, token runs of theirs that are fitted (each of at most LONGEST tokens), and passes over them.
+LABELLED, RUNS, LONGEST, PASSES, SEED = 1500, 3000, 40, 12, 3
 
 
 def digits(text: str) -> str:
@@ -230,7 +230,6 @@ def labelled_runs(text: str) -> list[tuple[list[str], list[int]]]:
 
 def augmented(single: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
     """The labelled runs; runs of two random ones joined, as numbers do follow each other; some phones without the plus sign."""
-    single = [r for r in single if len(r[0]) <= 40]
     order = np.random.default_rng(SEED).permutation(len(single)).tolist()
     joined = [(single[a][0] + single[b][0], single[a][1] + single[b][1]) for a, b in zip(order, order[1:], strict=False) if any(single[a][1]) and any(single[b][1])]
     first = TAGS.index("B-phone")
@@ -239,14 +238,15 @@ def augmented(single: list[tuple[list[str], list[int]]]) -> list[tuple[list[str]
 
 
 def train(docs: DataFrame, rows: int = LABELLED) -> Field | None:
-    """From a small table labelled by the base patterns: at most so many documents with an at sign or four digits in a row."""
+    """From a small table labelled by the base patterns: at most RUNS runs of so many documents with an at sign or four digits in a row."""
     some = docs.where(F.col("text").rlike("@|[0-9]{4}")).select(F.xxhash64("text").alias("h"), "text")
     ids = sample_of(some.select("h").distinct(), rows, "h")
     found = some.join(F.broadcast(ids), "h")
     pairs = "array<struct<words:array<string>,tags:array<int>>>"
     label = lambda b: {"h": b["h"], "runs": [[{"words": w, "tags": t} for w, t in labelled_runs(x)] for x in b["text"].to_pylist()]}
-    got = map_slices(found, label, f"h long, runs {pairs}").groupBy("h").agg(F.first("runs").alias("runs")).collect()
-    return fit(augmented([(list(r["words"]), list(r["tags"])) for x in sorted(got, key=lambda r: r["h"]) for r in x["runs"]]))
+    every = map_slices(found, label, f"h long, runs {pairs}").dropDuplicates(["h"]).select("h", F.posexplode("runs").alias("at", "run"))
+    some = sample_of(every.where(F.size("run.words") <= LONGEST), RUNS, "h", "at")
+    return fit(augmented([(list(r["run"]["words"]), list(r["run"]["tags"])) for r in some.collect()]))
 
 
 def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
