@@ -22,6 +22,8 @@ from .common import lookup, map_slices, written
 MOST_BITS = 3
 #: Fingerprints of a cell that one task compares; a fuller cell is compared in pairs of blocks.
 BLOCK = 1024
+#: Fingerprints that one task turns into keys: they are a few bytes, their 26 keys each are not.
+SPREAD = 20_000
 EVEN_BITS = 0x5555555555555555
 
 
@@ -138,7 +140,7 @@ def links(groups: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     """
     if not 0 <= bits <= MOST_BITS:
         raise ValueError(f"bits must be 0 to {MOST_BITS}")
-    keys = grid_keys(groups)
+    keys = grid_keys(groups.repartition(max(1, -(-groups.count() // SPREAD))))
     full = keys.groupBy("cell").agg(F.count("*").alias("n"), F.min("step").alias("least")).where("n > 1 and least = 0")
     blocks = full.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = keys.join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -207,5 +209,6 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> D
 
 def one_of_each(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> DataFrame:
     """The documents whose doc_id names their component, all columns; a repeated doc_id keeps each of its rows there."""
-    keep = near_duplicates(docs, bits, words).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_named")  # null ids match each other
+    keep = near_duplicates(docs, bits, words).where("doc_id = component_id or component_id is null").select(key).distinct()
+    return docs.select("*", key).join(keep, "_named", "left_semi").drop("_named")

@@ -269,7 +269,9 @@ def test_simhash(spark):
         if k is not None:
             least[comp[f]] = min(k, least.get(comp[f], k))
     assert got == sorted(((k, f"{f:016x}", least.get(comp[f])) for k, f in fps), key=repr)
-    assert simhash.near_duplicates(empty(spark)).count() == 0
+    kept = sorted((r["doc_id"] for r in simhash.one_of_each(table(spark, rows)).collect()), key=repr)
+    assert kept == sorted((k for k, f in fps if k == least.get(comp[f])), key=repr)
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).columns == empty(spark).columns
 
 
 @pytest.mark.parametrize("spread", [2, 64])
