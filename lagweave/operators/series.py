@@ -119,3 +119,17 @@ def timeline_interp(knots: DataFrame, keys: Sequence[str], steps: int, value: st
     k = k.groupBy(*keys, "t").agg(F.max_by(value, "lag").alias(value))
     grid = k.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("t"))
     return interpolate_linear(grid.join(k, [*keys, "t"], "left"), keys, "t", [value])
+
+
+def timeline_symmetric(rows: DataFrame, value: str) -> DataFrame:
+    """(m1, m2, t, value) in both orders, for terms that belong to a pair; a pair that comes twice counts once."""
+    both = F.array(F.struct(F.col("mod1").alias("m1"), F.col("mod2").alias("m2")), F.struct(F.col("mod2").alias("m1"), F.col("mod1").alias("m2")))
+    flat = rows.select(F.explode(both).alias("m"), F.col("t").cast("long").alias("t"), value).select("m.m1", "m.m2", "t", value)
+    return flat.groupBy("m1", "m2", "t").agg(F.first(value).alias(value))
+
+
+def timeline_unique(rows: DataFrame, u1: str, u2: str) -> DataFrame:
+    """(m, t, u): the largest unique term of a modality over its pairs, at least 0."""
+    each = F.array(F.struct(F.col("mod1").alias("m"), F.col(u1).alias("u")), F.struct(F.col("mod2").alias("m"), F.col(u2).alias("u")))
+    flat = rows.select(F.explode(each).alias("x"), F.col("t").cast("long").alias("t"))
+    return flat.groupBy("x.m", "t").agg(F.greatest(F.lit(0.0), F.max("x.u")).alias("u"))

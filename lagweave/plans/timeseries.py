@@ -214,8 +214,13 @@ def rus_rows(spark, d):
 
 @query("WITH z AS (SELECT 1)" + RUS + ", t AS (SELECT mod1, mod2, CAST(t AS BIGINT) AS t, r FROM rus JOIN range(0, 10) s(t) ON least(t // 2, 3) = k) SELECT mod1 AS m1, mod2 AS m2, t, round(r, 6) AS r FROM t UNION ALL SELECT mod2, mod1, t, round(r, 6) FROM t")
 def rus_timeline_segments(spark, d):
-    t = S.timeline_segments(rus_rows(spark, d), 10, 4).select("mod1", "mod2", F.col("t").cast("long").alias("t"), F.round("r", 6).alias("r"))
-    return t.toDF("m1", "m2", "t", "r").union(t.select("mod2", "mod1", "t", "r"))
+    return S.timeline_symmetric(S.timeline_segments(rus_rows(spark, d), 10, 4).withColumn("r", F.round("r", 6)), "r")
+
+
+@query("WITH z AS (SELECT 1)" + RUS + ", t AS (SELECT mod1, mod2, CAST(t AS BIGINT) AS t, r FROM rus JOIN range(0, 10) s(t) ON least(t // 2, 3) = k) SELECT m, t, round(greatest(0, max(u)), 6) AS u FROM (SELECT mod1 AS m, t, r AS u FROM t UNION ALL SELECT mod2, t, r / 2 FROM t) GROUP BY ALL")
+def rus_timeline_unique(spark, d):
+    t = S.timeline_segments(rus_rows(spark, d).withColumn("half", F.col("r") / 2), 10, 4)
+    return S.timeline_unique(t, "r", "half").withColumn("u", F.round("u", 6))
 
 
 @query("WITH z AS (SELECT 1)" + RUS + """, grid AS (SELECT mod1, mod2, CAST(t AS BIGINT) AS t FROM (SELECT DISTINCT mod1, mod2 FROM rus), range(0, 10) s(t)),
