@@ -175,10 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node that has a link, and one node of its component. Large-star and small-star rounds.
 
     Each round points a node's neighbours at the smallest of them; the rounds end when no root is itself a
-    child. A round's links are written, so its lineage ends there. Hubs are salted.
+    child and no child has two roots. A round's links are written, so its lineage ends there. Hubs are salted.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("root")).distinct(), "links")
-    while not now.join(now.select(F.col("child").alias("root")), "root", "left_semi").isEmpty():
+    while not (now.groupBy("child").count().where("count > 1").isEmpty() and now.join(now.select(F.col("child").alias("root")), "root", "left_semi").isEmpty()):
         both = now.union(now.select("root", "child"))
         least = both.groupBy("child").agg(F.least(F.min("root"), F.col("child")).alias("m"), F.count("*").alias("n"))
         large = lookup(both, written(least, "least"), "child", "n").where("root > child").select(F.col("root").alias("child"), F.col("m").alias("root")).where("child <> root").distinct()

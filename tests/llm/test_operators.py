@@ -294,6 +294,16 @@ def test_links_lose_no_component(spark, spread, monkeypatch):
     assert len({(want[f], r) for f, r in found.items()}) == len({want[f] for f in found}) == len(set(found.values()))
 
 
+@pytest.mark.parametrize("chains", [False, True])
+def test_components_of_raw_links(spark, chains):
+    """Stars whose centre is the largest node, where no root is a child from the start; and chains of random nodes."""
+    nodes = random.Random(3).sample(range(1000, 9000), 300)
+    shapes = [list(zip(p, p[1:], strict=False)) for p in (nodes[k : k + 10] for k in range(0, 300, 10))] if chains else [[(10, 90), (20, 90)], [(-5, 99), (3, 99), (7, 99)], [(200, 201)]]
+    edges = spark.createDataFrame([e for shape in shapes for e in shape], "a long, b long").repartition(3)
+    got = sorted(tuple(r) for r in simhash.components(edges).collect())
+    assert got == sorted((n, min(min(e) for e in shape)) for shape in shapes for n in {n for e in shape for n in e})
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = set(wordpiece.read_pieces(path))
