@@ -13,12 +13,10 @@ from .common import map_slices
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
-#: Bounds of the rates: symbols a word, capitals a character, words equal to the one before.
-ORDINARY = {"symbols": (0.0, 0.3), "upper": (0.06, 0.2), "equal": (0.1, 0.5)}
 UPPER = bytes(range(65, 91))
 TREES, SAMPLE, SEED = 100, 256, 5
-#: Share of the labelled good rows that the threshold may reject.
-LOST = 0.002
+#: Thresholds between 0 and 1 that are tried.
+STEPS = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_next_equal")
 
 
@@ -47,13 +45,14 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def rates(rows: np.ndarray) -> np.ndarray:
-    """What the forest sees of COUNTS: rates, so length alone makes no outlier, between the ORDINARY bounds.
+    """What the forest sees of COUNTS: a rate between 0 and 1 for each statistic, so length alone makes no outlier.
 
-    Below its lower bound a rate says nothing: a short clean text has a noisy one.
+    A mean word length has no upper end: it is taken as x² / (x² + 5²); so are symbols a word, as x / (x + 1).
     """
-    n, chars, symbols, _, _, upper, equal = rows.T.astype("f8")
+    n, chars, symbols, lines, repeated, upper, equal = rows.T.astype("f8")
     words, chars = np.maximum(n, 1), np.maximum(chars, 1)
-    return np.stack([np.clip(x, *ORDINARY[k]) for k, x in (("symbols", symbols / words), ("upper", upper / chars), ("equal", equal / words))], 1)
+    mean = (chars / words) ** 2
+    return np.stack([mean / (mean + 25), symbols / (symbols + words), lines / words, repeated / words, upper / chars, equal / words], 1)
 
 
 def usual_depth(n: int) -> float:
@@ -62,27 +61,32 @@ def usual_depth(n: int) -> float:
 
 
 class Forest:
-    """Trees of random splits over small samples; short mean paths mark outliers."""
+    """Trees of random splits over small samples; short mean paths mark outliers.
+
+    A split is drawn from the whole of a node's part of the unit cube, not from between its rows: a rate that is the
+    same in all rows splits too, and what no row has comes to an early leaf. Cuts may miss the rows, so trees are
+    half as deep again as usual.
+    """
 
     def __init__(self, points: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         self.size = min(sample, len(points))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, self.size)))))
+        self.depth = max(1, int(np.ceil(1.5 * np.log2(max(2, self.size)))))
         self.trees = [self.grow(points[rng.choice(len(points), self.size, replace=False)], rng) for _ in range(trees)]
 
     def grow(self, points: np.ndarray, rng) -> tuple[np.ndarray, ...]:
         """feature, split, child (the left one; the right one follows), path length at a leaf."""
-        feature, split, child, length, todo = [], [], [], [], [(points, 0)]
+        width = points.shape[1]
+        feature, split, child, length, todo = [], [], [], [], [(points, 0, np.zeros(width), np.ones(width))]
         while len(feature) < len(todo):
-            rows, depth = todo[len(feature)]
-            low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
-            wide = np.flatnonzero(high > low)
-            if depth < self.depth and len(rows) > 1 and len(wide):
-                f = int(rng.choice(wide))
+            rows, depth, low, high = todo[len(feature)]
+            if depth < self.depth and len(rows) > 1:
+                f = int(rng.integers(width))
                 at = rng.uniform(low[f], high[f])
                 for x, y in ((feature, f), (split, at), (child, len(todo)), (length, 0.0)):
                     x.append(y)
-                todo += [(rows[rows[:, f] < at], depth + 1), (rows[rows[:, f] >= at], depth + 1)]
+                cut, left = np.arange(width) == f, rows[:, f] < at
+                todo += [(rows[left], depth + 1, low, np.where(cut, at, high)), (rows[~left], depth + 1, np.where(cut, at, low), high)]
             else:
                 for x, y in ((feature, 0), (split, np.inf), (child, len(feature)), (length, depth + usual_depth(len(rows)))):
                     x.append(y)
@@ -100,24 +104,34 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(usual_depth(self.size), 1e-9))
 
 
-def calibrate(forest: Forest, points: np.ndarray, good: np.ndarray, lost: float = LOST) -> float:
-    """The lowest threshold above which at most this share of the good rows lies; nothing is rejected without good and bad rows."""
-    if good.all() or not good.any():
+def calibrate(forest: Forest, docs: DataFrame, labels: DataFrame) -> float:
+    """The lowest threshold with the largest difference of the shares of bad and good rows above it.
+
+    All labelled rows that pass the base rules count, whatever their length; only their number in each of STEPS
+    comes to the driver. Nothing is rejected without good and bad rows.
+    """
+    quality = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scored = apply_rules(docs.where("doc_id is not null"), forest, float("inf")).where("not base_failed")
+    step = F.ceil(F.col("anomaly") * STEPS).cast("int")
+    got = scored.select("doc_id", step.alias("step")).join(quality, "doc_id").groupBy("step", "quality").count().collect()
+    n = np.zeros((2, STEPS + 1), "i8")
+    for r in got:
+        n[r["quality"], r["step"]] = r["count"]
+    if not n.sum(1).all():
         return float("inf")
-    score = forest.score(points)
-    return float(np.quantile(score[good], 1 - lost, method="higher"))
+    bad, good = 1 - n.cumsum(1) / n.sum(1)[:, None]
+    return int(np.argmax(bad - good)) / STEPS
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FITTED) -> tuple[Forest | None, float]:
-    """Forest and threshold from at most so many labelled rows that pass the base rules."""
-    some = labelled(docs, labels, rows)
-    got = map_slices(some, lambda b: {"doc_id": b["doc_id"], "quality": b["quality"], "counts": [list(counts(t)) for t in b["text"].to_pylist()]}, "doc_id long, quality int, counts array<long>").collect()
+    """Forest and threshold. The trees grow from the good ones of at most so many labelled rows that pass the base rules."""
+    some = labelled(docs, labels, rows).where("quality = 1")
+    got = map_slices(some, lambda b: {"doc_id": b["doc_id"], "counts": [list(counts(t)) for t in b["text"].to_pylist()]}, "doc_id long, counts array<long>").collect()
     got = sorted((r for r in got if not fails(r["counts"])), key=lambda r: (r["doc_id"], r["counts"]))
     if not got:
         return None, float("inf")
-    points, good = rates(np.array([r["counts"] for r in got])), np.array([r["quality"] == 1 for r in got])
-    forest = Forest(points)
-    return forest, calibrate(forest, points, good)
+    forest = Forest(rates(np.array([r["counts"] for r in got])))
+    return forest, calibrate(forest, docs, labels)
 
 
 def fails(row: list[int]) -> bool:

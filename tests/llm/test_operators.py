@@ -196,6 +196,18 @@ def test_rules_and_classifier(spark):
     assert rules.apply_rules(docs, *rules.train(docs, labels.where("false"))).where("kept = base_failed").count() == 0
 
 
+def test_rules_see_each_statistic(spark):
+    """Kinds of bad text that no labelled row shows, and a threshold that counts rows beyond the sample and LONGEST."""
+    docs, labels, _ = labelled_table(spark)
+    forest, threshold = rules.train(docs, labels)
+    plain = docs.where("doc_id = 3").first()["text"]
+    kinds = {"capitals": plain.upper(), "next": plain + " same" * 40, "lines": plain + "\nline" * 60, "long": plain.replace(" ", "abcdefghijklmno "), "plain": plain}
+    odd = table(spark, list(enumerate(kinds.values())))
+    kept = {r["doc_id"]: r["kept"] or r["base_failed"] for r in rules.apply_rules(odd, forest, threshold).collect()}
+    assert dict(zip(kinds, map(kept.get, range(5)), strict=True)) == dict.fromkeys(kinds, False) | {"plain": True}
+    assert rules.train(docs, labels, 40)[1] < 1
+
+
 def test_classifier_features_do_not_depend_on_the_slice():
     some = texts()
     together, of = classifier.features(some)
