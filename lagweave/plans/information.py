@@ -146,6 +146,12 @@ def synergy_gap(spark, d):
     return I.pid(hist(spark, d, 0), ["subject"]).select("subject", (F.col("S") >= -1e-6).alias("gap_ok"))
 
 
+@query()
+def multi_lag_pid_terms(spark, d):
+    """What multi_lag_pid, and at lag 0 temporal_pid and synergy_gap, are checked on: all terms, in nats."""
+    return I.pid(hist(spark, d, 2), K)
+
+
 @query(MULTI + ", hist AS (SELECT b1, b2, yb, 1 AS one, count(*) AS n FROM (SELECT " + bin_sql("m1", "a1", "z1", 16) + " AS b1, " + bin_sql("m2", "a2", "z2", 16) + " AS b2, CAST(y AS BIGINT) AS yb FROM e) GROUP BY ALL) SELECT round(i1.mi, 6) AS r_u1, round(i2.mi, 6) AS r_u2, round(i12.mi, 6) AS total FROM " + mi_sql("b1", "yb", keys="one") + " i1, " + mi_sql("b2", "yb", keys="one") + " i2, " + mi_sql("b1, b2", "yb", keys="one") + " i12")
 def temporal_pid_multivariate(spark, d):
     h = joint_hist_multivariate(spark, d).withColumn("lag", F.lit(0).cast("long"))
@@ -291,6 +297,12 @@ def coupling_objective(spark, d):
     return L.batch_couplings(batches(spark, d), []).select("batch_id", (F.col("i_q") <= F.col("i_start") + 1e-6).alias("fell"))
 
 
+@query()
+def coupling_objective_values(spark, d):
+    """Each minibatch's information before and after."""
+    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", "i_start", "i_q", "off")
+
+
 @query()
 def mi_q(spark, d):
     q = L.batch_couplings(batches(spark, d), [])
@@ -334,6 +346,11 @@ def temporal_pid_batch(spark, d):
     return t.select(F.col("lag").cast("long").alias("lag"), ((F.least("R", "U1", "U2", "S") >= 0) & (F.abs(F.col("MI") - F.col("R") - F.col("U1") - F.col("U2") - F.col("S")) < 1e-9)).alias("terms_ok"))
 
 
+@query()
+def temporal_pid_batch_terms(spark, d):
+    return L.learned_terms(by_lag(spark, d, 2), ["lag"], CLASSES)
+
+
 @query()
 def temporal_pid_multiscale(spark, d):
     """Terms by lag from one lag-conditioned model a posterior."""
@@ -365,6 +382,11 @@ def pid_multi_sequence(spark, d):
     return sequence_terms(spark, d).select((F.least("R", "U1", "U2", "S") >= 0).alias("ok"))
 
 
+@query()
+def pid_multi_sequence_terms(spark, d):
+    return sequence_terms(spark, d)
+
+
 @query()
 def rus_stays(spark, d):
     t = sequence_terms(spark, d).withColumn("mod1", F.lit("a")).withColumn("mod2", F.lit("b"))

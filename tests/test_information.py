@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lagweave.operators import info, series
+from lagweave.operators import info, learned, series
+from lagweave.plans import registry
 from lagweave.sources.synthetic import causal_series
 
 BIT = np.log(2)
@@ -81,3 +82,39 @@ def test_histograms_count_before_the_shuffle(spark):
     h = info.joint_hist_multilag(frame(spark, [(1, k, 1.0 * k, 2.0, 0) for k in range(9)]), ["subject"], [("x1", "x2")], "y", 2)
     plan = h._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def brute(p):
+    """Least information about y over the couplings of p[y, 2, 2] for two classes: one free cell a class, on a grid."""
+    cells = []
+    for k, m in enumerate(p):
+        r, c = m.sum(1)[0], m.sum(0)[0]
+        t = np.linspace(max(0, r + c - m.sum()), min(r, c), 401).reshape((-1, 1) if k == 0 else (1, -1))
+        cells.append([t, r - t, c - t, m.sum() - r - c + t])
+    plogp = lambda x: np.where(x > 1e-15, x * np.log(np.maximum(x, 1e-15)), 0)
+    both = sum(plogp(a) + plogp(b) - plogp(a + b) for a, b in zip(*cells, strict=True))
+    return float((both - sum(plogp(m.sum()) for m in p)).min())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_terms_of_a_brute_force_coupling(seed):
+    p = np.random.default_rng(seed).dirichlet(np.ones(8)).reshape(2, 2, 2)
+    i1, i2, i12 = (float(info.joint_information(x[None])[0]) for x in (p.sum(2)[:, :, None], p.sum(1)[:, None, :], p))
+    d, iq = info.decompose(p[None]), brute(p)
+    want = {"R": i1 + i2 - iq, "U1": iq - i2, "U2": iq - i1, "S": i12 - iq, "MI": i12}
+    assert all(abs(float(d[k][0]) - v) < 2e-3 for k, v in want.items())
+
+
+def test_minibatch_coupling_against_brute_force(spark):
+    rows = [(0, [0.9, 0.1], [0.7, 0.3]), (0, [0.2, 0.8], [0.4, 0.6]), (1, [0.55, 0.45], [0.1, 0.9]), (1, [0.95, 0.05], [0.8, 0.2])]
+    df = spark.createDataFrame(rows, "batch_id long, p1 array<double>, p2 array<double>")
+    got = {r["batch_id"]: r["i_q"] for r in learned.batch_couplings(df, []).collect()}
+    for k in (0, 1):
+        p = learned.batch_joint(*(np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2)))[0]
+        assert abs(got[k] - brute(p)) < 2e-3
+
+
+@pytest.mark.parametrize("name", ["multi_lag_pid_terms", "temporal_pid_batch_terms", "pid_multi_sequence_terms"])
+def test_registered_terms(spark, name):
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {"R", "U1", "U2", "S", "MI"} <= set(got.columns) and name not in registry.ORACLES and got.count() > 0
