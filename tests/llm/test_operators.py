@@ -197,7 +197,7 @@ def test_rules_and_classifier(spark):
 
 
 def test_rules_see_each_statistic(spark):
-    """Kinds of bad text that no labelled row shows, and a threshold that counts rows beyond the sample and LONGEST."""
+    """Kinds of bad text that no labelled row shows."""
     docs, labels, _ = labelled_table(spark)
     forest, threshold = rules.train(docs, labels)
     plain = docs.where("doc_id = 3").first()["text"]
@@ -205,7 +205,15 @@ def test_rules_see_each_statistic(spark):
     odd = table(spark, list(enumerate(kinds.values())))
     kept = {r["doc_id"]: r["kept"] or r["base_failed"] for r in rules.apply_rules(odd, forest, threshold).collect()}
     assert dict(zip(kinds, map(kept.get, range(5)), strict=True)) == dict.fromkeys(kinds, False) | {"plain": True}
-    assert rules.train(docs, labels, 40)[1] < 1
+
+
+def test_rules_threshold_counts_all_labelled_rows(spark, monkeypatch):
+    """Bad rows that are all longer than what the trees may grow from still set the threshold."""
+    monkeypatch.setattr(classifier, "LONGEST", 500)
+    docs, labels, truth = labelled_table(spark)
+    assert {truth[r["doc_id"]] for r in classifier.labelled(docs, labels).collect() if r["doc_id"] in truth} == {1}
+    forest, threshold = rules.train(docs, labels)
+    assert threshold < 1 and not any(truth.get(r["doc_id"]) == 0 for r in rules.apply_rules(docs, forest, threshold).where("kept").collect())
 
 
 def test_classifier_features_do_not_depend_on_the_slice():
