@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lagweave.operators import cohort as H
@@ -18,6 +15,7 @@ from lagweave.functions import arrays as A
 from lagweave.functions.dates import compose_datetime
 from lagweave.operators.joins import interval_join_first
 from lagweave.sources import readers as X
+from lagweave.sources.storage import new_path as scratch
 
 from .base import MEASURES, ROUTING, SCORES, SERIES, STAYS, measures, query, routing, scores, series, stays, table
 from .cleaning import LABELLED, TWO, died, two_level
@@ -25,12 +23,6 @@ from .information import RUS, term_rows
 from .timeseries import SOFT, TOP, WINDOWS
 
 
-def scratch(spark, tag: str) -> str:
-    """A new folder that executors share: in the session's checkpoint folder, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query("SELECT user_id AS subject_id, CAST(event_id AS DOUBLE) AS timestamp, CASE WHEN event_id % 7 <> 0 THEN value END AS heart_rate FROM events")
 def scan_sensor_text(spark, d):
     """Written as sensor files, one folder a subject, and read back by the fixed layout."""

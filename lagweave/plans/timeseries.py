@@ -308,7 +308,7 @@ def union_all_events(spark, d):
 
 
 @query("SELECT DISTINCT event_type AS label FROM events WHERE user_id <= 3 UNION SELECT DISTINCT event_type FROM events WHERE user_id > 3")
-def merge_label_sets(spark, d):
+def union_label_sets(spark, d):
     e = table(spark, d, "events")
     return e.where("user_id <= 3").select(F.col("event_type").alias("label")).union(e.where("user_id > 3").select("event_type")).distinct()
 
