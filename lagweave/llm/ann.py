@@ -6,18 +6,35 @@ what the triangle inequality proves. Factor 1 is exact; a larger factor visits f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import file_system, new_path
+
 #: Vectors in a shard, queries in a block, vectors in a leaf.
 SHARD, BLOCK, LEAF = 4096, 2048, 48
+FOUND = "query_id long, vec_id long, score double"
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of columns of a and columns of b, summed number by number: the last digit is the same wherever they are computed."""
+    total = np.zeros((a.shape[1], b.shape[1]))
+    for x, y in zip(a, b, strict=True):
+        d = x[:, None] - y[None, :]
+        total += d * d
+    return np.sqrt(total)
 
 
 class VantageTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> None:
-        self.ids, self.vectors, self.leaf = ids, vectors, leaf
+        self.ids, self.columns, self.leaf = ids, np.ascontiguousarray(vectors.T), leaf
         self.root = self.build(np.arange(len(ids)))
 
     def build(self, rows: np.ndarray) -> tuple:
@@ -25,7 +42,7 @@ class VantageTree:
         if len(rows) <= self.leaf:
             return (rows,)
         vantage, rest = rows[0], rows[1:]
-        far = np.sqrt(((self.vectors[rest] - self.vectors[vantage]) ** 2).sum(1))
+        far = distances(self.columns[:, [vantage]], self.columns[:, rest])[0]
         order = np.argsort(far, kind="stable")
         half = len(rest) // 2
         near, away = order[:half], order[half:]
@@ -38,9 +55,9 @@ class VantageTree:
         node is visited once by the queries that the bound doesn't rule out.
         """
         best, ids = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1, "i8")
-        seen = np.zeros(len(queries), "i8")
-        self.land(self.root, np.arange(len(queries)), own, queries, best, ids, seen)
-        self.visit(self.root, np.arange(len(queries)), own, queries, best, ids, seen, factor)
+        seen, columns = np.zeros(len(queries), "i8"), np.ascontiguousarray(queries.T)
+        self.land(self.root, np.arange(len(queries)), own, columns, best, ids, seen)
+        self.visit(self.root, np.arange(len(queries)), own, columns, best, ids, seen, factor)
         return best, ids
 
     def offer(self, rows: np.ndarray, at: np.ndarray, far: np.ndarray, own: np.ndarray, best: np.ndarray, ids: np.ndarray) -> None:
@@ -56,10 +73,7 @@ class VantageTree:
         best[at], ids[at] = d[line, order], i[line, order]
 
     def take(self, rows: np.ndarray, at: np.ndarray, own, queries, best, ids) -> None:
-        step = max(1, 2_000_000 // (len(rows) * queries.shape[1] or 1))
-        for k in range(0, len(at), step):
-            part = at[k : k + step]
-            self.offer(rows, part, np.sqrt(((queries[part, None, :] - self.vectors[rows]) ** 2).sum(2)), own, best, ids)
+        self.offer(rows, at, distances(queries[:, at], self.columns[:, rows]), own, best, ids)
 
     def gaps(self, node: tuple, far: np.ndarray) -> list[np.ndarray]:
         return [np.maximum(np.maximum(low - far, far - high), 0) for low, high in node[3:]]
@@ -70,7 +84,7 @@ class VantageTree:
         if len(node) == 1:
             seen[at] = id(node)
             return self.take(node[0], at, own, queries, best, ids)
-        near, away = self.gaps(node, np.sqrt(((queries[at] - self.vectors[node[0]]) ** 2).sum(1)))
+        near, away = self.gaps(node, distances(queries[:, at], self.columns[:, [node[0]]])[:, 0])
         self.land(node[1], at[near <= away], own, queries, best, ids, seen)
         self.land(node[2], at[near > away], own, queries, best, ids, seen)
 
@@ -79,7 +93,7 @@ class VantageTree:
             return
         if len(node) == 1:
             return self.take(node[0], at[seen[at] != id(node)], own, queries, best, ids)
-        far = np.sqrt(((queries[at] - self.vectors[node[0]]) ** 2).sum(1))
+        far = distances(queries[:, at], self.columns[:, [node[0]]])[:, 0]
         self.offer(np.array([node[0]]), at, far[:, None], own, best, ids)
         for child, gap in zip(node[1:3], self.gaps(node, far), strict=True):
             # a hair below the proven gap, as distances are rounded
@@ -93,46 +107,60 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(there & F.exists("embedding", lambda x: x != 0)).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, shard: int = SHARD) -> DataFrame:
+def blocks(path: str, width: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """vec_id and vectors of the written queries of one width, block by block."""
+    fs, at = file_system(path)
+    for info in sorted(fs.get_file_info(pa.fs.FileSelector(at)), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(size, columns=["vec_id", "embedding"]):
+                batch = batch.filter(pc.equal(pc.list_value_length(batch["embedding"]), width))
+                if batch.num_rows:
+                    yield batch["vec_id"].to_numpy(), batch["embedding"].flatten().to_numpy().reshape(-1, width)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each query by Euclidean distance, ties to the smaller vec_id.
 
-    Rows are dealt by hash into shards of about `shard` and queries into blocks; each (shard, block) pair is
-    searched in one task and gives k rows a query, so no task holds more than a shard and a block, and
-    nothing is broadcast. Copies of one vector land in all shards alike. Vectors that are null, zero or not
-    finite take no part, nor do rows with a null vec_id; of a repeated vec_id one row (the smallest vector) counts; vectors of another length than the
-    query's are not compared. Fewer than k candidates: all of them. Empty tables give no rows.
+    Rows are dealt by hash into shards of about `shard`. A task builds a shard's tree once and then reads the queries,
+    which are written to the shared folder, block by block past it: it holds a shard and a block, and only rows of the
+    table are shuffled, once. Copies of one vector land in all shards alike. Vectors that are null, zero or not
+    finite take no part, nor do rows with a null vec_id; of a repeated vec_id one row (the smallest vector) counts;
+    vectors of another length than the query's are not compared. Fewer than k candidates: all of them. Empty
+    tables give no rows; extra columns are ignored.
     """
     spread = lambda df: usable(df).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    shards = max(1, -(-vectors.count() // shard))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    width = F.size("embedding").alias("_width")
-    left = spread(vectors).select("vec_id", "embedding", width, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    right = spread(queries).select("vec_id", "embedding", width, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("_shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_block"))
-
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        rows = rows.sort_values("vec_id")
-        tree = VantageTree(rows["vec_id"].to_numpy("i8"), np.stack(rows["embedding"].to_numpy()))
-        own = asked["vec_id"].to_numpy("i8")
-        points = np.stack(asked["embedding"].to_numpy())
-        score, ids = tree.search(own, points, k, factor)
-        there = np.isfinite(score)
-        near, of = ids[there], np.repeat(np.arange(len(own)), there.sum(1))
-        # scores are summed number by number, so their last digit doesn't depend on a library's order
-        squares = (points[of] - tree.vectors[np.searchsorted(tree.ids, near)]) ** 2
-        total = np.zeros(len(near))
-        for x in squares.T:
-            total += x
-        return pd.DataFrame({"query_id": own[of], "vec_id": near, "score": np.sqrt(total)})
-
-    keys = ["_shard", "_block", "_width"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = F.row_number().over(_by_query())
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy("score", "vec_id")
+    shards, path = max(1, -(-vectors.count() // shard)), new_path(vectors.sparkSession, "queries")
+    spread(queries).write.parquet(path)
+    rows = spread(vectors).select("vec_id", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "width", "vec_id")
+
+    def answers(held: list[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([b["vec_id"].to_numpy() for b in held])
+        tree = VantageTree(ids, np.concatenate([b["embedding"].flatten().to_numpy() for b in held]).reshape(-1, width))
+        for own, points in blocks(path, width, block):
+            score, near = tree.search(own, points, k, factor)
+            there = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, there.sum(1))), pa.array(near[there]), pa.array(score[there])], ["query_id", "vec_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            shard_of, width = batch["shard"].to_numpy(), batch["width"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(shard_of) != 0) | (np.diff(width) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if key is not None and key != (shard_of[a], width[a]):
+                    yield from answers(held, int(key[1]))
+                    held = []
+                key = shard_of[a], width[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from answers(held, int(key[1]))
+
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = rows.mapInArrow(search, FOUND).withColumn("rank", best)
+    return found.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,7 +2,8 @@
 
 A text whose characters are all below U+0100 is cut into pre-tokens here: in that range letters, digits
 and white space are fixed, so the cut is the tokenizer's own. Each new pre-token is encoded once by the
-library's model. Any other text goes through the library whole. Both give the same ids.
+library's model. Any other text, and one that holds the string of a special token, goes through the library
+whole. Both give the same ids.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 from tokenizers import Tokenizer
 
@@ -20,8 +22,12 @@ SPACE = "\t-\r \x85\xa0"
 BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_ENDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
-#: Pre-tokens remembered by a worker before it starts anew: about 200 MB.
-REMEMBERED = 1_000_000
+#: Pre-tokens remembered by a worker before it starts anew, and the longest of them: about 200 MB.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Characters of a long text that the library is given at a time.
+CHUNK = 100_000
+#: Where a text can be cut without changing a pre-token: before a blank between two characters that are none.
+SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,16 +44,28 @@ class Known(dict):
         self.tokenize, self.letters, self.code = model.tokenize, byte_letters(), code
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = array(self.code, [x.id for x in self.tokenize(part.translate(self.letters))]).tobytes()
+        ids = array(self.code, [x.id for x in self.tokenize(part.translate(self.letters))]).tobytes()
+        if len(part) <= LONGEST:
+            self[part] = ids
         return ids
 
 
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """Parts of a text, cut at the first seam after each `size` characters; without a seam the rest is one part."""
+    at = 0
+    while at < len(text):
+        seam = SEAM.search(text, at + size) if len(text) > at + size else None
+        end = seam.start() if seam else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     def __init__(self, path: str, lower: bool, code: str = "I") -> None:
         """lower: the vocabulary of lower-case words with word ends; else the byte-level one. code: array code of an id."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.code, self.lower = code, lower
         self.cut = (WORD_ENDS if lower else BYTE_LEVEL).findall
         self.known = Known(self.whole.model, code)
@@ -56,15 +74,21 @@ class Encoder:
         """The ids of a text as unsigned integers in the machine's (little-endian) order; none for null."""
         if not text:
             return b""
+        if any(t in text for t in self.special):
+            return self.by_library([text])
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        parts, known = self.cut(text.lower() if self.lower else text), self.known
+            return self.by_library(chunks(text))
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        parts = self.cut(text.lower() if self.lower else text)
         return b"".join(map(known.__getitem__, parts))
 
+    def by_library(self, parts: Iterable[str]) -> bytes:
+        return b"".join(array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes() for t in parts)
+
 
 _encoders: dict[tuple, Encoder] = {}
 

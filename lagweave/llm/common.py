@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a worker turns into Python objects at a time.
-SLICE = 256
+from lagweave.sources.storage import new_path, shared_dir, written
 
+__all__ = ["file_system", "in_slices", "lookup", "map_slices", "new_path", "one_task_each", "sample_of", "shared_dir", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests, one machine) is a local one set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them again."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+#: Rows, and bytes of them, that a worker turns into Python objects at a time.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +31,17 @@ def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and bytes; a row that is longer comes alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | T.StructType) -> DataFrame:
@@ -71,29 +59,32 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema
     return df.mapInArrow(run, schema)
 
 
-def lookup(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
+def lookup(rows: DataFrame, values: DataFrame, keys: str | Sequence[str], n: str) -> DataFrame:
     """Left join with a table that has one row a key, where n tells how many of the rows have that key.
 
     A key with more than `part` rows is dealt over several salts, so no task gets a hot key whole. There
     are at most 2000 such keys, as n adds up to no more than the number of rows: that bounds the broadcast.
-    Null keys find nothing and are dealt at random.
+    Null keys find nothing. They, and the rows of a hot key, are dealt by their place in their partition, so equal
+    rows are dealt out too; the rows are to come from files or a written table, whose places are the same if a task runs again.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     total = values.agg(F.sum(n)).first()[0] or 0
     part = max(100, total // 2000)
-    hot = F.broadcast(values.where(F.col(n) > part).select(key, F.ceil(F.col(n) / part).cast("int").alias("_salts")))
-    other = [c for c in values.columns if c != key]
-    deal = F.pmod(F.hash(*[c for c in rows.columns if not c.startswith("_")]), F.col("_salts"))
-    left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), deal).otherwise(0)).drop("_salts")
-    right = values.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-    return left.join(right.select(key, "_salt", *other), [key, "_salt"], "left").drop("_salt")
+    hot = F.broadcast(values.where(F.col(n) > part).select(*keys, F.ceil(F.col(n) / part).cast("int").alias("_salts")))
+    other = [c for c in values.columns if c not in keys]
+    place, null = F.monotonically_increasing_id(), F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    salt = F.when(null, F.pmod(place, F.lit(4096))).when(F.col("_salts").isNotNull(), F.pmod(place, F.col("_salts"))).otherwise(0)
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    right = values.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return left.join(right.select(*keys, "_salt", *other), [*keys, "_salt"], "left").drop("_salt")
+
+
+def one_task_each(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows with one task for each: for files, of which the driver knows the names. It is a join by number, and the names are broadcast."""
+    named = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_task long, {schema}")
+    return spark.range(0, len(rows), 1, max(1, len(rows))).withColumnRenamed("id", "_task").join(F.broadcast(named), "_task").drop("_task")
 
 
 def sample_of(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most so many rows, the same ones in every run: those with the smallest hash."""
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)
-
-
-def ragged(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, .. n-1 for each n."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)

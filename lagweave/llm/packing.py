@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_slices
+from .common import map_slices, written
 
-#: Documents that are packed together: enough for tight bins, few enough for one task's memory.
+#: Pieces that are packed together: enough for tight bins, few enough for one task's memory.
 GROUP = 2048
 SEED = 7
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
@@ -55,43 +55,46 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 def token_pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, lower: bool = True, with_ids: bool = False) -> DataFrame:
     """Encode whole texts, end each with end_id and cut them every `size` ids.
 
-    Null and empty texts have the end id alone; a row with a null doc_id is encoded like any other.
+    Null and empty texts have the end id alone; a row with a null doc_id is encoded like any other. place numbers the rows.
     """
 
     def pieces(batch) -> dict:
         encode, out = bpe.encoder(path, lower).encode, {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place", "ids")}
         end = end_id.to_bytes(4, "little")
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for doc, text, place in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "place")), strict=True):
             ids = encode(text) + end
-            n, place = len(ids) // 4, zlib.crc32(ids)  # tells rows of one doc_id apart
+            n = len(ids) // 4
             for at in range(0, n, size):
                 part = ids[4 * at : 4 * (at + size)]
-                for k, v in zip(out, (doc, at, len(part) // 4, zlib.crc32(part), n, place, np.frombuffer(part, "<u4").astype("i8") if with_ids else None), strict=True):
+                row = (doc, at, len(part) // 4, zlib.crc32(part), n, place, np.frombuffer(part, "<u4").astype("i8") if with_ids else None)
+                for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         return out
 
-    return map_slices(docs.select("doc_id", "text"), pieces, PIECES + ", ids array<long>" * with_ids)
+    return map_slices(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")), pieces, PIECES + ", ids array<long>" * with_ids)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the offset they are packed at.
 
-    Documents are dealt at random (by a hash) into groups of about `group`, so no source, key or group of
-    copies gathers in one task, and each group is packed alone by first-fit decreasing. Pieces of exactly
-    `size` ids fill a sequence. Repeated rows of a doc_id are packed each; an empty table gives no rows;
-    extra columns are ignored. sequence_id is the group times 2**24 plus the bin.
+    Documents are dealt at random (by a hash of their place in the table) into groups of about `group` pieces, so no
+    source, key or group of copies gathers in one task, and each group is packed alone by first-fit decreasing. Pieces of
+    exactly `size` ids fill a sequence; they are dealt each for itself, so that a very long document loads no
+    group. Repeated rows of a doc_id are packed each; an empty table gives no rows; extra columns are ignored.
+    The pieces are written, so texts are encoded once. sequence_id is the group times 2**24 plus the bin.
     """
-    pieces = token_pieces(docs, path, end_id, size, with_ids=with_ids)
-    groups = max(1, math.ceil(docs.count() / group))
+    pieces = written(token_pieces(docs, path, end_id, size, with_ids=with_ids), "pieces")
+    groups = max(1, math.ceil(pieces.count() / group))
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "place", "start"], kind="stable")
+        rows = rows.sort_values(["place", "start"], kind="stable")
         bins, rows["offset"] = first_fit_decreasing(rows["length"].tolist(), size)
         rows["sequence_id"] = rows["_group"] * 2**24 + np.array(bins, "i8")
         return rows.drop(columns=["_group", "place"])
 
     kept = [c for c in pieces.columns if c != "place"]
     schema = ", ".join(f"{c} {dict(pieces.dtypes)[c]}" for c in kept) + ", offset long, sequence_id long"
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "place", F.lit(SEED)), F.lit(groups)))
+    alone = F.when(F.col("length") == size, F.col("start")).otherwise(-1)
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("place", alone, F.lit(SEED)), F.lit(groups)))
     result = dealt.groupBy("_group").applyInPandas(packed, schema)
     return result.select(*PIECES.replace(", place long", "").replace(" long", "").split(", "), "sequence_id", "offset", *(["ids"] if with_ids else []))

@@ -2,14 +2,17 @@
 
 The field labels white-space separated tokens with the inside and outside tags of four kinds. Tokens without
 a digit or an at sign are outside by definition, so Viterbi decoding falls apart, exactly, into the runs of
-tokens between them; runs of equal length are decoded together in numpy. The field adds what the patterns
-drop, such as a card number that runs into the next number.
+tokens between them; runs of equal length are decoded together in numpy. A run's features include the plain
+words before and after it. The field adds what the patterns drop, such as a card number that runs into the next
+number, or a phone number without a plus sign after a word that announces one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pii_table
 from .common import map_slices, sample_of
 
 # The kinds in their order and the base patterns.
@@ -29,8 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TAGS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 NEAR = re.compile(r"[0-9@]")
-#: Documents that are labelled, token runs of theirs that are fitted (each of at most LONGEST tokens), and passes over them.
-LABELLED, RUNS, LONGEST, PASSES, SEED = 1500, 3000, 40, 12, 3
+#: Documents that the patterns label, token runs of theirs that are fitted (each of at most LONGEST tokens), and passes over them.
+LABELLED, RUNS, LONGEST, PASSES, SEED = 20_000, 3000, 40, 12, 3
+#: How often the labelled table counts beside them.
+WEIGHT = 5
 
 
 def digits(text: str) -> str:
@@ -100,15 +106,33 @@ def trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens that follow each other with only white space between."""
+@dataclass(frozen=True)
+class Run:
+    """Tokens that follow each other with only white space between, their bounds, and the plain words around them."""
+
+    words: list[str]
+    bounds: list[tuple[int, int]]
+    before: str = ""
+    after: str = ""
+
+
+def plain(word: str) -> str:
+    return word.strip(".,;:!?()\"'").lower()
+
+
+def runs(text: str) -> list[Run]:
     out: list[list[tuple[int, int]]] = []
     for a, b in tokens(text):
         if out and text[out[-1][-1][1] : a].isspace():
             out[-1].append((a, b))
         else:
             out.append([(a, b)])
-    return out
+    found = []
+    for bounds in out:
+        a, b = bounds[0][0], bounds[-1][1]
+        before, after = text[max(0, a - 24) : a].split()[-1:], text[b : b + 24].split()[:1]
+        found.append(Run([text[x:y] for x, y in bounds], bounds, plain("".join(before)), plain("".join(after))))
+    return found
 
 
 def shape(token: str) -> tuple[str, ...]:
@@ -118,27 +142,34 @@ def shape(token: str) -> tuple[str, ...]:
     return ("bias", f"s={full}" if n <= 19 else "s=long", "c=" + re.sub(r"(.)\1+", r"\1", full)[:16], f"n={min(n, 20)}", *(f"has{c}" for c in "@+().-/" if c in token))
 
 
-def token_features(words: list[str]) -> list[list[str]]:
-    own = [shape(w) for w in words]
-    return [[*own[k], *("<" + x for x in (own[k - 1][2:4] if k else ("edge",))), *(">" + x for x in (own[k + 1][2:4] if k + 1 < len(words) else ("edge",)))] for k in range(len(words))]
+def token_features(run: Run, cues: frozenset[str]) -> list[list[str]]:
+    """Features of each token: its own, its neighbours' shapes, and at the ends of a run the word outside, if it is a cue."""
+    own, last = [shape(w) for w in run.words], len(run.words) - 1
+    out = []
+    for k, mine in enumerate(own):
+        left = [f"<w={run.before}"] if k == 0 and run.before in cues else []
+        right = [f">w={run.after}"] if k == last and run.after in cues else []
+        out.append([*mine, *("<" + x for x in (own[k - 1][2:4] if k else ("edge",))), *(">" + x for x in (own[k + 1][2:4] if k < last else ("edge",))), *left, *right])
+    return out
 
 
 @dataclass
 class Field:
-    """Emission weights by feature and tag, transition weights by tag and next tag (the last row and column: edges)."""
+    """Emission weights by feature and tag, transition weights by tag and next tag (the last row and column: edges), and the cue words."""
 
     index: dict[str, int]
     emit: np.ndarray
     move: np.ndarray
+    cues: frozenset[str] = frozenset()
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        return np.stack([self.emit[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in token_features(words)])
+    def scores(self, run: Run) -> np.ndarray:
+        return np.stack([self.emit[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in token_features(run, self.cues)])
 
-    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """The best tags of each sequence: Viterbi, over all sequences of one length at a time."""
+    def decode(self, sequences: list[Run]) -> list[np.ndarray]:
+        """The best tags of each run: Viterbi, over all runs of one length at a time."""
         by_length: dict[int, list[int]] = {}
         for k, s in enumerate(sequences):
-            by_length.setdefault(len(s), []).append(k)
+            by_length.setdefault(len(s.words), []).append(k)
         out: list[np.ndarray] = [np.array([])] * len(sequences)
         edge, inner = len(TAGS), self.move[:-1, :-1]
         for n, of in by_length.items():
@@ -184,12 +215,13 @@ def forward_backward(scores: np.ndarray, move: np.ndarray) -> tuple[np.ndarray,
     return node, pair
 
 
-def fit(sequences: list[tuple[list[str], list[int]]], passes: int = PASSES) -> Field | None:
+def fit(sequences: list[tuple[Run, list[int]]], cues: Iterable[str] = (), passes: int = PASSES) -> Field | None:
     """Stochastic gradient ascent (adaptive steps) on the likelihood of the labelled token runs; None without any."""
     if not sequences:
         return None
     index: dict[str, int] = {}
-    rows = [([[index.setdefault(f, len(index)) for f in fs] for fs in token_features(words)], tags) for words, tags in sequences]
+    cues = frozenset(cues)
+    rows = [([[index.setdefault(f, len(index)) for f in fs] for fs in token_features(run, cues)], tags) for run, tags in sequences]
     fixed, n = allowed(), len(TAGS)
     emit, move = np.zeros((len(index), n)), np.zeros((n + 1, n + 1))
     seen_emit, seen_move = np.full_like(emit, 1e-3), np.full_like(move, 1e-3)
@@ -197,74 +229,117 @@ def fit(sequences: list[tuple[list[str], list[int]]], passes: int = PASSES) -> F
     for _ in range(passes):
         for k in rng.permutation(len(rows)):
             features, tags = rows[k]
-            scores = np.stack([emit[f].sum(0) for f in features])
-            node, pair = forward_backward(scores, move + fixed)
-            g = -node
-            g[np.arange(len(tags)), tags] += 1
-            pair = -pair
-            for a, b in zip([n, *tags], [*tags, n], strict=True):
-                pair[a, b] += 1
+            g, pair = gradient(np.stack([emit[f].sum(0) for f in features]), move + fixed, tags)
             for f, x in zip(features, g, strict=True):
                 seen_emit[f] += x * x
                 emit[f] += 0.3 * x / np.sqrt(seen_emit[f])
             seen_move += pair * pair
             move += 0.3 * pair / np.sqrt(seen_move)
-    return Field(index, emit, move + fixed)
+    return Field(index, emit, move + fixed, cues)
+
+
+def gradient(scores: np.ndarray, move: np.ndarray, tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run's log likelihood, by its token scores and by the transitions: what is there less what is expected."""
+    node, pair = forward_backward(scores, move)
+    g, pair = -node, -pair
+    g[np.arange(len(tags)), tags] += 1
+    for a, b in zip([len(TAGS), *tags], [*tags, len(TAGS)], strict=True):
+        pair[a, b] += 1
+    return g, pair
+
+
+class Overlaps:
+    """Spans of which those of a kind don't overlap, found by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[str, int, int]]) -> None:
+        self.by_kind: dict[str, tuple[list[int], list[int]]] = {}
+        for kind, a, b in sorted(spans, key=lambda s: s[1]):
+            starts, ends = self.by_kind.setdefault(kind, ([], []))
+            starts.append(a)
+            ends.append(b)
+
+    def first(self, a: int, b: int) -> tuple[str, int, int] | None:
+        """The first by kind, then start, that shares a character with [a, b)."""
+        for kind in KINDS:
+            starts, ends = self.by_kind.get(kind, ((), ()))
+            k = bisect_left(ends, a + 1)
+            if k < len(ends) and starts[k] < b:
+                return kind, starts[k], ends[k]
+        return None
+
 
+def tagged(run: Run, spans: Overlaps) -> list[int]:
+    tags, last = [], None
+    for a, b in run.bounds:
+        of = spans.first(a, b)
+        tags.append(0 if of is None else TAGS.index(("I-" if of == last else "B-") + of[0]))
+        last = of
+    return tags
 
-def labelled_runs(text: str) -> list[tuple[list[str], list[int]]]:
+
+def table_runs() -> list[tuple[Run, list[int]]]:
+    """The labelled table's token runs with their tags."""
+    return [(run, tagged(run, Overlaps(spans))) for text, spans in pii_table.rows() for run in runs(text)]
+
+
+def labelled_runs(text: str) -> list[tuple[Run, list[int]]]:
     """Token runs of a text with the tags of the base spans; runs where a pattern's match was dropped are unsure and left out."""
-    spans, out = base_spans(text), []
-    dropped = [m.span() for kind, p in (("ip", IP), ("card", CARD), ("phone", PHONE)) for m in p.finditer(text) if not is_kind(kind, m[0]) and len(digits(m[0])) > 8]
+    spans, out = Overlaps(base_spans(text)), []
+    dropped = Overlaps((kind, *m.span()) for kind, p in (("ip", IP), ("card", CARD), ("phone", PHONE)) for m in p.finditer(text) if not is_kind(kind, m[0]) and len(digits(m[0])) > 8)
     for run in runs(text):
-        if any(a < run[-1][1] and b > run[0][0] for a, b in dropped):
-            continue
-        tags, last = [], None
-        for a, b in run:
-            of = next(((k, s, e) for k, s, e in spans if s < b and e > a), None)
-            tags.append(0 if of is None else TAGS.index(("I-" if of == last else "B-") + of[0]))
-            last = of
-        out.append(([text[a:b] for a, b in run], tags))
+        if not dropped.first(run.bounds[0][0], run.bounds[-1][1]):
+            out.append((run, tagged(run, spans)))
     return out
 
 
-def augmented(single: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
-    """The labelled runs; runs of two random ones joined, as numbers do follow each other; some phones without the plus sign."""
+def augmented(single: list[tuple[Run, list[int]]]) -> list[tuple[Run, list[int]]]:
+    """The labelled runs, and runs of two random ones joined, as numbers do follow each other."""
     order = np.random.default_rng(SEED).permutation(len(single)).tolist()
-    joined = [(single[a][0] + single[b][0], single[a][1] + single[b][1]) for a, b in zip(order, order[1:], strict=False) if any(single[a][1]) and any(single[b][1])]
-    first = TAGS.index("B-phone")
-    bare = [([w.lstrip("+") if t == first else w for w, t in zip(*r, strict=True)], r[1]) for r in single if first in r[1]]
-    return single + joined + bare[: len(bare) // 4]
+    pairs = [(single[a], single[b]) for a, b in zip(order, order[1:], strict=False) if any(single[a][1]) and any(single[b][1])]
+    return single + [(Run(x.words + y.words, [], x.before, y.after), [*s, *t]) for (x, s), (y, t) in pairs]
+
 
+def train(docs: DataFrame, rows: int = LABELLED) -> Field:
+    """From the labelled table, and at most RUNS runs of so many documents, as the base patterns label them.
 
-def train(docs: DataFrame, rows: int = LABELLED) -> Field | None:
-    """From a small table labelled by the base patterns: at most RUNS runs of so many documents with an at sign or four digits in a row."""
-    some = docs.where(F.col("text").rlike("@|[0-9]{4}")).select(F.xxhash64("text").alias("h"), "text")
-    ids = sample_of(some.select("h").distinct(), rows, "h")
-    found = some.join(F.broadcast(ids), "h")
-    pairs = "array<struct<words:array<string>,tags:array<int>>>"
-    label = lambda b: {"h": b["h"], "runs": [[{"words": w, "tags": t} for w, t in labelled_runs(x)] for x in b["text"].to_pylist()]}
-    every = map_slices(found, label, f"h long, runs {pairs}").dropDuplicates(["h"]).select("h", F.posexplode("runs").alias("at", "run"))
-    some = sample_of(every.where(F.size("run.words") <= LONGEST), RUNS, "h", "at")
-    return fit(augmented([(list(r["run"]["words"]), list(r["run"]["tags"])) for r in some.collect()]))
+    The documents are those with the smallest hash of doc_id; null doc_ids are left out. An empty table leaves the labelled one.
+    """
+    ids = sample_of(docs.select("doc_id").where("doc_id is not null").distinct(), rows, "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("@|[0-9]{4}"))
+    kinds = "h long, at int, words array<string>, tags array<int>, before string, after string"
+
+    def label(batch) -> dict:
+        out: dict[str, list] = {"h": [], "at": [], "words": [], "tags": [], "before": [], "after": []}
+        for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for at, (run, tags) in enumerate(labelled_runs(text)):
+                if len(tags) <= LONGEST:
+                    for k, v in zip(out, (h, at, run.words, tags, run.before, run.after), strict=True):
+                        out[k].append(v)
+        return out
+
+    every = map_slices(found.select(F.xxhash64("text").alias("h"), "text"), label, kinds).dropDuplicates(["h", "at"])
+    got = [(Run(list(r["words"]), [], r["before"], r["after"]), list(r["tags"])) for r in sample_of(every, RUNS, "h", "at").collect()]
+    table = table_runs()
+    return fit(augmented(got) + augmented(table) * WEIGHT, {w for run, _ in table for w in (run.before, run.after) if w})
 
 
 def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """Base spans and all spans of each text. An added span overlaps no base span and passes its kind's test."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
+    taken = [Overlaps(b) for b in base]
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     asked = [(k, run) for k, t in enumerate(texts) for run in runs(t)] if field else []
-    tagged = field.decode([[texts[k][a:b] for a, b in run] for k, run in asked]) if asked else []
-    for (k, run), tags in zip(asked, tagged, strict=True):
+    decoded = field.decode([run for _, run in asked]) if asked else []
+    for (k, run), tags in zip(asked, decoded, strict=True):
         at = 0
-        while at < len(run):
+        while at < len(tags):
             tag, end = TAGS[tags[at]], at + 1
             if tag[0] == "B":
-                while end < len(run) and TAGS[tags[end]] == "I-" + tag[2:]:
+                while end < len(tags) and TAGS[tags[end]] == "I-" + tag[2:]:
                     end += 1
-                a, b = trim(texts[k], run[at][0], run[end - 1][1])
-                if b > a and is_kind(tag[2:], texts[k][a:b]) and not any(s < b and e > a for _, s, e in base[k]):
+                a, b = trim(texts[k], run.bounds[at][0], run.bounds[end - 1][1])
+                if b > a and is_kind(tag[2:], texts[k][a:b]) and not taken[k].first(a, b):
                     added[k].append((tag[2:], a, b))
             at = end
     order = lambda spans: sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
@@ -276,7 +351,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, counts of base spans, the digest of the base spans, and all spans, of every row's whole text.
+    """doc_id, counts of base spans, the digest of the base spans, all spans and their number, of every row's whole text.
 
     Null and empty texts have no spans. Without a field (nothing to learn from) the base spans are all.
     Repeated rows and null doc_ids come out each; an empty table gives no rows; extra columns are ignored.
@@ -285,9 +360,9 @@ def find_personal_data(docs: DataFrame, field: Field | None) -> DataFrame:
     def find(rows) -> dict:
         found = find_spans(rows["text"].to_pylist(), field)
         counts = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in found] for k in KINDS}
-        return {"doc_id": rows["doc_id"], **counts, "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], "spans": [joined(every) for _, every in found]}
+        return {"doc_id": rows["doc_id"], **counts, "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], "spans": [joined(every) for _, every in found], "n_spans": [len(every) for _, every in found]}
 
-    return map_slices(docs.select("doc_id", "text"), find, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_slices(docs.select("doc_id", "text"), find, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -301,7 +376,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
-    """The documents with their personal data replaced, all columns; n_chars, where there is one, follows."""
+    """The documents with their personal data replaced, all columns, whatever their names; n_chars, where there is one, follows.
+
+    Null and empty texts stay as they are, repeated rows come out each; an empty table gives no rows.
+    """
     import pyarrow as pa
 
     from .common import in_slices

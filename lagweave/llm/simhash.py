@@ -44,14 +44,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the bits as a signed long) of every row; null and empty texts have zero."""
+def fingerprints(docs: DataFrame, words: int = 3, others: str = "") -> DataFrame:
+    """doc_id and fp (the bits as a signed long) of every row, and other long columns; null and empty texts have zero."""
+    others = others.split()
 
     def compute(rows) -> dict:
         bits = np.array([fingerprint(t, words) for t in rows["text"].to_pylist()], "u8")
-        return {"doc_id": rows["doc_id"], "fp": bits.view("i8")}
+        return {"doc_id": rows["doc_id"], "fp": bits.view("i8")} | {c: rows[c] for c in others}
 
-    return map_slices(docs.select("doc_id", "text"), compute, "doc_id long, fp long")
+    return map_slices(docs.select("doc_id", "text", *others), compute, ", ".join(f"{c} long" for c in ("doc_id", "fp", *others)))
 
 
 def half_popcounts(fp: Column, half: int) -> Column:
@@ -189,6 +190,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("child").alias("node"), "root").union(now.select("root", "root").distinct())
 
 
+def classes(rows: DataFrame, bits: int) -> DataFrame:
+    """fp, n (rows of it), least (its smallest doc_id) and root (its component) of each fingerprint."""
+    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    found = written(components(links(groups, bits)), "components").withColumnRenamed("node", "fp")
+    return written(groups.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row.
 
@@ -198,9 +206,7 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> D
     out each. An empty table gives no rows; extra columns are ignored.
     """
     rows = written(fingerprints(docs, words), "fingerprints")
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    found = written(components(links(groups, bits)), "components").withColumnRenamed("node", "fp")
-    named = groups.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes(rows, bits)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     names = lookup(named.select("fp", "root", F.col("n").alias("rows")), written(least, "names"), "root", "n").select("fp", F.col("rows").alias("n"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -208,7 +214,15 @@ def near_duplicates(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> D
 
 
 def one_of_each(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component, all columns; a repeated doc_id keeps each of its rows there."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_named")  # null ids match each other
-    keep = near_duplicates(docs, bits, words).where("doc_id = component_id or component_id is null").select(key).distinct()
-    return docs.select("*", key).join(keep, "_named", "left_semi").drop("_named")
+    """One row of each component, all columns, whatever their names: that with the smallest doc_id.
+
+    Null doc_ids come after all others; of rows with equal doc_ids one stays, so of repeated rows exactly one does.
+    Texts without words are one component. An empty table gives no rows. The rows are written with a number each,
+    which then means the same row in every task, and only numbers and fingerprints are compared.
+    """
+    held = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")
+    rows = written(fingerprints(held.select("place", "row.doc_id", "row.text"), words, "place"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
+    best = rows.groupBy("fp").agg(first).join(classes(rows, bits).select("fp", "root"), "fp")
+    keep = best.groupBy("root").agg(F.min("first").alias("first")).select("first.place")
+    return held.join(written(keep, "kept"), "place", "left_semi").select("row.*")

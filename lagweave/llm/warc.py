@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, in_slices, lookup, new_path, written
+from .common import file_system, in_slices, lookup, new_path, one_task_each, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
@@ -53,14 +53,15 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream: BinaryIO) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, chunk by chunk, read once."""
+    """The content of a gzip file of one or more members, in chunks of at most CHUNK bytes, read once."""
     state = zlib.decompressobj(31)
     while data := stream.read(CHUNK):
         while data:
-            yield state.decompress(data)
-            data = state.unused_data
+            if part := state.decompress(data, CHUNK):
+                yield part
+            data = state.unconsumed_tail
             if state.eof:
-                state = zlib.decompressobj(31)
+                data, state = state.unused_data, zlib.decompressobj(31)
     yield state.flush()
 
 
@@ -129,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """The index of the rewritten archives: one task a file, as a stream is inflated from its start."""
+    """The index of the rewritten archives: one task a file, as a stream is inflated from its start. The driver sees the files' names."""
 
     def rewrite(batches):
         for rows in batches:
@@ -142,7 +143,8 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                     a, n, i = zip(*found[k : k + 10_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([target] * len(a)), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(i)], ["file", "offset", "size", "record_id"])
 
-    return written(files.repartition(max(1, files.count()), "file").mapInArrow(rewrite, INDEX), "index")
+    names = sorted((r["file"],) for r in files.collect())
+    return written(one_task_each(files.sparkSession, names, "file string").mapInArrow(rewrite, INDEX), "index")
 
 
 def parse(member: bytes) -> dict:

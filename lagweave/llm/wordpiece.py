@@ -8,14 +8,15 @@ failure link, stored with the number of popped pieces. So a word is counted with
 from __future__ import annotations
 
 import base64
+from collections import ChainMap
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_slices
 
-#: Words remembered by a worker before it starts anew.
-REMEMBERED = 1_000_000
+#: Words remembered by a worker before it starts anew, and the bytes of the longest of them.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 class Automaton:
@@ -47,14 +48,15 @@ class Automaton:
                 at = fail[at]
             if at != -1:
                 fail[v], popped[v] = edges[at, b], count
-        keys = np.array([(u << 8) | b for u, b in edges], "i8")
+        self.edges = {(u << 8) | b: v for (u, b), v in edges.items()}
+        keys = np.array(list(self.edges), "i8")
         order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(edges.values()), "i8")[order]
+        self.keys, self.to = keys[order], np.array(list(self.edges.values()), "i8")[order]
         self.first = np.full(256, -1, "i8")
         for (u, b), v in edges.items():
             if u == 0:
                 self.first[b] = v
-        self.fail, self.popped = np.array(fail, "i8"), np.array(popped, "i8")
+        self.lists, self.fail, self.popped = (fail, popped), np.array(fail, "i8"), np.array(popped, "i8")
 
     def go(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The edges' ends, -1 where there are none."""
@@ -62,6 +64,20 @@ class Automaton:
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(state == 0, self.first[byte], np.where(self.keys[k] == key, self.to[k], -1))
 
+    def count(self, word: bytes) -> int:
+        """Number of greedy pieces of one word, byte by byte: for long words, which would advance alone."""
+        edges, (fail, popped) = self.edges, self.lists
+        state = total = 0
+        for b in word:
+            while (to := edges.get(state << 8 | b)) is None:
+                total += popped[state]
+                state = fail[state]
+            state = to
+        while state > 0:
+            total += popped[state]
+            state = fail[state]
+        return total
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Number of greedy pieces of each word; all words advance together, byte by byte."""
         lengths = np.array([len(w) for w in words], "i8")
@@ -112,8 +128,11 @@ def count_pieces(docs: DataFrame, path: str) -> DataFrame:
         words = [(t or "").encode().split() for t in rows["text"].to_pylist()]
         if len(known) > REMEMBERED:
             known.clear()
-        if new := list(set().union(*words).difference(known)):
+        new = set().union(*words).difference(known)
+        long = {w: automaton.count(b" " + w) for w in new if len(w) > LONGEST}
+        if new := list(new.difference(long)):
             known.update(zip(new, automaton.counts([b" " + w for w in new]).tolist(), strict=True))
-        return {"doc_id": rows["doc_id"], "n_words": [len(w) for w in words], "n_tokens": [sum(map(known.__getitem__, w)) for w in words]}
+        of = ChainMap(known, long).__getitem__ if long else known.__getitem__
+        return {"doc_id": rows["doc_id"], "n_words": [len(w) for w in words], "n_tokens": [sum(map(of, w)) for w in words]}
 
     return map_slices(docs.select("doc_id", "text"), count, "doc_id long, n_words long, n_tokens long")
