@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import written
 
 #: A marginal's target share goes as its natural share to this power: below 1 evens a dimension out.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
@@ -99,12 +99,16 @@ def draw(doc_id: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def chances(counted: DataFrame, powers: dict[str, float], budget: float, rounds: int, goals: dict[str, DataFrame] | None) -> DataFrame:
-    """probability of each cell: its fitted weight a token over the largest such ratio, times budget; and its number of rows, n."""
+    """probability of each cell: its fitted weight a token over the largest such ratio, times budget.
+
+    The table is written, so that Spark knows its size: rows find their cell in a broadcast if it is below the
+    session's limit, else by a shuffle, in which Spark splits cells that hold very many rows.
+    """
     dims = list(powers)
-    cells = written(counted.where("n_tokens > 0").groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "cells")
+    cells = written(counted.where("n_tokens > 0").groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
     ratio = rake(cells, targets(cells, powers, goals), dims, rounds).withColumn("_ratio", F.col("weight") / F.col("tokens"))
     most = ratio.agg(F.max("_ratio")).first()[0] or 1.0
-    return ratio.select(*dims, "n", F.least(F.lit(1.0), budget * F.col("_ratio") / F.lit(most)).alias("probability"))
+    return written(ratio.select(*dims, F.least(F.lit(1.0), budget * F.col("_ratio") / F.lit(most)).alias("probability")), "chances")
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED, topic: Column | None = None, goals: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -116,7 +120,7 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, budget: float =
     """
     powers = powers or POWERS
     counted = written(docs.select("doc_id", *(c.alias(d) for d, c in dimensions(topic).items()), token_count().alias("n_tokens")), "counted")
-    found = lookup(counted, chances(counted, powers, budget, rounds, goals), list(powers), "n")
+    found = counted.join(chances(counted, powers, budget, rounds, goals), list(powers), "left")
     found = found.withColumn("probability", F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0))
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", (draw(seed=seed) < F.col("probability")).alias("sampled"))
 
@@ -130,7 +134,7 @@ def sampled_documents(docs: DataFrame, powers: dict[str, float] | None = None, b
     powers = powers or POWERS
     held = docs.select(F.struct("*").alias("row"), *(c.alias(d) for d, c in dimensions(topic).items()), token_count().alias("n_tokens"))
     held = written(held, "counted").where("n_tokens > 0")
-    found = lookup(held, chances(held.drop("row"), powers, budget, rounds, goals), list(powers), "n")
+    found = held.join(chances(held.drop("row"), powers, budget, rounds, goals), list(powers))
     return found.where(draw("row.doc_id", seed) < F.col("probability")).select("row.*")
 
 

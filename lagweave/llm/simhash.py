@@ -218,11 +218,12 @@ def one_of_each(docs: DataFrame, bits: int = MOST_BITS, words: int = 3) -> DataF
 
     Null doc_ids come after all others; of rows with equal doc_ids one stays, so of repeated rows exactly one does.
     Texts without words are one component. An empty table gives no rows. The rows are written with a number each,
-    which then means the same row in every task, and only numbers and fingerprints are compared.
+    which then means the same row in every task, and only numbers and fingerprints are compared. The numbers to keep
+    grow with the table, so they are never broadcast; each occurs once, so no task gets more than its share.
     """
     held = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")
     rows = written(fingerprints(held.select("place", "row.doc_id", "row.text"), words, "place"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
     best = rows.groupBy("fp").agg(first).join(classes(rows, bits).select("fp", "root"), "fp")
     keep = best.groupBy("root").agg(F.min("first").alias("first")).select("first.place")
-    return held.join(written(keep, "kept"), "place", "left_semi").select("row.*")
+    return held.join(written(keep, "kept").hint("shuffle_hash"), "place", "left_semi").select("row.*")
