@@ -19,58 +19,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import file_system, in_slices, map_slices, one_task_each, written
+from .common import file_system, in_slices, one_task_each
 
 #: How a null doc_id is written.
 NO_DOC = -(2**63)
 PART = "part int, name string, n_docs long, n_tokens long"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, lower: bool, code: str) -> DataFrame:
-    """doc_id, ids (bytes), n_ids, and tie: a number that spreads the rows of one doc_id. Null texts have the end id alone."""
-
-    def encode(rows) -> dict:
-        end, ids_of = array(code, [end_id]).tobytes(), bpe.encoder(path, lower, code).encode
-        ids = [ids_of(t) + end for t in rows["text"].to_pylist()]
-        return {"doc_id": rows["doc_id"], "ids": ids, "n_ids": [len(x) // len(end) for x in ids]}
-
-    rows = map_slices(docs.select("doc_id", "text"), encode, "doc_id long, ids binary, n_ids long")
-    return rows.withColumn("tie", F.monotonically_increasing_id())
-
-
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2, lower: bool = False, vocabulary: int = 50257) -> list[dict]:
     """Encode whole texts in ascending doc_id order and write the files; returns one entry a part, with its base.
 
     Null texts have the end id alone; null doc_ids come first; rows of one doc_id follow in the table's order and may be
     spread over parts, so a doc_id or null that many rows have is no part of its own. An empty table has no parts. Ids
-    take 16 bits where the vocabulary allows. Texts are encoded and written before the ranges are drawn, so ids are
-    shuffled, not texts. What comes to the driver is a name and two counts a part. A task that runs twice writes under
-    another name, and only the named files are read.
+    take 16 bits where the vocabulary allows. Texts are shuffled and then encoded: compressed they are as small as ids,
+    which would have to be written before, as drawing the ranges reads the rows twice. What comes to the driver is a
+    name and two counts a part. A task that runs twice writes under another name, and only the named files are read.
     """
     code = "H" if max(vocabulary, end_id + 1) <= 1 << 16 else "I"
+    end = array(code, [end_id])
 
     def write(batches):
         fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
         part = TaskContext.get().partitionId()
-        name, n, count = f"{part:06d}-{uuid.uuid4().hex}", 0, 0
+        name, n, count, ids_of = f"{part:06d}-{uuid.uuid4().hex}", 0, 0, bpe.encoder(path, lower, code).encode
         with fs.open_output_stream(f"{at}/{name}.ids") as ids, fs.open_output_stream(f"{at}/{name}.docs") as names, fs.open_output_stream(f"{at}/{name}.offsets") as starts:
             for rows in in_slices(batches):
                 names.write(np.array([NO_DOC if x is None else x for x in rows["doc_id"].to_pylist()], "<i8").tobytes())
-                ends = n + np.cumsum(rows["n_ids"].to_numpy(), dtype="i8")
-                starts.write(np.concatenate([[n], ends[:-1]]).astype("<u8").tobytes())
-                for found in rows["ids"]:
-                    ids.write(found.as_buffer())
-                n, count = int(ends[-1]), count + rows.num_rows
+                begins = []
+                for text in rows["text"].to_pylist():
+                    begins.append(n)
+                    ids.write(found := ids_of(text) + end.tobytes())
+                    n += len(found) // end.itemsize
+                starts.write(np.array(begins, "<u8").tobytes())
+                count += len(begins)
             starts.write(np.array([n], "<u8").tobytes())
         if count:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [count], "n_tokens": [n]})
 
-    rows = written(encoded(docs, path, end_id, lower, code), "encoded")
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", "n_ids")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     parts = sorted((r.asDict() for r in ordered.mapInArrow(write, PART).collect()), key=lambda r: r["part"])
     bases = np.cumsum([0, *(p["n_tokens"] for p in parts)])
-    return [p | {"base": int(b), "folder": folder, "width": array(code).itemsize} for p, b in zip(parts, bases, strict=False)]
+    return [p | {"base": int(b), "folder": folder, "width": end.itemsize} for p, b in zip(parts, bases, strict=False)]
 
 
 def mapped(folder: str, name: str, width: int) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, np.ndarray]:
