@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,20 @@ def row_mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: a lambda's variable over an array of one."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    """One pass each for the largest, the exponentials, their sum and the shares."""
+    exps = lambda v: bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return bind(a, lambda v: bind(exps(v), lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t))))
 
 
 def log_softmax(a: Column) -> Column:
-    return F.transform(a, lambda x: x - F.array_max(a) - F.log(total(F.transform(a, lambda v: F.exp(v - F.array_max(a))))))
+    logs = lambda v, m: F.log(total(F.transform(v, lambda x: F.exp(x - m)))) + m
+    return bind(a, lambda v: bind(bind(F.array_max(v), lambda m: logs(v, m)), lambda t: F.transform(v, lambda x: x - t)))
 
 
 def argmax(a: Column) -> Column:
@@ -29,8 +38,8 @@ def argmax(a: Column) -> Column:
 
 
 def kl(p: Column, q: Column) -> Column:
-    """Sum of p ln(p / q); terms with p = 0 count nothing."""
-    return total(F.zip_with(p, q, lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)))
+    """Sum of p ln(p / q); terms with p = 0 count nothing, and one with q = 0 alone makes it infinite."""
+    return total(F.zip_with(p, q, lambda x, y: F.when(x <= 0, 0.0).when(y > 0, x * F.log(x / y)).when(y == 0, float("inf"))))
 
 
 def jsd(p: Column, q: Column) -> Column:

@@ -17,21 +17,12 @@ from .series import lag_align
 CELL = ("b1", "b2", "yb")
 
 
-def lag_edges(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str, max_lag: int) -> DataFrame:
-    """Lowest and highest values of each lag's trimmed slices, one row a series: arrays over the lags."""
-    i, n = F.col("i"), F.col("n")
-    part = lambda f, c, k, late: f(F.when((i >= k) if late else (i < n - k), F.col(c)))
-    cells = [F.array(*[part(f, c, k, c == y) for k in range(max_lag + 1)]).alias(f"{c}_{name}") for c in (*x, y) for name, f in (("lo", F.min), ("hi", F.max))]
-    return df.groupBy(*keys).agg(*cells)
-
-
 def lagged_bins(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str, max_lag: int, bins: int) -> DataFrame:
-    """keys, lag, a bin column for each of x, and yb. Edges come from each lag's own slices."""
+    """keys, lag, a bin column for each of x, and yb. Edges come from each lag's own slices: one aggregate by series and lag."""
     aligned = lag_align(df.select(*keys, "i", "n", *x, y), keys, x, y, max_lag)
-    edges = lag_edges(df, keys, x, y, max_lag)
-    at = lambda c, e: F.element_at(f"{c}_{e}", F.col("lag") + 1)
-    binned = [equal_width_bin(F.col(c), at(c, "lo"), at(c, "hi"), bins).alias("yb" if c == y else f"{c}_b") for c in (*x, y)]
-    return aligned.join(edges, list(keys)).select(*keys, "lag", *binned)
+    edges = aligned.groupBy(*keys, "lag").agg(*[f(c).alias(f"{c}_{e}") for c in (*x, y) for e, f in (("lo", F.min), ("hi", F.max))])
+    binned = [equal_width_bin(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins).alias("yb" if c == y else f"{c}_b") for c in (*x, y)]
+    return aligned.join(edges, [*keys, "lag"]).select(*keys, "lag", *binned)
 
 
 def joint_hist_multilag(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], y: str, max_lag: int, bins: int = 4) -> DataFrame:
@@ -53,36 +44,37 @@ def marginals(hist: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
     return hist.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*keys, *CELL)]).agg(F.sum(n).alias("n"))
 
 
-def mutual_information(hist: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str], n: str = "n", unit: str = "nats") -> DataFrame:
-    """keys, mi: I(A; B) from counts (or weights). Empty cells don't occur and count nothing.
+def margin_sums(hist: DataFrame, keys: Sequence[str], sets: dict[str, Sequence[str]], n: str = "n") -> DataFrame:
+    """keys, the sum of c ln c over the cells c of each named margin, and _n, the sum of all counts: one pass over the
+    counts for all margins, and one over their cells for the sums. Empty cells don't occur and count nothing."""
+    columns = list(dict.fromkeys(c for s in sets.values() for c in s))
+    code = lambda by: sum(1 << k for k, c in enumerate(reversed(columns)) if c not in by)
+    cells = hist.groupingSets([[F.col(c) for c in (*keys, *s)] for s in sets.values()], *[F.col(c) for c in (*keys, *columns)]).agg(F.sum(n).cast("double").alias("_c"), F.grouping_id().alias("_g"))
+    part = lambda by, value: F.sum(F.when(F.col("_g") == code(by), value).otherwise(0.0))
+    xlogx = F.when(F.col("_c") > 0, F.col("_c") * F.log("_c")).otherwise(0.0)
+    return cells.groupBy(*keys).agg(*[part(s, xlogx).alias(name) for name, s in sets.items()], part(next(iter(sets.values())), F.col("_c")).alias("_n"))
 
-    sum n ln n over cells, less the same over both margins: three sums a group, no joins.
-    """
-    xlogx = lambda c: F.sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c).cast("double"))).otherwise(0.0))
-    cells = hist.groupBy(*keys, *a, *b).agg(F.sum(n).alias("_c"))
-    one = lambda by, sign: cells.groupBy(*keys, *by).agg(F.sum("_c").alias("_c")).groupBy(*keys).agg((sign * xlogx("_c")).alias("_h"), F.lit(0.0).alias("_n"))
-    whole = cells.groupBy(*keys).agg(xlogx("_c").alias("_h"), F.sum("_c").cast("double").alias("_n"))
-    parts = whole.union(one(a, -1)).union(one(b, -1))
+
+def mutual_information(hist: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str], n: str = "n", unit: str = "nats") -> DataFrame:
+    """keys, mi: I(A; B) from counts (or weights): sums over one table of margins, no joins."""
+    s = margin_sums(hist, keys, {"_ab": [*a, *b], "_a": a, "_b": b}, n)
     scale = 1 / math.log(2) if unit == "bits" else 1.0
-    sums = parts.groupBy(*keys).agg(F.sum("_h").alias("_h"), F.sum("_n").alias("_n"))
-    return sums.select(*keys, F.greatest(F.lit(0.0), (F.col("_h") / F.col("_n") + F.log("_n")) * scale).alias("mi"))
+    return s.select(*keys, F.greatest(F.lit(0.0), ((F.col("_ab") - F.col("_a") - F.col("_b")) / F.col("_n") + F.log("_n")) * scale).alias("mi"))
 
 
 def conditional_mi(hist: DataFrame, keys: Sequence[str], given: str, other: str, unit: str = "nats") -> DataFrame:
     """keys, cmi: I(Y; other | given), the slices' information weighted by their mass."""
-    slices = mutual_information(hist, [*keys, given], ["yb"], [other], unit=unit)
-    mass = hist.groupBy(*keys, given).agg(F.sum("n").alias("n"))
-    joined = slices.join(mass, [*keys, given])
-    return joined.groupBy(*keys).agg((F.sum(F.col("mi") * F.col("n")) / F.sum("n")).alias("cmi"))
+    s = margin_sums(hist, keys, {"_all": [given, other, "yb"], "_gy": [given, "yb"], "_go": [given, other], "_g1": [given]})
+    scale = 1 / math.log(2) if unit == "bits" else 1.0
+    return s.select(*keys, F.greatest(F.lit(0.0), (F.col("_all") - F.col("_gy") - F.col("_go") + F.col("_g1")) / F.col("_n") * scale).alias("cmi"))
 
 
 def information(hist: DataFrame, keys: Sequence[str], unit: str = "nats") -> DataFrame:
-    """keys, i1 = I(Y; X1), i2 = I(Y; X2), total = I(Y; X1, X2), co = i1 + i2 - total."""
-    parts = {"i1": ["b1"], "i2": ["b2"], "total": ["b1", "b2"]}
-    found = None
-    for name, by in parts.items():
-        one = mutual_information(hist, keys, by, ["yb"], unit=unit).withColumnRenamed("mi", name)
-        found = one if found is None else found.join(one, list(keys))
+    """keys, i1 = I(Y; X1), i2 = I(Y; X2), total = I(Y; X1, X2), co = i1 + i2 - total, all from one table of margins."""
+    s = margin_sums(hist, keys, {"_12y": CELL, "_1y": ["b1", "yb"], "_2y": ["b2", "yb"], "_12": ["b1", "b2"], "_1": ["b1"], "_2": ["b2"], "_y": ["yb"]})
+    scale = 1 / math.log(2) if unit == "bits" else 1.0
+    mi = lambda x: F.greatest(F.lit(0.0), ((F.col(f"_{x}y") - F.col(f"_{x}") - F.col("_y")) / F.col("_n") + F.log("_n")) * scale)
+    found = s.select(*keys, mi("1").alias("i1"), mi("2").alias("i2"), mi("12").alias("total"))
     return found.withColumn("co", F.col("i1") + F.col("i2") - F.col("total"))
 
 
@@ -160,8 +152,12 @@ def decompose(p: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def gathered(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a group with its cells, of which there are at most bins**3: groups are solved many at a time."""
-    return hist.groupBy(*keys).agg(F.collect_list(F.struct(*CELL, F.col("n").cast("double").alias("n"))).alias("cells"))
+    """One row a group with its cells, of which there are at most bins**3: groups are solved many at a time.
+
+    The cells are few bytes but minutes of work, so they are dealt over all tasks, however small the parts are.
+    """
+    tasks = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hist.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*CELL, F.col("n").cast("double").alias("n"))).alias("cells"))
 
 
 #: Groups that are solved together: bounds a task's memory at a few MB for small histograms.

@@ -58,31 +58,58 @@ def cross_entropy(df: DataFrame, keys: Sequence[str], posterior: str, y: str) ->
     return df.groupBy(*keys).agg(F.avg(-F.log(F.get(posterior, F.col(y).cast("int")))).alias("loss"))
 
 
+#: Numbers of the couplings that a task solves together.
+TOGETHER = 2_000_000
+
+
 def batch_joint(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """[1, y, i, j]: independent within each class, with rows P(y | x1_i) and columns P(y | x2_j) rescaled to the rows' class mass."""
-    rows, columns = p1.T / len(p1), p2.T / len(p2)
+    """[y, i, j]: independent within each class, with rows P(y | x1_i) and columns P(y | x2_j) rescaled to the rows' class mass.
+
+    Rows with equal posteriors are one row of their joint weight: that changes no information, and counted
+    posteriors take only as many values as there are states.
+    """
+    (u1, n1), (u2, n2) = (np.unique(p, axis=0, return_counts=True) for p in (p1, p2))
+    rows, columns = (u1 * n1[:, None]).T / len(p1), (u2 * n2[:, None]).T / len(p2)
     mass = rows.sum(1, keepdims=True)
     columns = columns / np.maximum(columns.sum(1, keepdims=True), 1e-300) * mass
     joint = rows[:, :, None] * columns[:, None, :] / np.maximum(mass, 1e-300)[:, :, None]
-    return (joint / joint.sum())[None]
+    return joint / joint.sum()
+
+
+def solved(joints: list[np.ndarray], rounds: int) -> pd.DataFrame:
+    """i_start, i_q and off of joints that may differ in shape: empty rows and columns fill them up, and change nothing."""
+    p = np.zeros((len(joints), *np.max([x.shape for x in joints], 0)))
+    for k, x in enumerate(joints):
+        p[k, : x.shape[0], : x.shape[1], : x.shape[2]] = x
+    q, _, _ = coupling(p, cap=rounds, stop=1e-5, inner=10, polish=200, close=1e-6)
+    off = np.maximum(np.abs(q.sum(3) - p.sum(3)).max((1, 2)), np.abs(q.sum(2) - p.sum(2)).max((1, 2)))
+    return pd.DataFrame({"i_start": joint_information(p), "i_q": joint_information(q), "off": off})
 
 
 def batch_couplings(df: DataFrame, keys: Sequence[str], p1: str = "p1", p2: str = "p2", batch: str = "batch_id", rounds: int = 40) -> DataFrame:
     """keys, batch, rows, i_start, i_q (nats), off: each minibatch's least information over couplings with the posteriors' margins.
 
-    One group is one minibatch, so a task holds batch size squared times classes numbers.
+    A minibatch's posteriors are gathered into arrays, which its size bounds; a task solves many batches at a time.
     """
-    types = dict(df.dtypes)
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        p = batch_joint(np.stack(rows[p1].to_numpy()), np.stack(rows[p2].to_numpy()))
-        q, _, _ = coupling(p, cap=rounds, stop=1e-5, inner=10, polish=200, close=1e-6)
-        off = max(np.abs(q.sum(3) - p.sum(3)).max(), np.abs(q.sum(2) - p.sum(2)).max())
-        found = {"rows": len(rows), "i_start": float(joint_information(p)[0]), "i_q": float(joint_information(q)[0]), "off": float(off)}
-        return pd.DataFrame([dict(zip((*keys, batch), key, strict=True)) | found])
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, batch)) + ", rows long, i_start double, i_q double, off double"
-    return df.select(*keys, batch, p1, p2).groupBy(*keys, batch).applyInPandas(solve, schema)
+    types, by = dict(df.dtypes), [*keys, batch]
+
+    def solve(frames):
+        for frame in frames:
+            done, joints, size = 0, [], 1
+            for k, (a, b) in enumerate(zip(frame["_p1"], frame["_p2"], strict=True)):
+                one = batch_joint(np.stack(a), np.stack(b))
+                if joints and max(size, one.size) * (len(joints) + 1) > TOGETHER:
+                    yield pd.concat([frame.iloc[done:k][[*by, "rows"]].reset_index(drop=True), solved(joints, rounds)], axis=1)
+                    done, joints, size = k, [], 1
+                joints.append(one)
+                size = max(size, one.size)
+            if joints:
+                yield pd.concat([frame.iloc[done:][[*by, "rows"]].reset_index(drop=True), solved(joints, rounds)], axis=1)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = df.select(*by, p1, p2).repartition(tasks, *by).groupBy(*by).agg(F.count("*").alias("rows"), F.collect_list(p1).alias("_p1"), F.collect_list(p2).alias("_p2"))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", rows long, i_start double, i_q double, off double"
+    return arrays.mapInPandas(solve, schema)
 
 
 def decompose_learned(df: DataFrame) -> DataFrame:

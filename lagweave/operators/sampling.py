@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagweave.functions.arrays import bind, total
+
 
 def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
@@ -52,9 +54,14 @@ def minibatches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 
 def topk(logits: Column, k: int) -> Column:
-    """(expert, weight) of the k largest logits, softmax over them; ties to the smaller expert."""
+    """(expert, weight) of the k largest logits, softmax over them; ties to the smaller expert. The logits are sorted once."""
+    pairs = F.transform(logits, lambda x, j: F.struct((-x).alias("neg"), j.cast("long").alias("expert")))
+    exps = lambda top: F.transform(top, lambda s: F.exp(F.get(top, F.lit(0))["neg"] - s["neg"]))
+    weigh = lambda top, e: bind(total(e), lambda t: F.zip_with(top, e, lambda s, x: F.struct(s["expert"].alias("expert"), (x / t).alias("weight"))))
+    return bind(F.slice(F.array_sort(pairs), 1, k), lambda top: bind(exps(top), lambda e: weigh(top, e)))
+
+
+def top_indices(logits: Column, k: int) -> Column:
+    """The experts of `topk` alone."""
     pairs = F.transform(logits, lambda x, j: F.struct((-x).alias("neg"), j.cast("long").alias("expert")))
-    top = F.slice(F.array_sort(pairs), 1, k)
-    e = F.transform(top, lambda s: F.exp(-s["neg"] + F.element_at(top, 1)["neg"]))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(top, e, lambda s, x: F.struct(s["expert"].alias("expert"), (x / total).alias("weight")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["expert"])

@@ -273,7 +273,7 @@ def best_epoch(spark, d):
 
 def chosen(spark, d):
     r = routing(spark, d)
-    return r.select("sample", "modality", "event_id", "t", A.softmax(F.col("logits")).alias("probs"), F.transform(P.topk(F.col("logits"), 2), lambda s: s["expert"]).alias("experts"))
+    return r.select("sample", "modality", "event_id", "t", A.softmax(F.col("logits")).alias("probs"), P.top_indices(F.col("logits"), 2).alias("experts"))
 
 
 CHOSEN = TOP + ", chosen AS (SELECT event_id, modality, CAST(expert AS BIGINT) AS expert FROM top JOIN routing USING (event_id) WHERE r <= 2), ratios AS (SELECT g.modality, g.expert, CAST(count(c.event_id) AS BIGINT) AS n FROM (SELECT DISTINCT modality, CAST(k AS BIGINT) AS expert FROM routing, range(0, 8) x(k)) g LEFT JOIN chosen c ON c.modality = g.modality AND c.expert = g.expert GROUP BY ALL)"

@@ -12,6 +12,7 @@ from lagweave.operators import info as I
 from lagweave.operators import learned as L
 from lagweave.operators import sampling as P
 from lagweave.operators import series as S
+from lagweave.sources.storage import written
 
 from .base import GAPS, HALVES, SERIES, gaps, halves, query, series, table
 from .timeseries import bin_sql
@@ -176,7 +177,7 @@ def cohort_pid(spark, d):
 def rus_modalities(spark, d):
     """The whole analysis: terms of all pairs and lags, their means, and the dominant term of each pair."""
     keys = ["cohort", "mod1", "mod2"]
-    terms = cohort_pid(spark, d)
+    terms = written(cohort_pid(spark, d), "terms")  # both summaries read them
     return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)
 
 

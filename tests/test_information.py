@@ -110,10 +110,22 @@ def test_minibatch_coupling_against_brute_force(spark):
     df = spark.createDataFrame(rows, "batch_id long, p1 array<double>, p2 array<double>")
     got = {r["batch_id"]: r["i_q"] for r in learned.batch_couplings(df, []).collect()}
     for k in (0, 1):
-        p = learned.batch_joint(*(np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2)))[0]
+        p = learned.batch_joint(*(np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2)))
         assert abs(got[k] - brute(p)) < 2e-3
 
 
+def test_equal_posteriors_are_one_row():
+    """A batch with repeated posteriors against the same batch with rows that differ by a hair."""
+    rng = np.random.default_rng(4)
+    states = rng.dirichlet(np.ones(3), 4)
+    rows = [states[rng.integers(4, size=24)] for _ in range(2)]
+    apart = [r + 1e-9 * rng.normal(size=r.shape) for r in rows]
+    one, many = learned.solved([learned.batch_joint(*rows)], 200), learned.solved([learned.batch_joint(*apart)], 200)
+    both = learned.solved([learned.batch_joint(*rows), learned.batch_joint(*apart)], 200)
+    assert learned.batch_joint(*rows).shape[1] <= 4 and np.allclose(one[["i_start", "i_q"]], many[["i_start", "i_q"]], atol=2e-4)
+    assert np.allclose(both["i_q"], [one["i_q"][0], many["i_q"][0]], atol=1e-4)
+
+
 @pytest.mark.parametrize("name", ["multi_lag_pid_terms", "temporal_pid_batch_terms", "pid_multi_sequence_terms"])
 def test_registered_terms(spark, name):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
