@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagweave.functions import arrays as A
@@ -142,9 +143,12 @@ def udf_pid_solver(spark, d):
     return identities(found.withColumnRenamed("event_type", "subject")).withColumnRenamed("subject", "event_type")
 
 
-@query(INFO0 + " SELECT subject, i12.mi >= 0 AS gap_ok FROM i12")
+@query(INFO0 + " SELECT subject, round(i12.mi, 6) AS total, round(least(i12.mi - i1.mi, i12.mi - i2.mi), 6) AS most, true AS gap_ok FROM i12 JOIN i1 USING (subject) JOIN i2 USING (subject)")
 def synergy_gap(spark, d):
-    return I.pid(hist(spark, d, 0), ["subject"]).select("subject", (F.col("S") >= -1e-6).alias("gap_ok"))
+    """The gap is at least 0 and at most what the weaker input leaves of the total."""
+    t = I.pid(hist(spark, d, 0), ["subject"]).withColumn("most", F.col("S") + F.least("U1", "U2"))
+    ok = (F.col("S") >= -1e-6) & (F.col("S") <= F.col("most") + 1e-5)
+    return t.select("subject", F.round("MI", 6).alias("total"), F.round(F.abs("most"), 6).alias("most"), ok.alias("gap_ok"))
 
 
 @query()
@@ -159,18 +163,38 @@ def temporal_pid_multivariate(spark, d):
     return identities(I.pid(h, ["lag"])).drop("lag")
 
 
+SENSORS = ("x1", "x2", "x3", "x4", "x5")
+PAIRS = [(a, b) for k, a in enumerate(SENSORS) for b in SENSORS[k + 1 :]]
+GROUP = ["cohort", "mod1", "mod2", "lag"]
+
+
+def sensors(spark, d):
+    """A wide sensor table: the two signals, the hour, the day of the month, and the first signal's change."""
+    s = series(spark, d).withColumns({"x3": F.hour("ts") + F.minute("ts") / 60, "x4": F.dayofmonth("ts").cast("double")})
+    w = Window.partitionBy("subject").orderBy("i")
+    return s.withColumns({"x5": F.coalesce(F.col("x1") - F.lag("x1").over(w), F.lit(0.0)), "cohort": F.col("subject") % 8})
+
+
 def cohort_hist(spark, d, pairs, lags: int = LAGS):
     """Counts pooled over the users of eight cohorts; lags and edges stay within a user's series."""
-    s = series(spark, d).withColumn("x3", F.hour("ts") + F.minute("ts") / 60).withColumn("cohort", F.col("subject") % 8)
-    h = I.joint_hist_multilag(s, ["cohort", "subject"], pairs, "y", lags, BINS)
+    h = I.joint_hist_multilag(sensors(spark, d), ["cohort", "subject"], pairs, "y", lags, BINS)
     return h.groupBy("cohort", "mod1", "mod2", F.col("lag").cast("long").alias("lag"), "b1", "b2", "yb").agg(F.sum("n").alias("n"))
 
 
-PAIRS = [("x1", "x2"), ("x1", "x3"), ("x2", "x3")]
+def sensors_sql(pairs, lags: int) -> str:
+    bins = ", ".join(f"{bin_sql(c, f'min({c}) OVER w', f'max({c}) OVER w', BINS)} AS {c}" for c in (*SENSORS, "y"))
+    each = " UNION ALL ".join(f"SELECT cohort, '{a}' AS mod1, '{b}' AS mod2, lag, {a} AS b1, {b} AS b2, y AS yb, CAST(count(*) AS BIGINT) AS n FROM binned GROUP BY ALL" for a, b in pairs)
+    return SERIES + f""", wide AS (SELECT subject, i, x1, x2, hour(ts) + minute(ts) / 60.0::DOUBLE AS x3, CAST(day(ts) AS DOUBLE) AS x4, coalesce(x1 - lag(x1) OVER (PARTITION BY subject ORDER BY i), 0) AS x5, y FROM series),
+lagged AS (SELECT a.subject, a.subject % 8 AS cohort, CAST(l.lag AS BIGINT) AS lag, {', '.join(f'a.{c}' for c in SENSORS)}, CAST(b.y AS DOUBLE) AS y FROM wide a JOIN range(0, {lags + 1}) l(lag) ON true JOIN wide b ON b.subject = a.subject AND b.i = a.i + l.lag),
+binned AS (SELECT cohort, lag, {bins} FROM lagged WINDOW w AS (PARTITION BY subject, lag)),
+hist AS ({each}), """ + ", ".join(f"{name} AS " + mi_sql(by, "yb", keys=", ".join(GROUP)) for name, by in (("i1", "b1"), ("i2", "b2"), ("i12", "b1, b2"))) + f", parts AS (SELECT {', '.join(GROUP)}, i1.mi AS r_u1, i2.mi AS r_u2, i12.mi AS total FROM i1 JOIN i2 USING ({', '.join(GROUP)}) JOIN i12 USING ({', '.join(GROUP)}))"
+
+
+THREE = [("x1", "x2"), ("x1", "x3"), ("x2", "x3")]
 
 
 def cohort_pid(spark, d):
-    return I.pid(cohort_hist(spark, d, PAIRS), ["cohort", "mod1", "mod2", "lag"])
+    return I.pid(cohort_hist(spark, d, THREE), GROUP)
 
 
 @query()
@@ -181,10 +205,27 @@ def rus_modalities(spark, d):
     return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)
 
 
+@query(sensors_sql(THREE, LAGS) + " SELECT cohort, mod1, mod2, CAST(count(*) AS BIGINT) AS lags, round(avg(total), 5) AS total, round(avg(r_u1), 5) AS r_u1, round(avg(r_u2), 5) AS r_u2, true AS led FROM parts WHERE total > 1e-9 GROUP BY ALL")
+def rus_modalities_sums(spark, d):
+    """What the means of rus_modalities add up to, and that a dominant term is one of the four or none."""
+    t = rus_modalities(spark, d)
+    sums = {"total": F.col("MI"), "r_u1": F.col("R") + F.col("U1"), "r_u2": F.col("R") + F.col("U2")}
+    led = F.coalesce(F.col("dominant").isin(*G.TERMS), F.lit(True))
+    return t.select("cohort", "mod1", "mod2", "lags", *[F.round(v, 5).alias(k) for k, v in sums.items()], led.alias("led"))
+
+
 @query()
+def rus_all_sensor_pairs_terms(spark, d):
+    """Terms of every pair at every lag from 0 to 10, in bits, with the solver's rounds and last change."""
+    return I.pid(cohort_hist(spark, d, PAIRS, 10), GROUP, unit="bits")
+
+
+@query(sensors_sql(PAIRS, 10) + f" SELECT {', '.join(GROUP)}, round(r_u1 / ln(2), 5) AS r_u1, round(r_u2 / ln(2), 5) AS r_u2, round(total / ln(2), 5) AS total FROM parts")
 def rus_all_sensor_pairs(spark, d):
-    """Terms of every pair at every lag, in bits, with the solver's rounds and last change."""
-    return I.pid(cohort_hist(spark, d, PAIRS, 2), ["cohort", "mod1", "mod2", "lag"], unit="bits")
+    """What the terms of every pair of sensors add up to at every lag, in bits."""
+    t = rus_all_sensor_pairs_terms(spark, d)
+    sums = {"r_u1": F.col("R") + F.col("U1"), "r_u2": F.col("R") + F.col("U2"), "total": F.col("R") + F.col("U1") + F.col("U2") + F.col("S")}
+    return t.select(*GROUP, *[F.round(F.greatest(F.lit(0.0), v), 5).alias(k) for k, v in sums.items()])
 
 
 RUS = """, terms AS (SELECT user_id % 8 AS cohort, event_type AS mod1, event_id % 6 AS lag, sum(value) FILTER (event_id % 4 = 0) AS r, sum(value) FILTER (event_id % 4 = 1) AS u1, sum(value) FILTER (event_id % 4 = 2) AS u2, sum(value) FILTER (event_id % 4 = 3) AS s FROM events GROUP BY ALL), t AS (SELECT cohort, mod1, lag, coalesce(r, 0) AS r, coalesce(u1, 0) AS u1, coalesce(u2, 0) AS u2, coalesce(s, 0) AS s, coalesce(r, 0) + coalesce(u1, 0) + coalesce(u2, 0) + coalesce(s, 0) AS mi FROM terms)"""
@@ -293,9 +334,9 @@ def sinkhorn_coupling(spark, d):
     return q.agg(F.count("*").alias("batches"), F.sum("rows").alias("rows_seen"), (F.max("off") < 0.01).alias("margins"), (F.max(F.col("i_q") - F.col("i_start")) <= 1e-6).alias("no_more"))
 
 
-@query("SELECT CAST(r // 64 AS BIGINT) AS batch_id, true AS fell FROM (SELECT row_number() OVER () - 1 AS r FROM events) GROUP BY 1")
+@query("SELECT CAST(r // 64 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows, true AS fell FROM (SELECT row_number() OVER () - 1 AS r FROM events) GROUP BY 1")
 def coupling_objective(spark, d):
-    return L.batch_couplings(batches(spark, d), []).select("batch_id", (F.col("i_q") <= F.col("i_start") + 1e-6).alias("fell"))
+    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", (F.col("i_q") <= F.col("i_start") + 1e-6).alias("fell"))
 
 
 @query()
@@ -340,11 +381,19 @@ def by_lag(spark, d, lags: int):
     return P.minibatches(rows, "key", 64 * (lags + 1), 1)
 
 
-@query("SELECT CAST(lag AS BIGINT) AS lag, true AS terms_ok FROM range(0, 3) r(lag)")
+def parts_sql(keys: str) -> str:
+    return ", ".join(f"{name} AS " + mi_sql(by, "yb", keys=keys) for name, by in (("i1", "b1"), ("i2", "b2"), ("i12", "b1, b2"))) + f" SELECT {keys}, round(i1.mi / ln(2), 4) AS i1, round(i2.mi / ln(2), 4) AS i2, round(i12.mi / ln(2), 4) AS i12 FROM i1 JOIN i2 USING ({keys}) JOIN i12 USING ({keys})"
+
+
+def parts(df, *keys: str):
+    """The informations that the terms are made of."""
+    return df.select(*keys, *[F.round(c, 4).alias(c) for c in ("i1", "i2", "i12")])
+
+
+@query(STATES + ", hist AS (SELECT CAST(l.lag AS BIGINT) AS lag, a.b1, a.b2, b.y AS yb, CAST(count(*) AS BIGINT) AS n FROM s a JOIN range(0, 3) l(lag) ON true JOIN s b ON b.subject = a.subject AND b.i = a.i + l.lag GROUP BY ALL), ".replace("hist AS", "counted AS") + parts_sql("lag").replace("FROM hist", "FROM counted"))
 def temporal_pid_batch(spark, d):
-    """Terms by lag from counted posteriors and minibatch couplings: none below zero, and they add up to MI."""
-    t = L.learned_terms(by_lag(spark, d, 2), ["lag"], CLASSES)
-    return t.select(F.col("lag").cast("long").alias("lag"), ((F.least("R", "U1", "U2", "S") >= 0) & (F.abs(F.col("MI") - F.col("R") - F.col("U1") - F.col("U2") - F.col("S")) < 1e-9)).alias("terms_ok"))
+    """Informations by lag from counted posteriors; temporal_pid_batch_terms has the terms."""
+    return parts(L.learned_terms(by_lag(spark, d, 2), ["lag"], CLASSES).withColumn("lag", F.col("lag").cast("long")), "lag")
 
 
 @query()
@@ -378,9 +427,10 @@ def sequence_terms(spark, d):
     return L.learned_terms(P.minibatches(rows, "seq", 32, 2), [], classes)
 
 
-@query("SELECT true AS ok")
+@query("WITH " + HALVES + ", m AS (SELECT seq, CAST(floor(avg(list_avg(a)) * 20) AS BIGINT) AS b1, CAST(floor(avg(list_avg(b)) * 20) AS BIGINT) AS b2, arg_min(y, t) AS yb FROM halves WHERE mask GROUP BY seq), hist AS (SELECT 0 AS one, b1, b2, yb, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL), " + parts_sql("one").replace("SELECT one, round", "SELECT round"))
 def pid_multi_sequence(spark, d):
-    return sequence_terms(spark, d).select((F.least("R", "U1", "U2", "S") >= 0).alias("ok"))
+    """Informations of masked mean sequences; pid_multi_sequence_terms has the terms."""
+    return parts(sequence_terms(spark, d))
 
 
 @query()
