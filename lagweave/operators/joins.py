@@ -18,13 +18,17 @@ def dictionary_join(events: DataFrame, names: DataFrame, item: str) -> DataFrame
     return events.join(F.broadcast(names), item)
 
 
-def interval_join_first(events: DataFrame, spans: DataFrame, keys: Sequence[str], event: str, time: str, span: str, start: str, end: str) -> DataFrame:
+def interval_join_first(events: DataFrame, spans: DataFrame, keys: Sequence[str], event: str, time: str, span: str, start: str, end: str, days: int = 1) -> DataFrame:
     """Each event with the earliest-starting interval of its subject that contains its time, both ends included.
 
-    Unmatched events stay, with nulls; ties go to the smaller interval id. The subject is an equality key, so
-    this is never a nested-loop join; the matches are reduced before they are joined back.
+    Unmatched events stay, with nulls; ties go to the smaller interval id. The equality key is the subject and a
+    period of `days` days: an interval comes once for each period it touches, an event is in one, so an event meets
+    only intervals near it and a busy subject is many tasks' work. The matches are reduced before they are joined back.
     """
-    found = events.select(*keys, event, time).join(spans.select(*keys, span, start, end), list(keys)).where(F.col(time).between(F.col(start), F.col(end)))
+    period = lambda c: F.floor(F.unix_date(F.to_date(c)) / days)
+    cells = spans.select(*keys, span, start, end).where(F.col(start) <= F.col(end)).withColumn("_d", F.explode(F.sequence(period(start), period(end))))
+    met = events.select(*keys, event, time).withColumn("_d", period(time)).join(cells, [*keys, "_d"])
+    found = met.where(F.col(time).between(F.col(start), F.col(end)))
     first = found.groupBy(event).agg(F.min(F.struct(start, span, end)).alias("_s")).select(event, f"_s.{span}", f"_s.{start}", f"_s.{end}")
     return events.join(first, event, "left")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def log_loss(df: DataFrame, y: str, probability: str) -> DataFrame:
     return df.agg(F.avg(-F.log(F.when(F.col(y) == 1, p).otherwise(1 - p))).alias("loss"))
 
 
+def log_loss_classes(df: DataFrame, y: str, probabilities: str) -> DataFrame:
+    """Mean of -ln of the probability given to the true class, kept at or above 1e-12; a class without a number has 0."""
+    p = F.coalesce(F.get(probabilities, F.col(y).cast("int")), F.lit(0.0))
+    return df.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("loss"))
+
+
+def roc_auc_classes(df: DataFrame, y: str, probabilities: str, classes: int) -> DataFrame:
+    """auc of each class against the rest, averaged by the classes' rows; 0 where a class has no row or there is one class."""
+    one = lambda k: roc_auc(df.select((F.col(y) == k).cast("long").alias("_y"), F.get(probabilities, F.lit(k)).alias("_p")), "_y", "_p")
+    each = reduce(DataFrame.union, [one(k).select(F.lit(k).alias("_k"), "auc") for k in range(classes)])
+    rows = df.groupBy(F.col(y).cast("int").alias("_k")).agg(F.count("*").alias("_n"))
+    seen = each.join(rows, "_k", "left")
+    return seen.agg(F.when((F.count("_n") == classes) & (F.lit(classes) > 1), F.sum(F.col("auc") * F.col("_n")) / F.sum("_n")).otherwise(0.0).alias("auc"))
+
+
 def best_epoch(df: DataFrame, epoch: str, metric: str) -> DataFrame:
     """The epoch with the highest metric, the earliest on ties."""
     return df.agg(F.max_by(epoch, F.struct(F.col(metric), -F.col(epoch))).alias(epoch), F.max(metric).alias(metric))

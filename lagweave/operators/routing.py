@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.functions.arrays import jsd, log_softmax, total
@@ -41,21 +41,48 @@ def modality_pairs(df: DataFrame, keys: Sequence[str], probs: str = "probs") ->
     return two.select(*keys, F.col("_x.modality").alias("m1"), F.col("_z.modality").alias("m2"), F.col("_x.p").alias("p1"), F.col("_z.p").alias("p2"))
 
 
+def divergence(variant: str = "standard") -> Column:
+    p, q = F.col("p1"), F.col("p2")
+    if variant == "reference":
+        p, q = (F.transform(log_softmax(x), lambda v: F.exp(v)) for x in (p, q))
+    return jsd(p, q)
+
+
+def no_synergy(synergy_experts: Sequence[int]) -> Column:
+    at = lambda c: total(F.array(*[F.get(c, F.lit(k)) for k in synergy_experts]))
+    return 1 - (at("p1") + at("p2")) / 2
+
+
 def divergence_where(pairs: DataFrame, condition, sign: float = 1.0, variant: str = "standard") -> DataFrame:
     """Mean divergence of the pairs' routing where the condition holds, times sign; 0 where it never does.
 
     variant 'reference' takes the softmax of the probabilities once more before comparing.
     """
-    p, q = F.col("p1"), F.col("p2")
-    if variant == "reference":
-        p, q = (F.transform(log_softmax(x), lambda v: F.exp(v)) for x in (p, q))
-    return pairs.where(condition).agg(F.count("*").alias("n"), (sign * F.coalesce(F.avg(jsd(p, q)), F.lit(0.0))).alias("loss"))
+    return pairs.where(condition).agg(F.count("*").alias("n"), (sign * F.coalesce(F.avg(divergence(variant)), F.lit(0.0))).alias("loss"))
 
 
 def synergy_assignment(pairs: DataFrame, condition, synergy_experts: Sequence[int]) -> DataFrame:
     """Mean of 1 - the two modalities' mean probability of the synergy experts."""
-    at = lambda c: total(F.array(*[F.get(c, F.lit(k)) for k in synergy_experts]))
-    return pairs.where(condition).agg(F.count("*").alias("n"), F.coalesce(F.avg(1 - (at("p1") + at("p2")) / 2), F.lit(0.0)).alias("loss"))
+    return pairs.where(condition).agg(F.count("*").alias("n"), F.coalesce(F.avg(no_synergy(synergy_experts)), F.lit(0.0)).alias("loss"))
+
+
+def gated_losses(pairs: DataFrame, unique: DataFrame, shared: DataFrame, on: Sequence[str], limits: dict[str, float], synergy_experts: Sequence[int], weights: dict[str, float] | None = None, variant: str = "standard") -> DataFrame:
+    """term, n, loss of the pairs (on, m1, m2, p1, p2) whose information terms at that time are above their limits.
+
+    U: minus the divergence where both modalities' `u` in unique (on, m, u) is above the limit; R: the divergence where
+    the pair's `r` in shared (on, m1, m2, r, s) is; S: one minus the mean probability of the synergy experts where `s`
+    is. Means over the pairs that count, times the term's weight; 0 where none does. A pair without a term counts for none.
+    """
+    of = lambda k: unique.select(*on, F.col("m").alias(f"m{k}"), F.col("u").alias(f"_u{k}"))
+    rows = pairs.join(of(1), [*on, "m1"], "left").join(of(2), [*on, "m2"], "left").join(shared.select(*on, "m1", "m2", "r", "s"), [*on, "m1", "m2"], "left")
+    counts = {
+        "U": ((F.col("_u1") > limits["U"]) & (F.col("_u2") > limits["U"]), -divergence(variant)),
+        "R": (F.col("r") > limits["R"], divergence(variant)),
+        "S": (F.col("s") > limits["S"], no_synergy(synergy_experts)),
+    }
+    one = rows.agg(*[x for t, (c, v) in counts.items() for x in (F.count_if(c).alias(f"n{t}"), F.avg(F.when(c, v)).alias(f"l{t}"))])
+    weigh = lambda t: F.coalesce(F.col(f"l{t}"), F.lit(0.0)) * (weights or {}).get(t, 1.0)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"n{t}").alias("n"), weigh(t).alias("loss")) for t in counts])))
 
 
 def weighted_mix(chosen: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -262,6 +262,25 @@ def log_loss(spark, d):
     return M.log_loss(scores(spark, d), "y", "score").select(F.round("loss", 6).alias("loss"))
 
 
+CLASSED = ROUTING + ", p AS (SELECT event_id, y, k, exp(logits[k + 1]) / sum(exp(logits[k + 1])) OVER (PARTITION BY event_id) AS p FROM routing JOIN (SELECT event_id, y FROM series) USING (event_id), range(0, 5) r(k))"
+
+
+def classed(spark, d):
+    """Predictions of five classes: the event's type is the truth, the first five logits of the routing log give the shares."""
+    y = series(spark, d).select("event_id", "y")
+    return routing(spark, d).select("event_id", A.softmax(F.slice("logits", 1, 5)).alias("p")).join(y, "event_id")
+
+
+@query(CLASSED + ", r AS (SELECT k, y = k AS pos, avg(i) OVER (PARTITION BY k, p) AS i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM p)), a AS (SELECT k, count(*) FILTER (pos) AS n, (sum(i) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc FROM r GROUP BY k) SELECT round(sum(auc * n) / sum(n), 6) AS auc FROM a")
+def roc_auc_classes(spark, d):
+    return M.roc_auc_classes(classed(spark, d), "y", "p", 5).select(F.round("auc", 6).alias("auc"))
+
+
+@query(CLASSED + " SELECT round(avg(-ln(p)), 6) AS loss FROM p WHERE k = y")
+def log_loss_classes(spark, d):
+    return M.log_loss_classes(classed(spark, d), "y", "p").select(F.round("loss", 6).alias("loss"))
+
+
 @query("WITH e AS (SELECT user_id AS epoch, round(avg(value), 6) AS metric FROM events GROUP BY 1) SELECT epoch, metric FROM e ORDER BY metric DESC, epoch LIMIT 1")
 def best_epoch(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("metric"))
@@ -323,6 +342,21 @@ def synergy_assignment(spark, d):
     return R.synergy_assignment(token_pairs(spark, d), F.col("m2") != "view", [6, 7]).select("n", F.round("loss", 6).alias("loss"))
 
 
+GATED = PAIRED + RUS + """, tn AS (SELECT cohort, lag, mod1 AS m, mi, u1 / mi AS u, r / mi AS r, s / mi AS s FROM t WHERE mi > 0), g AS (SELECT j.*, a.u AS ua, b.u AS ub, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.r, b.r) END AS r, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.s, b.s) END AS s
+FROM jsd j LEFT JOIN tn a ON a.cohort = j.sample % 8 AND a.lag = day(CAST(j.day AS DATE)) % 6 AND a.m = j.m1 LEFT JOIN tn b ON b.cohort = j.sample % 8 AND b.lag = day(CAST(j.day AS DATE)) % 6 AND b.m = j.m2)"""
+
+
+@query(GATED + " SELECT 'U' AS term, CAST(count(*) AS BIGINT) AS n, round(coalesce(-avg(j), 0), 6) AS loss FROM g WHERE ua > 0.22 AND ub > 0.22 UNION ALL SELECT 'R', CAST(count(*) AS BIGINT), round(coalesce(avg(j), 0), 6) FROM g WHERE r > 0.2 UNION ALL SELECT 'S', CAST(count(*) AS BIGINT), round(coalesce(avg(u), 0), 6) FROM g WHERE s > 0.2")
+def rus_gated_losses(spark, d):
+    """Routing losses of the pairs whose terms at that time are above a limit: each modality's shares of a cohort stand for its timeline, a pair has the lesser ones."""
+    t = term_rows(spark, d).where("MI > 0").select("cohort", F.col("lag").alias("step"), F.col("mod1").alias("m"), (F.col("U1") / F.col("MI")).alias("u"), (F.col("R") / F.col("MI")).alias("r"), (F.col("S") / F.col("MI")).alias("s"))
+    one, two = (t.select("cohort", "step", F.col("m").alias(f"m{k}"), F.col("r").alias(f"r{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
+    shared = one.join(two, ["cohort", "step"]).where("m1 < m2").select("cohort", "step", "m1", "m2", F.least("r1", "r2").alias("r"), F.least("s1", "s2").alias("s"))
+    pairs = token_pairs(spark, d).withColumns({"cohort": F.col("sample") % 8, "step": F.dayofmonth(F.to_date("day")).cast("long") % 6})
+    found = R.gated_losses(pairs, t, shared, ["cohort", "step"], {"U": 0.22, "R": 0.2, "S": 0.2}, [6, 7])
+    return found.select("term", "n", F.round("loss", 6).alias("loss"))
+
+
 @query(TOP + ", w AS (SELECT event_id, expert, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY event_id) AS weight FROM top WHERE r <= 2), o AS (SELECT vec_id AS expert, unnest(range(1, 9)) AS p, unnest(embedding[1:8]) AS v FROM embeddings WHERE vec_id < 8) SELECT event_id, CAST(p - 1 AS BIGINT) AS pos, round(sum(weight * CAST(v AS DOUBLE)), 6) AS v FROM w JOIN o USING (expert) GROUP BY ALL")
 def weighted_expert_mix(spark, d):
     w = routing(spark, d).select("event_id", F.inline(P.topk(F.col("logits"), 2)))

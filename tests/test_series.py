@@ -106,3 +106,16 @@ def test_sensor_files_and_assets(spark, tmp_path):
     (folder / "x.jpg").write_bytes(b"1")
     asked = spark.createDataFrame([(10001, 3, "x"), (10001, 3, "y")], "subject long, study long, name string").withColumn("path", readers.asset_path(F.col("subject"), F.col("study"), F.col("name")))
     assert [r["name"] for r in readers.existing_assets(spark, asked, str(tmp_path / "files"), "path").collect()] == ["x"]
+
+
+def test_interval_join_over_period_borders(spark):
+    """Long, short, reversed and touching intervals, one subject with most rows, against plain Python."""
+    spans = [(1, 10, 0, 400), (1, 11, 30, 40), (1, 12, 47, 48), (2, 13, 50, 20), (1, 14, 0, 400), (3, 15, 5, None), (2, 16, 24, 24)]
+    events = [(k, 1 if k % 5 else 2, k) for k in range(300)] + [(900, 3, 6), (901, 1, None), (902, 1, 401)]
+    hour = lambda c: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {c})")
+    s = spark.createDataFrame(spans, "subject long, span long, a int, b int").select("subject", "span", hour("a").alias("start"), hour("b").alias("end"))
+    e = spark.createDataFrame(events, "event long, subject long, a int").select("event", "subject", hour("a").alias("at"))
+    want = {ev: min(((a, sp) for su, sp, a, b in spans if su == sub and None not in (b, at) and a <= at <= b), default=(None, None))[1] for ev, sub, at in events}
+    for days in (1, 3):
+        got = joins.interval_join_first(e, s, ["subject"], "event", "at", "span", "start", "end", days).collect()
+        assert len(got) == len(events) and {r["event"]: r["span"] for r in got} == want
