@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.functions.arrays import equal_width_bin
+from lagweave.functions.arrays import equal_width_bin, row_mean
 
 from .series import lag_align
 
@@ -38,6 +38,13 @@ def joint_hist_multilag(df: DataFrame, keys: Sequence[str], pairs: Sequence[tupl
     return flat.where("b1 is not null and b2 is not null and yb is not null").groupBy(*keys, "mod1", "mod2", "lag", *CELL).agg(F.count("*").alias("n"))
 
 
+def joint_hist_vectors(df: DataFrame, x1: str, x2: str, y: str, bins: int = 16) -> DataFrame:
+    """b1, b2, yb, n of two vectors: edges from all numbers of a vector column, the binned value is the row's mean."""
+    e = df.agg(*[f(g(c)).alias(f"{c}_{n}") for c in (x1, x2) for n, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))]).first()
+    b = lambda c: equal_width_bin(row_mean(F.col(c)), F.lit(e[f"{c}_lo"]), F.lit(e[f"{c}_hi"]), bins)
+    return df.select(b(x1).alias("b1"), b(x2).alias("b2"), F.col(y).alias("yb")).groupBy(*CELL).agg(F.count("*").alias("n"))
+
+
 def marginals(hist: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
     """All one- and two-variable marginals in one pass: the variables that are summed out are null."""
     sets = [[*keys, *s] for s in (("b1",), ("b2",), ("yb",), ("b1", "yb"), ("b2", "yb"), ("b1", "b2"))]
@@ -196,5 +203,15 @@ def pid(hist: DataFrame, keys: Sequence[str], unit: str = "nats") -> DataFrame:
     return gathered(hist, keys).mapInPandas(solve, schema)
 
 
+def with_failed_lags(found: DataFrame, groups: DataFrame, keys: Sequence[str], lags: Sequence[int], method: str = "joint") -> DataFrame:
+    """A row for each group and lag: where nothing was found, or no number, the terms are NaN and the method 'failed'."""
+    terms = [c for c in found.columns if c not in (*keys, "lag")]
+    grid = groups.select(*keys).distinct().withColumn("lag", F.explode(F.array(*[F.lit(k).cast("long") for k in lags])))
+    rows = grid.join(found.withColumn("lag", F.col("lag").cast("long")), [*keys, "lag"], "left")
+    ok = F.col("MI").isNotNull() & ~F.isnan("MI")
+    doubles = {c for c, t in found.dtypes if t == "double"}
+    return rows.select(*keys, "lag", *[F.when(ok, F.col(c)).otherwise(float("nan") if c in doubles else None).alias(c) for c in terms], F.when(ok, method).otherwise("failed").alias("method"))
+
+
 def entropy_of(share: Column) -> Column:
     return F.sum(F.when(share > 0, -share * F.log(share)).otherwise(0.0))

@@ -25,14 +25,25 @@ def hist_posterior(df: DataFrame, state: Sequence[str], y: str, classes: int, to
     return one.select(*state, F.transform("_n", lambda x: (x + SMOOTH) / total).alias(to))
 
 
-def fit_posterior(df: DataFrame, features: str, y: str, to: str = "posterior", train: Column | None = None, rounds: int = 30) -> DataFrame:
-    """df with a class posterior by multinomial logistic regression, fitted on the training rows, as an array."""
+def posterior_model(df: DataFrame, features: str, y: str, rounds: int = 30):
+    """A multinomial logistic regression of y on a feature array."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(array_to_vector(F.col(features)).alias("_f"), F.col(y).cast("double").alias("_y"))
+    return LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=rounds, regParam=1e-3, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(rows)
+
+
+def with_posterior(df: DataFrame, model, features: str, to: str = "posterior") -> DataFrame:
+    """df with the model's class posterior as an array."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.withColumn("_f", array_to_vector(F.col(features))).withColumn("_y", F.col(y).cast("double"))
-    model = LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=rounds, regParam=1e-3, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(rows if train is None else rows.where(train))
-    return model.transform(rows).withColumn(to, vector_to_array("_p")).drop("_f", "_y", "_p", "_r", "_c")
+    return model.transform(df.withColumn("_f", array_to_vector(F.col(features)))).withColumn(to, vector_to_array("_p")).drop("_f", "_p", "_r", "_c")
+
+
+def fit_posterior(df: DataFrame, features: str, y: str, to: str = "posterior", train: Column | None = None, rounds: int = 30) -> DataFrame:
+    """df with a class posterior by multinomial logistic regression, fitted on the training rows, as an array."""
+    return with_posterior(df, posterior_model(df if train is None else df.where(train), features, y, rounds), features, to)
 
 
 def lag_features(features: Column, lag: Column, lags: int) -> Column:
@@ -121,9 +132,9 @@ def decompose_learned(df: DataFrame) -> DataFrame:
 
 
 def learned_terms(df: DataFrame, keys: Sequence[str], classes: int, y: str = "y") -> DataFrame:
-    """keys, i1, i2, i12, iq (bits) and the terms, from rows with posteriors p1, p2, p12 and a batch_id."""
+    """keys, i1, i2, i12, iq (bits) and the terms, from rows with posteriors p1, p2, p12 and a batch_id, and class shares `prior` or else the rows' own."""
     keyed = keys or ["_all"]
-    rows = with_prior(df, y, classes, keys).withColumn("_all", F.lit(0))
+    rows = (df if "prior" in df.columns else with_prior(df, y, classes, keys)).withColumn("_all", F.lit(0))
     parts = rows.groupBy(*keyed).agg(*[(F.avg(kl(F.col(p), F.col("prior"))) / math.log(2)).alias(i) for p, i in (("p1", "i1"), ("p2", "i2"), ("p12", "i12"))])
     q = batch_couplings(df.withColumn("_all", F.lit(0)), keyed).groupBy(*keyed).agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"))
     return decompose_learned(parts.join(q, list(keyed)).drop("_all"))

@@ -11,6 +11,7 @@ from lagweave.functions import arrays as A
 from lagweave.operators import aggregate as G
 from lagweave.operators import info as I
 from lagweave.operators import learned as L
+from lagweave.operators import resampled as Q
 from lagweave.operators import sampling as P
 from lagweave.operators import series as S
 from lagweave.sources.storage import written
@@ -62,10 +63,7 @@ MULTI = "WITH " + HALVES + ", means AS (SELECT label AS y, list_avg(CAST(embeddi
 @query(MULTI + f" SELECT b1, b2, yb, CAST(count(*) AS BIGINT) AS n FROM (SELECT {bin_sql('m1', 'a1', 'z1', 16)} AS b1, {bin_sql('m2', 'a2', 'z2', 16)} AS b2, CAST(y AS BIGINT) AS yb FROM e) GROUP BY ALL")
 def joint_hist_multivariate(spark, d):
     """Edges from all numbers of a modality, the binned value is the row's mean."""
-    h = halves(spark, d)
-    e = h.agg(*[f(g(c)).alias(f"{c}_{n}") for c in ("a", "b") for n, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))]).first()
-    b = lambda c: A.equal_width_bin(A.row_mean(F.col(c)), F.lit(e[f"{c}_lo"]), F.lit(e[f"{c}_hi"]), 16)
-    return h.select(b("a").alias("b1"), b("b").alias("b2"), F.col("y").alias("yb")).groupBy("b1", "b2", "yb").agg(F.count("*").alias("n"))
+    return I.joint_hist_vectors(halves(spark, d), "a", "b", "y", 16)
 
 
 @query(HIST + " SELECT subject, lag, b1, b2, yb, CAST(sum(n) AS BIGINT) AS n FROM hist GROUP BY GROUPING SETS ((subject, lag, b1), (subject, lag, b2), (subject, lag, yb), (subject, lag, b1, yb), (subject, lag, b2, yb), (subject, lag, b1, b2))")
@@ -135,6 +133,15 @@ def multi_lag_pid(spark, d):
     return identities(I.pid(hist(spark, d, 2), K))
 
 
+@query(INFO + f" SELECT g.subject, g.lag, round(i1.mi, 6) AS r_u1, round(i2.mi, 6) AS r_u2, round(i12.mi, 6) AS total, CASE WHEN i12.mi IS NULL THEN 'failed' ELSE 'joint' END AS method FROM (SELECT DISTINCT subject, CAST(k AS BIGINT) AS lag FROM series, range(0, {LAGS + 1}) r(k)) g LEFT JOIN i1 USING (subject, lag) LEFT JOIN i2 USING (subject, lag) LEFT JOIN i12 USING (subject, lag)")
+def multi_lag_pid_rows(spark, d):
+    """Every subject at every lag up to 5, those without a pair of rows as failed; terms that are no number are null here."""
+    s = series(spark, d)
+    found = I.with_failed_lags(I.pid(hist(spark, d), K), s, ["subject"], range(LAGS + 1))
+    sums = {"r_u1": F.col("R") + F.col("U1"), "r_u2": F.col("R") + F.col("U2"), "total": F.col("R") + F.col("U1") + F.col("U2") + F.col("S")}
+    return found.select("subject", "lag", *[F.when(~F.isnan(v), F.round(F.greatest(F.lit(0.0), v), 6)).alias(k) for k, v in sums.items()], "method")
+
+
 @query(SERIES + ", hist AS (SELECT event_type, CAST(x2 % 4 AS BIGINT) AS b1, CAST(floor(x1 / 40) AS BIGINT) % 3 AS b2, CAST(event_id % 2 AS BIGINT) AS yb, count(*) AS n FROM series GROUP BY ALL), i1 AS " + mi_sql("b1", "yb", keys="event_type") + ", i2 AS " + mi_sql("b2", "yb", keys="event_type") + ", i12 AS " + mi_sql("b1, b2", "yb", keys="event_type") + " SELECT event_type, round(i1.mi, 6) AS r_u1, round(i2.mi, 6) AS r_u2, round(i12.mi, 6) AS total FROM i1 JOIN i2 USING (event_type) JOIN i12 USING (event_type)")
 def udf_pid_solver(spark, d):
     """The solver over any grouped cells a user brings."""
@@ -444,6 +451,68 @@ def rus_stays(spark, d):
     return G.average_over_lags(t, ["mod1", "mod2"]).join(G.dominant_terms(t, ["mod1", "mod2"]).drop("lags"), ["mod1", "mod2"])
 
 
+def vector_series(spark, d):
+    """The sensor series with each signal as a vector of one number."""
+    return series(spark, d).select("event_id", "subject", "i", "n", F.array("x1").alias("a"), F.array("x2").alias("b"), "y")
+
+
+@query()
+def temporal_pid_resampled_terms(spark, d):
+    """Standardised, fitted on the first four fifths of each series, scored on the rest, over two resamples where rows abound."""
+    return Q.temporal_batch(vector_series(spark, d), ["subject"], "event_id", "a", "b", "y", range(3), CLASSES, resamples=2)
+
+
+@query(SERIES + ", p AS (SELECT subject, CAST(k AS BIGINT) AS lag, n - k AS n FROM (SELECT DISTINCT subject, n FROM series), range(0, 3) r(k) WHERE n > k) SELECT lag, CAST(sum(floor(n * 0.8::DOUBLE)) AS BIGINT) AS train_rows, CAST(sum(n - floor(n * 0.8::DOUBLE)) AS BIGINT) AS test_rows, 'batch' AS method, true AS adds_up FROM p GROUP BY lag")
+def temporal_pid_resampled(spark, d):
+    """The rows that fit and that are scored at each lag, and that no term is negative and they add up."""
+    t = temporal_pid_resampled_terms(spark, d)
+    whole = (F.least("R", "U1", "U2", "S") >= 0) & (F.abs(F.col("R") + F.col("U1") + F.col("U2") + F.col("S") - F.col("MI")) < 1e-9)
+    return t.select("lag", "train_rows", "test_rows", "method", whole.alias("adds_up"))
+
+
+def sequences(spark, d):
+    """Masked sequences of three modalities, thirds of the vectors, labelled by their first step; n is the number of steps."""
+    h = halves(spark, d).withColumn("_v", F.concat("a", "b"))
+    label = h.groupBy("seq").agg(F.min_by("y", "t").alias("y"), F.max(F.col("t") + 1).alias("n"))
+    return h.select("seq", "t", "mask", *[F.slice("_v", at, 21).alias(c) for c, at in (("a", 1), ("b", 22), ("c", 43))]).join(label, "seq")
+
+
+def sequence_lags(spark, d, pooling: str, pair: tuple[str, str] = ("a", "b")):
+    rows = sequences(spark, d)
+    classes = (rows.agg(F.max("y")).first()[0] or 0) + 1
+    return Q.sequence_batch(rows, "seq", *pair, "y", S.lag_grid(10, 2), classes, "mask", pooling, resamples=2)
+
+
+@query()
+def pid_multi_sequence_lag_terms(spark, d):
+    """Terms of both poolings at both lags of the grid."""
+    return sequence_lags(spark, d, "mean").withColumn("pooling", F.lit("mean")).union(sequence_lags(spark, d, "timestep").withColumn("pooling", F.lit("timestep")))
+
+
+@query("WITH " + HALVES + ", n AS (SELECT seq, max(t) + 1 AS n FROM halves GROUP BY seq), s AS (SELECT seq, mask, CAST(lag AS BIGINT) AS lag FROM halves JOIN n USING (seq), (VALUES (0), (5)) v(lag) WHERE t < n - lag), c AS (SELECT 'mean' AS pooling, lag, count(DISTINCT seq) AS n FROM s WHERE mask GROUP BY lag UNION ALL SELECT 'timestep', lag, count(*) FROM s GROUP BY lag) SELECT pooling, lag, CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS train_rows, CAST(n - trunc(n * 0.8::DOUBLE) AS BIGINT) AS test_rows, 'batch' AS method FROM c")
+def pid_multi_sequence_lags(spark, d):
+    """The rows that fit and that are scored, by pooling and lag."""
+    return pid_multi_sequence_lag_terms(spark, d).select("pooling", "lag", "train_rows", "test_rows", "method")
+
+
+@query()
+def rus_stays_lags(spark, d):
+    """Every pair of three modalities at both lags, the means over lags and the dominant term."""
+    each = [sequence_lags(spark, d, "mean", p).withColumns({"mod1": F.lit(p[0]), "mod2": F.lit(p[1])}) for p in (("a", "b"), ("a", "c"), ("b", "c"))]
+    terms, keys = written(each[0].union(each[1]).union(each[2]), "terms"), ["mod1", "mod2"]
+    return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)
+
+
+@query()
+def temporal_pid_auto(spark, d):
+    """Narrow, wide and very wide vectors, each by the method their width asks for."""
+    h = halves(spark, d).select("vec_id", "a", "b", "y", F.floor(F.col("vec_id") / 1000).alias("part"))
+    classes = (h.agg(F.max("y")).first()[0] or 0) + 1
+    s = S.series_index(h, ["part"], ["vec_id"])
+    each = [Q.vector_terms(s.withColumns({c: F.slice(c, 1, w) for c in ("a", "b")}), ["part"], "vec_id", "a", "b", "y", classes, resamples=2).withColumn("width", F.lit(2 * w)) for w in (5, 16, 32)]
+    return each[0].union(each[1]).union(each[2])
+
+
 @query()
 def pid_standalone(spark, d):
     return L.learned_terms(batches(spark, d), [], CLASSES)

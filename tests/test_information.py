@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lagweave.operators import info, learned, series
+from lagweave.operators import info, learned, resampled, series
 from lagweave.plans import registry
 from lagweave.sources.synthetic import causal_series
 
@@ -130,3 +130,47 @@ def test_equal_posteriors_are_one_row():
 def test_registered_terms(spark, name):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert {"R", "U1", "U2", "S", "MI"} <= set(got.columns) and name not in registry.ORACLES and got.count() > 0
+
+
+def test_zscored_is_numpy_s(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(3, 5, (40, 3))
+    v[:, 2] = 7
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "k long, v array<double>")
+    got = np.array([r["v"] for r in resampled.zscored(df, ["v"]).orderBy("k").collect()])
+    assert np.allclose(got, (v - v.mean(0)) / (v.std(0) + 1e-8))
+    assert resampled.zscored(df.where("false"), ["v"]).count() == 0
+
+
+def signals(spark, n):
+    """y tells the first signal's sign one step before, the second signal nothing."""
+    rng = np.random.default_rng(2)
+    a, b = rng.choice([-1, 1], n) * rng.uniform(1, 1.5, n), rng.normal(size=n)  # a gap between the signs, so a fitted posterior is sure
+    y = np.concatenate([[0], (a[:-1] > 0).astype(int)])
+    return series.series_index(spark.createDataFrame([(1, k, [float(p)], [float(q)], int(c)) for k, (p, q, c) in enumerate(zip(a, b, y, strict=True))], "s long, k long, a array<double>, b array<double>, y long"), ["s"], ["k"])
+
+
+def test_resampled_terms_on_held_out_rows(spark):
+    got = {r["lag"]: r for r in resampled.temporal_batch(signals(spark, 500), ["s"], "k", "a", "b", "y", [0, 1, 499], 2, size=16, resamples=2).collect()}
+    assert got[1]["U1"] > 0.8 and max(got[1]["R"], got[1]["U2"], got[1]["S"]) < 0.1 and got[0]["MI"] < 0.2
+    assert [(got[k]["train_rows"], got[k]["test_rows"], got[k]["method"]) for k in (0, 1, 499)] == [(400, 100, "batch"), (399, 100, "batch"), (0, 1, "failed")]
+    assert np.isnan(got[499]["MI"])
+
+
+def test_method_by_width(spark):
+    assert [resampled.choose_method(w) for w in (2, 10, 11, 50, 51)] == ["joint", "joint", "regularized", "regularized", "batch"]
+    s = signals(spark, 300)
+    one = resampled.vector_terms(s, ["s"], "k", "a", "b", "y", 2, lag=1, bins=4).first()
+    assert one["method"] == "joint" and one["U1"] + one["R"] > 0.5 and one["U2"] < 0.1
+    with pytest.raises(ValueError):
+        resampled.vector_terms(s, ["s"], "k", "a", "b", "y", 2, method="other")
+    with pytest.raises(ValueError):
+        resampled.sequence_batch(s, "s", "a", "b", "y", [0], 2, pooling="other")
+
+
+def test_lags_without_rows_are_failed(spark):
+    found = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, float("nan"), float("nan"))], "s long, lag long, R double, MI double")
+    groups = spark.createDataFrame([(1,), (1,), (2,)], "s long")
+    got = {(r["s"], r["lag"]): r for r in info.with_failed_lags(found, groups, ["s"], range(2)).collect()}
+    assert len(got) == 4 and got[1, 0]["method"] == "joint" and got[1, 0]["R"] == 0.5
+    assert all(np.isnan(got[k]["R"]) and got[k]["method"] == "failed" for k in ((1, 1), (2, 0), (2, 1)))
