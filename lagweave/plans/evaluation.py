@@ -271,6 +271,14 @@ def classed(spark, d):
     return routing(spark, d).select("event_id", A.softmax(F.slice("logits", 1, 5)).alias("p")).join(y, "event_id")
 
 
+@query(CLASSED + " SELECT event_id, max(y) AS y, arg_max(k, p) AS predicted, CAST(count(*) AS BIGINT) AS classes, round(max(p), 6) AS most FROM p GROUP BY event_id")
+def write_class_predictions(spark, d):
+    """Truth, prediction and the array of class probabilities, written and read back."""
+    path = scratch(spark, "predictions")
+    classed(spark, d).select("event_id", "y", A.argmax(F.col("p")).alias("predicted"), "p").write.parquet(path)
+    return spark.read.parquet(path).select("event_id", "y", "predicted", F.size("p").cast("long").alias("classes"), F.round(F.array_max("p"), 6).alias("most"))
+
+
 @query(CLASSED + ", r AS (SELECT k, y = k AS pos, avg(i) OVER (PARTITION BY k, p) AS i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM p)), a AS (SELECT k, count(*) FILTER (pos) AS n, (sum(i) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc FROM r GROUP BY k) SELECT round(sum(auc * n) / sum(n), 6) AS auc FROM a")
 def roc_auc_classes(spark, d):
     return M.roc_auc_classes(classed(spark, d), "y", "p", 5).select(F.round("auc", 6).alias("auc"))
