@@ -9,6 +9,7 @@ from lagweave.operators import metrics as M
 from lagweave.operators import routing as R
 from lagweave.operators import sampling as P
 from lagweave.operators import series as S
+from lagweave.operators.aggregate import TERMS, average_over_lags
 from lagweave.operators.aggregate import apply_standardizer as standardized
 from lagweave.operators.aggregate import fit_standardizer as fit_scaler
 from lagweave.functions import arrays as A
@@ -220,6 +221,14 @@ def sequence_dataset(spark, d):
     return records(spark, d).select("stay_id", S.truncate_pad(values, 12, F.lit(0.0)).alias("v")).select("stay_id", F.size("v").cast("long").alias("n"), F.round(A.total(F.col("v")), 6).alias("total"))
 
 
+@query(WINDOWS + RUS + ", a AS (SELECT cohort, avg(r) AS r, avg(u1) AS u1, avg(u2) AS u2, avg(s) AS s FROM t WHERE mi > 1e-9 GROUP BY cohort), n AS (SELECT subject, w, count(*) AS n FROM windows GROUP BY ALL) SELECT subject, w, CAST(n AS BIGINT) AS n, round(r, 6) AS \"R\", round(u1, 6) AS \"U1\", round(u2, 6) AS \"U2\", round(s, 6) AS \"S\" FROM n LEFT JOIN a ON a.cohort = n.subject % 8")
+def attach_rus_terms(spark, d):
+    """Each window of a subject with the mean terms of its cohort; Spark's size check decides how the terms travel."""
+    means = average_over_lags(term_rows(spark, d), ["cohort"]).select("cohort", *[F.round(t, 6).alias(t) for t in TERMS])
+    w = H.windows_dataset(series(spark, d), ["subject"], 16, 8, ["x1"], "y").select("subject", "w", F.size("rows").cast("long").alias("n"), (F.col("subject") % 8).alias("cohort"))
+    return w.join(means, "cohort", "left").drop("cohort")
+
+
 PREDICTED = SCORES + ", p AS (SELECT doc_id, y, score, CAST(score >= 0.5 AS BIGINT) AS predicted FROM scores), l AS (SELECT y AS label FROM p UNION SELECT predicted FROM p), m AS (SELECT a.label AS actual, b.label AS predicted, CAST((SELECT count(*) FROM p WHERE y = a.label AND predicted = b.label) AS BIGINT) AS n FROM l a, l b)"
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions import arrays as A
@@ -286,6 +287,19 @@ def mi_vs_te(spark, d):
     return rounded(static.join(I.transfer_entropy(series(spark, d), ["subject"], "x2", "x1", 2, BINS), "subject"), "mi", "te")
 
 
+BACK = TE.replace("a.x1 AS b1, a.x2 AS b2, b.x1 AS yb", "a.x2 AS b1, a.x1 AS b2, b.x2 AS yb")
+DIRECTIONS = [(source, lag) for source in ("x1", "x2") for lag in (1, 2, 3)]
+
+
+@query(" UNION ALL ".join("SELECT * FROM (" + (TE if source == "x2" else BACK).format(lag=lag) + f" SELECT subject, '{source}' AS source, CAST({lag} AS BIGINT) AS lag, round((i12.mi - i1.mi) / ln(2), 6) AS te FROM i1 JOIN i12 USING (subject, lag))" for source, lag in DIRECTIONS))
+def te_by_source_and_lag(spark, d):
+    """What either signal tells about the other's next steps, at lags 1 to 3."""
+    s = series(spark, d)
+    target = {"x1": "x2", "x2": "x1"}
+    each = [rounded(I.transfer_entropy(s, ["subject"], source, target[source], lag, BINS), "te").select("subject", F.lit(source).alias("source"), F.lit(lag).cast("long").alias("lag"), "te") for source, lag in DIRECTIONS]
+    return reduce(DataFrame.union, each)
+
+
 @query("WITH " + HALVES + " SELECT CAST(count(*) AS BIGINT) AS rows_seen, CAST(4 AS BIGINT) AS width, true AS ordered FROM halves")
 def reduce_dims(spark, d):
     """Four components whose variances fall."""
