@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagweave.sources.storage import written
+
 
 def confusion_matrix(df: DataFrame, y: str, predicted: str) -> DataFrame:
     """actual, predicted, n with zero cells kept, over the labels seen on either side."""
@@ -75,6 +77,7 @@ def log_loss_classes(df: DataFrame, y: str, probabilities: str) -> DataFrame:
 
 def roc_auc_classes(df: DataFrame, y: str, probabilities: str, classes: int) -> DataFrame:
     """auc of each class against the rest, averaged by the classes' rows; 0 where a class has no row or there is one class."""
+    df = written(df.select(y, probabilities), "predictions")  # read once a class and more
     one = lambda k: roc_auc(df.select((F.col(y) == k).cast("long").alias("_y"), F.get(probabilities, F.lit(k)).alias("_p")), "_y", "_p")
     each = reduce(DataFrame.union, [one(k).select(F.lit(k).alias("_k"), "auc") for k in range(classes)])
     rows = df.groupBy(F.col(y).cast("int").alias("_k")).agg(F.count("*").alias("_n"))
