@@ -81,6 +81,26 @@ def vector_bucket_mean(df: DataFrame, keys: Sequence[str], vector: str) -> DataF
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(vector))
 
 
+def align_vectors(rows: DataFrame, steps: DataFrame, key: str, time: str, vector: str, dims: int, width: float = 1.0, interpolate: bool = False) -> DataFrame:
+    """(key, t, vector, mask) on each key's grid of n steps, which `steps` (key, n) gives: a bucket's mean, zeros and a false mask elsewhere.
+
+    With `interpolate`, a key that has any vector gets lines between them, the nearest one outside, and a true mask
+    throughout. Times off the grid go; a key without vectors stays zero and false, one of no steps has no rows.
+    """
+    placed = rows.withColumn("t", bucket(F.col(time), width)).join(steps, key).where("t >= 0 and t < n")
+    means = vector_bucket_mean(placed, [key, "t"], vector)
+    grid = steps.where("n > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("t")).join(means, [key, "t"], "left")
+    if interpolate:
+        before = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        after = Window.partitionBy(key).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+        known = F.when(F.col(vector).isNotNull(), F.struct("t", vector))
+        grid = grid.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.first(known, True).over(after))
+        share = (F.col("t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
+        line = F.zip_with(F.col(f"_a.{vector}"), F.col(f"_b.{vector}"), lambda x, y: x + (y - x) * share)
+        grid = grid.withColumn(vector, F.coalesce(vector, F.when(F.col("_a").isNull(), F.col(f"_b.{vector}")).when(F.col("_b").isNull(), F.col(f"_a.{vector}")).otherwise(line)))
+    return grid.select(key, "t", F.coalesce(vector, F.array_repeat(F.lit(0.0), dims)).alias(vector), F.col(vector).isNotNull().alias("mask"))
+
+
 def sliding_windows(df: DataFrame, keys: Sequence[str], size: int, step: int, order: str = "i", length: str = "n") -> DataFrame:
     """Each row once for each full window of `size` rows that holds it; w is the window's number, pos the place in it."""
     i, last = F.col(order), F.floor((F.col(length) - size) / step)

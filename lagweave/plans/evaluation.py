@@ -50,10 +50,13 @@ def scan_parquet(spark, d):
     return spark.read.parquet(path).where("o_orderpriority like '1%'").select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("SELECT doc_id, concat('p', substr(CAST(10000 + doc_id AS VARCHAR), 1, 2), '/p', CAST(10000 + doc_id AS VARCHAR), '/s', CAST(doc_id % 7 AS VARCHAR), '/', lang, '.jpg') AS path FROM documents")
+@query("SELECT doc_id, concat('p', substr(CAST(10000 + doc_id AS VARCHAR), 1, 2), '/p', CAST(10000 + doc_id AS VARCHAR), '/s', CAST(doc_id % 7 AS VARCHAR), '/', lang, '.jpg') AS path FROM documents WHERE doc_id % 3 <> 0")
 def scan_binary_assets(spark, d):
-    """The assets' paths; `existing_assets` keeps those whose file is there."""
-    return table(spark, d, "documents").select("doc_id", X.asset_path(F.col("doc_id") + 10000, F.col("doc_id") % 7, F.col("lang")).alias("path"))
+    """Rows whose asset is there: two thirds of the files are written, a listing tells which."""
+    root = scratch(spark, "assets")
+    rows = table(spark, d, "documents").select("doc_id", "source", X.asset_path(F.col("doc_id") + 10000, F.col("doc_id") % 7, F.col("lang")).alias("path"))
+    X.write_assets(rows.where("doc_id % 3 <> 0"), "path", "source", root)
+    return X.existing_assets(spark, rows.select("doc_id", "path"), root, "path", "*.jpg")
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS words FROM documents")
@@ -116,32 +119,6 @@ def run_tag(spark, d):
 # cohort tasks
 
 
-def stay_rows(spark, d):
-    """Events inside stays with hours from the start."""
-    t = two_level(spark, d).where("stay_id is not null")
-    e = table(spark, d, "events").select("event_id", "event_type", "value")
-    return t.join(e, "event_id").select("stay_id", "event_id", "event_type", "value", S.hours_between(F.col("intime"), F.col("ts")).alias("t"))
-
-
-STAY_ROWS = TWO + ", rows AS (SELECT two.stay_id, event_id, event_type, value, date_diff('microsecond', s.intime, two.ts) / 3.6e9 AS t FROM two JOIN events e USING (event_id) JOIN stays s USING (stay_id))"
-
-
-def records(spark, d):
-    rows = stay_rows(spark, d)
-    one = lambda kinds, name: H.ordered(rows.where(F.col("event_type").isin(kinds)), "stay_id", "t", ["event_id", "value"], name)
-    return H.stay_records(stays(spark, d).select("stay_id", "subject"), "stay_id", {"irregular": one(["signup", "view", "click"], "irregular"), "notes": one(["error"], "notes")}, ["irregular"])
-
-
-RECORDS = STAY_ROWS + ", records AS (SELECT s.stay_id, count(*) FILTER (event_type IN ('signup', 'view', 'click')) AS irregular_n, round(sum(value) FILTER (event_type IN ('signup', 'view', 'click')), 6) AS irregular_sum, count(*) FILTER (event_type = 'error') AS notes_n FROM stays s JOIN rows r USING (stay_id) GROUP BY s.stay_id)"
-
-
-@query(RECORDS + " SELECT stay_id, CAST(irregular_n AS BIGINT) AS irregular_n, irregular_sum, CAST(notes_n AS BIGINT) AS notes_n, CAST(notes_n = 0 AS BIGINT) AS notes_missing FROM records WHERE irregular_n > 0")
-def build_stay_records(spark, d):
-    r = records(spark, d)
-    total = F.aggregate("irregular", F.lit(0.0), lambda s, x: s + x["value"])
-    return r.select("stay_id", F.size("irregular").cast("long").alias("irregular_n"), F.round(total, 6).alias("irregular_sum"), F.size("notes").cast("long").alias("notes_n"), "notes_missing")
-
-
 TASK = LABELLED + ", held AS (SELECT a.hadm_id, any_value(died) AS died, count(e.event_id) AS n FROM died JOIN admissions a USING (hadm_id) JOIN events e ON e.user_id = a.subject AND e.ts BETWEEN a.admittime AND a.admittime + INTERVAL 48 HOUR GROUP BY 1 HAVING count(e.event_id) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY md5(concat('5:', CAST(hadm_id AS VARCHAR))), hadm_id) - 1 AS rank, count(*) OVER () AS total FROM held), cut AS (SELECT *, CASE WHEN rank < trunc(0.7::DOUBLE * total) THEN 'train' WHEN rank < trunc(0.7::DOUBLE * total) + trunc(0.15::DOUBLE * total) THEN 'val' ELSE 'test' END AS split FROM r)"
 
 
@@ -154,19 +131,6 @@ def task_rows(spark, d):
     return P.split_random(held, "hadm_id", 5)
 
 
-@query(TASK + " SELECT split, CAST(count(*) AS BIGINT) AS stays, CAST(sum(died) AS BIGINT) AS positive, CAST(sum(n) AS BIGINT) AS rows_seen FROM cut GROUP BY split")
-def task_mortality(spark, d):
-    t = task_rows(spark, d)
-    fitted = fit_scaler(t.where("split = 'train'"), ["value"])
-    return standardized(t, fitted, ["value"]).groupBy("split").agg(F.count("*").alias("stays"), F.sum("died").alias("positive"), F.sum("n").alias("rows_seen"))
-
-
-@query(TASK + " SELECT split, CAST(count(*) AS BIGINT) AS stays, CAST(sum(CASE WHEN 48 + 12 * (hadm_id % 12) < 96 AND died = 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM cut GROUP BY split")
-def task_los(spark, d):
-    label = H.los_label(F.lit(48) + 12 * (F.col("hadm_id") % 12), F.col("died"))
-    return task_rows(spark, d).groupBy("split").agg(F.count("*").alias("stays"), F.sum(label).alias("positive"))
-
-
 @query(TASK + " SELECT split, CAST(count(*) AS BIGINT) AS stays, CAST(sum(n) AS BIGINT) AS rows_seen FROM cut GROUP BY split")
 def write_stays(spark, d):
     """Nested stays by split, with the scaler's parameters beside them, written and read back."""
@@ -193,14 +157,6 @@ def build_images(spark, d):
     return found.select("event_id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("at"), "stay_id", F.round(S.hours_between(F.col("intime"), F.col("at")), 6).alias("icu"))
 
 
-@query("WITH " + MEASURES + " SELECT subject, CAST(floor(epoch(charttime) / 3600) AS BIGINT) AS hour, " + ", ".join(f"arg_min(valuenum, event_id) FILTER (event = '{e}') AS \"{e}\"" for e in ("click", "view")) + " FROM measures WHERE event IN ('click', 'view') GROUP BY ALL")
-def build_irregular_series(spark, d):
-    from lagweave.operators.aggregate import pivot_first as pivot
-
-    m = measures(spark, d).where("event in ('click', 'view')").withColumn("hour", F.floor(F.unix_timestamp("charttime") / 3600).cast("long"))
-    return pivot(m, ["subject", "hour"], "event", "valuenum", "event_id", ("click", "view"))
-
-
 @query(TWO + " SELECT t.event_id, t.hadm_id, t.stay_id, round(date_diff('microsecond', a.admittime, t.ts) / 3.6e9, 6) AS hosp, round(date_diff('microsecond', s.intime, t.ts) / 3.6e9, 6) AS icu, CAST(length(doc.text) AS BIGINT) AS size FROM two t LEFT JOIN admissions a USING (hadm_id) LEFT JOIN stays s USING (stay_id) JOIN documents doc ON doc.doc_id = t.event_id % (SELECT count(*) FROM documents)")
 def build_notes(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.length("text").cast("long").alias("size"))
@@ -215,12 +171,6 @@ def windows_dataset(spark, d):
     return w.select("subject", "w", "label", F.size("rows").cast("long").alias("n"), F.round(F.aggregate("rows", F.lit(0.0), lambda s, x: s + x["x1"]), 6).alias("total"))
 
 
-@query(STAY_ROWS + " SELECT stay_id, CAST(12 AS BIGINT) AS n, round(sum(value) FILTER (r <= 12), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY t, event_id) AS r FROM rows WHERE event_type IN ('signup', 'view', 'click')) GROUP BY stay_id")
-def sequence_dataset(spark, d):
-    values = F.transform("irregular", lambda x: x["value"])
-    return records(spark, d).select("stay_id", S.truncate_pad(values, 12, F.lit(0.0)).alias("v")).select("stay_id", F.size("v").cast("long").alias("n"), F.round(A.total(F.col("v")), 6).alias("total"))
-
-
 @query(WINDOWS + RUS + ", a AS (SELECT cohort, avg(r) AS r, avg(u1) AS u1, avg(u2) AS u2, avg(s) AS s FROM t WHERE mi > 1e-9 GROUP BY cohort), n AS (SELECT subject, w, count(*) AS n FROM windows GROUP BY ALL) SELECT subject, w, CAST(n AS BIGINT) AS n, round(r, 6) AS \"R\", round(u1, 6) AS \"U1\", round(u2, 6) AS \"U2\", round(s, 6) AS \"S\" FROM n LEFT JOIN a ON a.cohort = n.subject % 8")
 def attach_rus_terms(spark, d):
     """Each window of a subject with the mean terms of its cohort; Spark's size check decides how the terms travel."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning, evaluation, information, timeseries
+from . import cleaning, cohorts, evaluation, information, timeseries
 from .base import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning", "evaluation", "information", "timeseries"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "cleaning", "cohorts", "evaluation", "information", "timeseries"]
 FLAGSHIP = "rus_modalities"

@@ -168,19 +168,6 @@ def impute_series(spark, d):
     return S.impute(h, ["subject"], "hours", ["value"], 6.0).withColumn("value", F.round("value", 6))
 
 
-@query(BUCKETS + " SELECT subject, t, round(coalesce(value, 0), 6) AS value, value IS NOT NULL AS mask FROM g")
-def align_irregular(spark, d):
-    g = S.regular_grid(buckets(spark, d), ["subject"])
-    return g.select("subject", "t", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"), F.col("value").isNotNull().alias("mask"))
-
-
-@query(BUCKETS + " SELECT 'irregular' AS modality, subject, t, round(coalesce(value, 0), 6) AS value, value IS NOT NULL AS mask FROM g UNION ALL SELECT 'regular', subject, CAST(i AS BIGINT), round(x, 6), true FROM (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS x FROM events)")
-def align_all_modalities(spark, d):
-    irregular = align_irregular(spark, d).withColumn("modality", F.lit("irregular"))
-    regular = series(spark, d).select(F.lit("regular").alias("modality"), "subject", F.col("i").alias("t"), F.round("x1", 6).alias("value"), F.lit(True).alias("mask"))
-    return irregular.unionByName(regular).select("modality", "subject", "t", "value", "mask")
-
-
 WINDOWS = SERIES + ", windows AS (SELECT event_id, subject, y, x1, i, CAST(unnest(range(greatest(0, CAST(ceil((i - 16 + 1) / 8.0) AS BIGINT)), least(i // 8, (n - 16) // 8) + 1)) AS BIGINT) AS w FROM series WHERE n >= 16)"
 
 

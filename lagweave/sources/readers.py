@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,23 @@ def existing_assets(spark: SparkSession, rows: DataFrame, root: str, path: str,
     return rows.join(files, path, "left_semi")
 
 
+def write_assets(rows: DataFrame, path: str, content: str, root: str) -> int:
+    """A file below the root for each row, written by the tasks; returns how many. A task that runs again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(root)
+        n = 0
+        for batch in batches:
+            for name, data in zip(batch[path].to_pylist(), batch[content].to_pylist(), strict=True):
+                store.create_dir(f"{base}/{name}".rpartition("/")[0])
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(data or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], "int64")], ["n"])
+
+    return rows.select(path, F.col(content).cast("binary").alias(content)).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def batch_map(df: DataFrame, column: str, to: str, load: Callable[[], Callable[[list], list]], kind: str = "array<double>") -> DataFrame:
     """A batched encoder over a column. `load` runs once a task and returns the encoder of a list of values."""
     schema = T.StructType([*df.schema.fields, T.StructField(to, T._parse_datatype_string(kind))])

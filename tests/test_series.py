@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.dates import compose_datetime
 from lagweave.functions.text import chunk_lines
-from lagweave.operators import aggregate, clean, joins, metrics, sampling, series
+from lagweave.operators import aggregate, clean, cohort, joins, metrics, sampling, series
 from lagweave.sources import readers
 
 
@@ -119,3 +119,32 @@ def test_interval_join_over_period_borders(spark):
     for days in (1, 3):
         got = joins.interval_join_first(e, s, ["subject"], "event", "at", "span", "start", "end", days).collect()
         assert len(got) == len(events) and {r["event"]: r["span"] for r in got} == want
+
+
+def test_align_vectors(spark):
+    rows = spark.createDataFrame([(1, 1.2, [1.0, 2.0]), (1, 1.9, [3.0, 2.0]), (1, 3.0, [6.0, 0.0]), (1, 9.0, [9.0, 9.0]), (1, -1.0, [9.0, 9.0]), (3, 0.0, [1.0, 1.0])], "k long, h double, v array<double>")
+    steps = spark.createDataFrame([(1, 5), (2, 2), (3, 0)], "k long, n long")
+    got = lambda line: {(r["k"], r["t"]): (r["v"], r["mask"]) for r in series.align_vectors(rows, steps, "k", "h", "v", 2, 1.0, line).collect()}
+    none = ([0.0, 0.0], False)
+    assert got(False) == {(1, 0): none, (1, 1): ([2.0, 2.0], True), (1, 2): none, (1, 3): ([6.0, 0.0], True), (1, 4): none, (2, 0): none, (2, 1): none}
+    assert got(True) == {(1, 0): ([2.0, 2.0], True), (1, 1): ([2.0, 2.0], True), (1, 2): ([4.0, 1.0], True), (1, 3): ([6.0, 0.0], True), (1, 4): ([6.0, 0.0], True), (2, 0): none, (2, 1): none}
+
+
+def test_sequence_dataset(spark):
+    steps = spark.createDataFrame([(1, "b", 1, [2.0], True), (1, "b", 0, [1.0], True), (1, "b", 2, [3.0], False), (2, "a", 0, [5.0, 6.0], True)], "k long, m string, t long, v array<double>, mask boolean")
+    got = {r["k"]: r for r in cohort.sequence_dataset(steps, "k", "m", 2, {"b": 1, "a": 2}).collect()}
+    assert list(got[1].asDict()) == ["k", "a", "b"]
+    assert [tuple(x) for x in got[1]["a"]] == [([0.0, 0.0], False)] * 2 and [tuple(x) for x in got[1]["b"]] == [([1.0], True), ([2.0], True)]
+    assert [tuple(x) for x in got[2]["a"]] == [([5.0, 6.0], True), ([0.0, 0.0], False)] and [tuple(x) for x in got[2]["b"]] == [([0.0], False)] * 2
+    last = cohort.sequence_dataset(steps, "k", "m", 2, {"b": 1, "a": 2}, True).where("k = 1").first()
+    assert [tuple(x) for x in last["b"]] == [([2.0], True), ([3.0], False)]
+
+
+def test_task_window_and_stays(spark):
+    stays = spark.sql("select s as stay_id, timestamp'2024-01-01' as intime, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h) as outtime from values (1L, 48), (2L, 47), (3L, 48) as x(s, h)")
+    series_rows = spark.createDataFrame([(1, 0.0), (1, 48.0), (1, 48.5), (1, -0.1), (2, 1.0), (3, 2.0)], "stay_id long, t double")
+    notes = spark.createDataFrame([(1, 1.0), (1, 2.0), (3, 3.0), (3, 99.0)], "stay_id long, t double")
+    cut = cohort.task_window({"a": series_rows, "b": notes}, {"a": "t", "b": "t"}, stays, "stay_id", 48, 2, 2, ["b"])
+    assert sorted(map(tuple, cut["a"].collect())) == [(1, 0.0), (1, 48.0), (3, 2.0)] and sorted(map(tuple, cut["b"].collect())) == [(1, 1.0), (1, 2.0)]
+    assert [r[0] for r in cohort.task_stays(cut, "stay_id").collect()] == [1]
+    assert sorted(r[0] for r in cohort.task_stays(cut, "stay_id", True).collect()) == [1, 3]
