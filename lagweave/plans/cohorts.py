@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagweave.functions import arrays as A
+from lagweave.operators import aggregate as G
 from lagweave.operators import cohort as H
 from lagweave.operators import joins as J
+from lagweave.operators import resampled as Q
 from lagweave.operators import series as S
 from lagweave.sources.storage import new_path, written
 
@@ -236,9 +239,11 @@ labels_of AS (SELECT stay_id, CAST(died AS BIGINT) AS label FROM (SELECT stay_id
 everything AS (SELECT modality, stay_id, t, filled AS total, filled_mask AS mask FROM aligned UNION ALL SELECT 'series', stay_id, t, sum(v), true FROM regular SEMI JOIN many USING (stay_id) GROUP BY stay_id, t)"""
 
 
-def all_modalities(spark, d):
+def all_modalities(spark, d, standardized=False):
     """Every step of the three modalities, the regular one's mask full, and the stays' labels."""
     rows = modalities(spark, d)
+    if standardized:
+        rows["regular"] = G.apply_standardizer(rows["regular"], written(G.fit_standardizer(rows["regular"], NAMES), "scaler"), NAMES)
     vectors_of = aligned(spark, d, True, rows)
     values = H.series_steps(NAMES)["v"]
     regular = J.keep_valid(rows["regular"], vectors_of.select("stay_id"), "stay_id").select("stay_id", "t", values.alias("v"), F.lit(True).alias("mask"), F.lit("series").alias("modality"))
@@ -260,3 +265,16 @@ def sequence_dataset(spark, d):
     total = lambda m: F.round(F.aggregate(m, F.lit(0.0), lambda s, x: s + A.total(x["v"])), 6)
     seen = lambda m: F.size(F.filter(m, lambda x: x["mask"])).cast("long")
     return rows.select("stay_id", "label", F.size("series").cast("long").alias("n"), *[c for m in ("images", "notes", "series") for c in (seen(m).alias(f"{m}_mask"), total(m).alias(m))])
+
+
+@query()
+def rus_stays_lags(spark, d):
+    """Every pair of the stays' three aligned modalities, the series standardised, over the first 24 steps: terms at lags 0 and 12, their means and the dominant term."""
+    steps, labels = all_modalities(spark, d, True)
+    each = {"a": "images", "b": "notes", "c": "series"}
+    wide_steps = steps.where("t < 24").groupBy("stay_id", "t").agg(*[F.first(F.when(F.col("modality") == m, F.col("v")), True).alias(c) for c, m in each.items()])
+    rows = written(wide_steps.withColumn("n", F.count("*").over(Window.partitionBy("stay_id"))).join(labels.withColumnRenamed("label", "y"), "stay_id"), "steps")
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    found = [Q.sequence_batch(rows, "stay_id", *p, "y", S.lag_grid(24, 2), 2, resamples=1).withColumns({"mod1": F.lit(each[p[0]]), "mod2": F.lit(each[p[1]])}) for p in pairs]
+    terms, keys = written(found[0].union(found[1]).union(found[2]), "terms"), ["mod1", "mod2"]
+    return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)

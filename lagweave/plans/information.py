@@ -509,14 +509,6 @@ def pid_multi_sequence_lags(spark, d):
     return pid_multi_sequence_lag_terms(spark, d).select("pooling", "lag", "train_rows", "test_rows", "method")
 
 
-@query()
-def rus_stays_lags(spark, d):
-    """Every pair of three modalities at both lags, the means over lags and the dominant term."""
-    each = [sequence_lags(spark, d, "mean", p).withColumns({"mod1": F.lit(p[0]), "mod2": F.lit(p[1])}) for p in (("a", "b"), ("a", "c"), ("b", "c"))]
-    terms, keys = written(each[0].union(each[1]).union(each[2]), "terms"), ["mod1", "mod2"]
-    return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)
-
-
 @query()
 def temporal_pid_auto(spark, d):
     """Narrow, wide and very wide vectors, each by the method their width asks for."""
