@@ -39,13 +39,16 @@ def lag_grid(length: int, lags: int) -> list[int]:
 
 
 def interpolate_linear(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """Linear between known neighbours by position, the nearest known value outside; all-null series stay null."""
+    """Linear between known neighbours by position, the nearest known value outside; all-null series stay null.
+
+    The next known value is the last one in reverse order: a frame that only grows, so time is linear in the series.
+    """
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     new = {}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col(order))
-        v0, i0, v1, i1 = F.last(c, True).over(before), F.last(at, True).over(before), F.first(c, True).over(after), F.first(at, True).over(after)
+        v0, i0, v1, i1 = F.last(c, True).over(before), F.last(at, True).over(before), F.last(c, True).over(after), F.last(at, True).over(after)
         new[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(v0 + (v1 - v0) * (F.col(order) - i0) / (i1 - i0))
     return df.withColumns(new)
 
@@ -92,9 +95,9 @@ def align_vectors(rows: DataFrame, steps: DataFrame, key: str, time: str, vector
     grid = steps.where("n > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("t")).join(means, [key, "t"], "left")
     if interpolate:
         before = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-        after = Window.partitionBy(key).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+        after = Window.partitionBy(key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
         known = F.when(F.col(vector).isNotNull(), F.struct("t", vector))
-        grid = grid.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.first(known, True).over(after))
+        grid = grid.withColumn("_a", F.last(known, True).over(before)).withColumn("_b", F.last(known, True).over(after))
         share = (F.col("t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
         line = F.zip_with(F.col(f"_a.{vector}"), F.col(f"_b.{vector}"), lambda x, y: x + (y - x) * share)
         grid = grid.withColumn(vector, F.coalesce(vector, F.when(F.col("_a").isNull(), F.col(f"_b.{vector}")).when(F.col("_b").isNull(), F.col(f"_a.{vector}")).otherwise(line)))
