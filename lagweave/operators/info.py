@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.functions.arrays import equal_width_bin, row_mean
+from lagweave.sources.storage import dealt
 
+from .coupling import certified, coupling, joint_information
 from .series import lag_align
 
 CELL = ("b1", "b2", "yb")
@@ -95,51 +97,6 @@ def transfer_entropy(df: DataFrame, keys: Sequence[str], source: str, target: st
     return conditional_mi(hist, keys, "b1", "b2", unit="bits").withColumnRenamed("cmi", "te")
 
 
-def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a / b, and 0 where b is 0."""
-    return np.divide(a, b, out=np.zeros(np.broadcast_shapes(a.shape, b.shape)), where=b > 0)
-
-
-def scaled(kernel: np.ndarray, rows: np.ndarray, columns: np.ndarray, steps: int, close: float = 1e-13) -> np.ndarray:
-    """Kernels [.., i, j] scaled to their row and column sums."""
-    v = np.ones_like(columns)
-    for k in range(steps):
-        u = over(rows, (kernel @ v[..., None])[..., 0])
-        v = over(columns, (u[..., None, :] @ kernel)[..., 0, :])
-        if k % 10 == 9 and np.abs(u * (kernel @ v[..., None])[..., 0] - rows).max(initial=0) < close:
-            break
-    return kernel * u[..., :, None] * v[..., None, :]
-
-
-def joint_information(p: np.ndarray) -> np.ndarray:
-    """I(Y; rest) in nats of each p[.., y, i, j]."""
-    outer = p.sum(-3, keepdims=True) * p.sum((-2, -1), keepdims=True)
-    return (p * np.log(np.where(p > 0, p, 1) / np.where(p > 0, outer, 1))).sum((-3, -2, -1))
-
-
-def coupling(p: np.ndarray, cap: int = 600, stop: float = 1e-10, inner: int = 30, polish: int = 500, close: float = 1e-13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all joints with p's (x1, y) and (x2, y) margins the one with the least I(Y; X1, X2); rounds and last change.
-
-    p is [group, y, x1, x2], each group adding up to 1; all groups are solved together and each stops when
-    its objective moves less than `stop`. A round scales, class by class, the pooled joint to the two margins, then pools the classes.
-    """
-    rows, columns, mass = p.sum(3), p.sum(2), p.sum((2, 3))
-    q = over(rows[..., :, None] * columns[..., None, :], mass[..., None, None])
-    value, change, rounds = joint_information(q), np.full(len(p), np.inf), np.zeros(len(p), "i8")
-    todo = np.arange(len(p))
-    for _ in range(cap):
-        pooled = q[todo].sum(1, keepdims=True)
-        pooled = np.where(pooled > 0, np.maximum(pooled, 1e-60), 0)  # else what fades out ends in 0 / 0
-        q[todo] = scaled(np.broadcast_to(pooled, q[todo].shape), rows[todo], columns[todo], inner)
-        now = joint_information(q[todo])
-        change[todo], value[todo] = np.abs(value[todo] - now), now
-        rounds[todo] += 1
-        todo = todo[change[todo] >= stop]
-        if not len(todo):
-            break
-    return scaled(np.where(q > 0, np.maximum(q, 1e-60), 0), rows, columns, polish, close), rounds, change
-
-
 def tensors(cells: pd.Series) -> np.ndarray:
     """[group, y, x1, x2] of lists of (b1, b2, yb, n), each group adding up to 1."""
     lists = [np.array([(c["yb"], c["b1"], c["b2"], c["n"]) for c in one], "f8") for one in cells]
@@ -151,44 +108,49 @@ def tensors(cells: pd.Series) -> np.ndarray:
 
 
 def decompose(p: np.ndarray) -> dict[str, np.ndarray]:
-    """R, U1, U2, S and MI in nats of p [group, y, x1, x2]; also the solver's rounds and last change."""
-    q, rounds, change = coupling(p)
+    """R, U1, U2, S and MI in nats of p [group, y, x1, x2]; also the solver's rounds and its duality gap, by which R and S are at most
+    too small, U1 and U2 too large."""
+    q, rounds, gap = coupling(p)
     i1, i2 = joint_information(p.sum(3, keepdims=True)), joint_information(p.sum(2, keepdims=True))
     i12, iq = joint_information(p), joint_information(q)
-    return {"R": i1 + i2 - iq, "U1": iq - i2, "U2": iq - i1, "S": i12 - iq, "MI": i12, "rounds": rounds, "gap": change}
+    return {"R": i1 + i2 - iq, "U1": iq - i2, "U2": iq - i1, "S": i12 - iq, "MI": i12, "rounds": rounds, "gap": gap}
 
 
-def gathered(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a group with its cells, of which there are at most bins**3: groups are solved many at a time.
-
-    The cells are few bytes but minutes of work, so they are dealt over all tasks, however small the parts are.
-    """
-    tasks = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hist.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*CELL, F.col("n").cast("double").alias("n"))).alias("cells"))
+#: Groups that a task solves together, which bounds its memory at a few MB for small histograms.
+TOGETHER = 256
 
 
-#: Groups that are solved together: bounds a task's memory at a few MB for small histograms.
-TOGETHER = 256
+def gathered(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a group with its cells, of which there are at most bins**3, `TOGETHER` groups a task."""
+    cells = hist.groupBy(*keys).agg(F.collect_list(F.struct(*CELL, F.col("n").cast("double").alias("n"))).alias("cells"))
+    return dealt(cells, TOGETHER, "cells")
 
 
 def pid_coupling(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, b1, b2, yb, q: the coupling of every group."""
+    """keys, b1, b2, yb, v: the coupling's cells of every group, and the numbers that prove it: rows without b2 have a(yb, b1), rows
+    without b1 have b(yb, b2). The sum over yb of exp(a + b) is at most 1 for each (b1, b2), and the margins times
+    a and b add up to the least that any coupling can have of the sum of q log(q(yb | b1, b2))."""
 
     def solve(frames):
         for frame in frames:
             for at in range(0, len(frame), TOGETHER):
                 part = frame.iloc[at : at + TOGETHER]
-                q, _, _ = coupling(tensors(part["cells"]))
-                g, y, i, j = np.nonzero(q > 0)
-                yield pd.DataFrame({**{k: part[k].to_numpy()[g] for k in keys}, "b1": i, "b2": j, "yb": y, "q": q[g, y, i, j]})
+                p = tensors(part["cells"])
+                q, _, _, a, b = certified(p)
+                for values, held in ((q, q > 0), (a[..., None], p.sum(3, keepdims=True) > 0), (b[:, :, None], p.sum(2, keepdims=True) > 0)):
+                    g, y, i, j = np.nonzero(held)
+                    places = pd.DataFrame({"b1": i, "b2": j}, dtype="Int64")
+                    if values is not q:
+                        places["b2" if values.shape[3] == 1 and held.shape[2] == p.shape[2] else "b1"] = pd.NA
+                    yield pd.DataFrame({**{k: part[k].to_numpy()[g] for k in keys}, "b1": places["b1"], "b2": places["b2"], "yb": y, "v": values[g, y, i, j]})
 
     types = dict(hist.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", b1 long, b2 long, yb long, q double"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", b1 long, b2 long, yb long, v double"
     return gathered(hist, keys).mapInPandas(solve, schema)
 
 
 def pid(hist: DataFrame, keys: Sequence[str], unit: str = "nats") -> DataFrame:
-    """keys, R, U1, U2, S, MI, rounds, gap of every group of joint counts, which are codes from 0."""
+    """keys, R, U1, U2, S, MI, rounds, gap (nats) of every group of joint counts, which are codes from 0."""
     scale = 1 / math.log(2) if unit == "bits" else 1.0
 
     def solve(frames):

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.functions.arrays import kl
+from lagweave.sources.storage import dealt
 
-from .info import coupling, joint_information
+from .coupling import coupling, joint_information
 
 SMOOTH = 1e-8
 
@@ -69,8 +70,10 @@ def cross_entropy(df: DataFrame, keys: Sequence[str], posterior: str, y: str) ->
     return df.groupBy(*keys).agg(F.avg(-F.log(F.get(posterior, F.col(y).cast("int")))).alias("loss"))
 
 
-#: Numbers of the couplings that a task solves together.
-TOGETHER = 2_000_000
+#: Minibatches of a task, and numbers of the systems that it solves together.
+TASK, TOGETHER = 16, 2_000_000
+#: The duality gap in nats that ends a minibatch.
+STOP = 1e-7
 
 
 def batch_joint(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -87,20 +90,27 @@ def batch_joint(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     return joint / joint.sum()
 
 
-def solved(joints: list[np.ndarray], rounds: int) -> pd.DataFrame:
-    """i_start, i_q and off of joints that may differ in shape: empty rows and columns fill them up, and change nothing."""
+def solved(joints: list[np.ndarray], stop: float = STOP) -> pd.DataFrame:
+    """i_start, i_q, gap, rounds and off of joints that may differ in shape: empty rows and columns fill them up, and change nothing."""
     p = np.zeros((len(joints), *np.max([x.shape for x in joints], 0)))
     for k, x in enumerate(joints):
         p[k, : x.shape[0], : x.shape[1], : x.shape[2]] = x
-    q, _, _ = coupling(p, cap=rounds, stop=1e-5, inner=10, polish=200, close=1e-6)
+    q, rounds, gap = coupling(p, stop)
     off = np.maximum(np.abs(q.sum(3) - p.sum(3)).max((1, 2)), np.abs(q.sum(2) - p.sum(2)).max((1, 2)))
-    return pd.DataFrame({"i_start": joint_information(p), "i_q": joint_information(q), "off": off})
+    return pd.DataFrame({"i_start": joint_information(p), "i_q": joint_information(q), "gap": gap, "rounds": rounds, "off": off})
 
 
-def batch_couplings(df: DataFrame, keys: Sequence[str], p1: str = "p1", p2: str = "p2", batch: str = "batch_id", rounds: int = 40) -> DataFrame:
-    """keys, batch, rows, i_start, i_q (nats), off: each minibatch's least information over couplings with the posteriors' margins.
+def system(joint: np.ndarray) -> int:
+    """Numbers that a round works on for one joint."""
+    k, m, n = joint.shape
+    return k * k * n * (m + n)
 
-    A minibatch's posteriors are gathered into arrays, which its size bounds; a task solves many batches at a time.
+
+def batch_couplings(df: DataFrame, keys: Sequence[str], p1: str = "p1", p2: str = "p2", batch: str = "batch_id", stop: float = STOP) -> DataFrame:
+    """keys, batch, rows, i_start, i_q, gap (nats), rounds, off: each minibatch's least information over couplings with the posteriors'
+    margins, at most `gap` above the true one, and how far the margins are off.
+
+    A minibatch's posteriors are gathered into arrays, which its size bounds; a task solves `TASK` batches.
     """
     types, by = dict(df.dtypes), [*keys, batch]
 
@@ -109,18 +119,17 @@ def batch_couplings(df: DataFrame, keys: Sequence[str], p1: str = "p1", p2: str
             done, joints, size = 0, [], 1
             for k, (a, b) in enumerate(zip(frame["_p1"], frame["_p2"], strict=True)):
                 one = batch_joint(np.stack(a), np.stack(b))
-                if joints and max(size, one.size) * (len(joints) + 1) > TOGETHER:
-                    yield pd.concat([frame.iloc[done:k][[*by, "rows"]].reset_index(drop=True), solved(joints, rounds)], axis=1)
+                if joints and max(size, system(one)) * (len(joints) + 1) > TOGETHER:
+                    yield pd.concat([frame.iloc[done:k][[*by, "rows"]].reset_index(drop=True), solved(joints, stop)], axis=1)
                     done, joints, size = k, [], 1
                 joints.append(one)
-                size = max(size, one.size)
+                size = max(size, system(one))
             if joints:
-                yield pd.concat([frame.iloc[done:][[*by, "rows"]].reset_index(drop=True), solved(joints, rounds)], axis=1)
+                yield pd.concat([frame.iloc[done:][[*by, "rows"]].reset_index(drop=True), solved(joints, stop)], axis=1)
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrays = df.select(*by, p1, p2).repartition(tasks, *by).groupBy(*by).agg(F.count("*").alias("rows"), F.collect_list(p1).alias("_p1"), F.collect_list(p2).alias("_p2"))
-    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", rows long, i_start double, i_q double, off double"
-    return arrays.mapInPandas(solve, schema)
+    arrays = df.select(*by, p1, p2).groupBy(*by).agg(F.count("*").alias("rows"), F.collect_list(p1).alias("_p1"), F.collect_list(p2).alias("_p2"))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", rows long, i_start double, i_q double, gap double, rounds long, off double"
+    return dealt(arrays, TASK, "batches").mapInPandas(solve, schema)
 
 
 def decompose_learned(df: DataFrame) -> DataFrame:
@@ -132,11 +141,12 @@ def decompose_learned(df: DataFrame) -> DataFrame:
 
 
 def learned_terms(df: DataFrame, keys: Sequence[str], classes: int, y: str = "y") -> DataFrame:
-    """keys, i1, i2, i12, iq (bits) and the terms, from rows with posteriors p1, p2, p12 and a batch_id, and class shares `prior` or else the rows' own."""
+    """keys, i1, i2, i12, iq, gap (the greatest of a minibatch, in bits like all) and the terms, from rows with posteriors p1, p2, p12 and a
+    batch_id, and class shares `prior` or else the rows' own."""
     keyed = keys or ["_all"]
     rows = (df if "prior" in df.columns else with_prior(df, y, classes, keys)).withColumn("_all", F.lit(0))
     parts = rows.groupBy(*keyed).agg(*[(F.avg(kl(F.col(p), F.col("prior"))) / math.log(2)).alias(i) for p, i in (("p1", "i1"), ("p2", "i2"), ("p12", "i12"))])
-    q = batch_couplings(df.withColumn("_all", F.lit(0)), keyed).groupBy(*keyed).agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"))
+    q = batch_couplings(df.withColumn("_all", F.lit(0)), keyed).groupBy(*keyed).agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"), (F.max("gap") / math.log(2)).alias("gap"))
     return decompose_learned(parts.join(q, list(keyed)).drop("_all"))
 
 

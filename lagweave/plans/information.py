@@ -100,17 +100,26 @@ def conditional_mi(spark, d):
     return rounded(I.conditional_mi(hist(spark, d), K, "b1", "b2"), "cmi")
 
 
-@query(lagged_sql(2) + " SELECT DISTINCT subject, lag, true AS same_margins, true AS whole, true AS no_more FROM hist")
+@query(HIST + " SELECT DISTINCT subject, lag, true AS same_margins, true AS whole, true AS feasible, true AS least FROM hist")
 def pid_coupling(spark, d):
-    """Whether every coupling has the counts' (x1, y) and (x2, y) margins, adds up to 1 and has no more information."""
-    h = hist(spark, d, 2)
+    """Whether every coupling adds up to 1, has the counts' (x1, y) and (x2, y) margins, and is proven the least: the dual's numbers are
+    feasible, and their value is within 1e-7 nats of the coupling's. All of it is counted by Spark from the solver's rows."""
+    h = written(hist(spark, d), "counts")
     p = G.share_of_total(h, "n", K, "p").select(*K, "b1", "b2", "yb", "p", F.lit(0.0).alias("q"))
-    both = p.union(I.pid_coupling(h, K).select(*K, "b1", "b2", "yb", F.lit(0.0).alias("p"), "q"))
+    rows = written(I.pid_coupling(h, K), "coupling")
+    q = rows.where("b1 is not null and b2 is not null").withColumnRenamed("v", "q")
+    both = p.union(q.select(*K, "b1", "b2", "yb", F.lit(0.0).alias("p"), "q"))
     off = lambda x: both.groupBy(*K, x, "yb").agg(F.abs(F.sum("p") - F.sum("q")).alias("off")).groupBy(*K).agg(F.max("off").alias("off"))
-    margins = off("b1").union(off("b2")).groupBy(*K).agg((F.max("off") < 1e-4).alias("same_margins"))
-    info = lambda c: I.mutual_information(both.where(F.col(c) > 0), K, ["b1", "b2"], ["yb"], n=c).withColumnRenamed("mi", f"i_{c}")
-    mass = both.groupBy(*K).agg((F.abs(F.sum("q") - 1) < 1e-6).alias("whole"))
-    return margins.join(mass, K).join(info("p"), K).join(info("q"), K).select(*K, "same_margins", "whole", (F.col("i_q") <= F.col("i_p") + 1e-6).alias("no_more"))
+    margins = off("b1").union(off("b2")).groupBy(*K).agg((F.max("off") < 1e-8).alias("same_margins"))
+    mass = both.groupBy(*K).agg((F.abs(F.sum("q") - 1) < 1e-8).alias("whole"))
+    a, b = (rows.where(f"{none} is null").select(*K, x, "yb", F.col("v").alias(to)) for none, x, to in (("b2", "b1", "a"), ("b1", "b2", "b")))
+    tops = a.join(b, [*K, "yb"]).groupBy(*K, "b1", "b2").agg(F.sum(F.exp(F.col("a") + F.col("b"))).alias("top")).groupBy(*K).agg((F.max("top") <= 1 + 1e-9).alias("feasible"))
+    held = lambda x, df, to: p.groupBy(*K, x, "yb").agg(F.sum("p").alias("m")).join(df, [*K, x, "yb"]).select(*K, (F.col("m") * F.col(to)).alias("v"))
+    bound = held("b1", a, "a").union(held("b2", b, "b")).groupBy(*K).agg(F.sum("v").alias("bound"))
+    pooled = q.withColumn("s", F.sum("q").over(Window.partitionBy(*K, "b1", "b2")))
+    value = pooled.groupBy(*K).agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("s"))).alias("value"))
+    least = value.join(bound, K).select(*K, (F.abs(F.col("value") - F.col("bound")) < 1e-7).alias("least"))
+    return margins.join(mass, K).join(tops, K).join(least, K).select(*K, "same_margins", "whole", "feasible", "least")
 
 
 IDENTITY = " SELECT subject, lag, round(i1.mi, 6) AS r_u1, round(i2.mi, 6) AS r_u2, round(i12.mi, 6) AS total FROM i1 JOIN i2 USING (subject, lag) JOIN i12 USING (subject, lag)"
@@ -155,7 +164,7 @@ def udf_pid_solver(spark, d):
 def synergy_gap(spark, d):
     """The gap is at least 0 and at most what the weaker input leaves of the total."""
     t = I.pid(hist(spark, d, 0), ["subject"]).withColumn("most", F.col("S") + F.least("U1", "U2"))
-    ok = (F.col("S") >= -1e-6) & (F.col("S") <= F.col("most") + 1e-5)
+    ok = (F.col("S") >= -1e-7) & (F.col("S") <= F.col("most") + 1e-7) & (F.col("gap") < 1e-7)
     return t.select("subject", F.round("MI", 6).alias("total"), F.round(F.abs("most"), 6).alias("most"), ok.alias("gap_ok"))
 
 
@@ -224,7 +233,7 @@ def rus_modalities_sums(spark, d):
 
 @query()
 def rus_all_sensor_pairs_terms(spark, d):
-    """Terms of every pair at every lag from 0 to 10, in bits, with the solver's rounds and last change."""
+    """Terms of every pair at every lag from 0 to 10, in bits, with the solver's rounds and duality gap."""
     return I.pid(cohort_hist(spark, d, PAIRS, 10), GROUP, unit="bits")
 
 
@@ -236,6 +245,13 @@ def rus_all_sensor_pairs(spark, d):
     return t.select(*GROUP, *[F.round(F.greatest(F.lit(0.0), v), 5).alias(k) for k, v in sums.items()])
 
 
+@query(sensors_sql(PAIRS, 10) + " SELECT CAST(count(*) AS BIGINT) AS groups, CAST(0 AS BIGINT) AS open, true AS few_rounds FROM parts")
+def rus_all_sensor_pairs_gaps(spark, d):
+    """How many decompositions there are, and how many have a duality gap of 1e-7 nats or more."""
+    t = rus_all_sensor_pairs_terms(spark, d)
+    return t.agg(F.count("*").alias("groups"), F.count_if(F.isnan("gap") | (F.col("gap") >= 1e-7)).alias("open"), (F.max("rounds") < 100).alias("few_rounds"))
+
+
 RUS = """, terms AS (SELECT user_id % 8 AS cohort, event_type AS mod1, event_id % 6 AS lag, sum(value) FILTER (event_id % 4 = 0) AS r, sum(value) FILTER (event_id % 4 = 1) AS u1, sum(value) FILTER (event_id % 4 = 2) AS u2, sum(value) FILTER (event_id % 4 = 3) AS s FROM events GROUP BY ALL), t AS (SELECT cohort, mod1, lag, coalesce(r, 0) AS r, coalesce(u1, 0) AS u1, coalesce(u2, 0) AS u2, coalesce(s, 0) AS s, coalesce(r, 0) + coalesce(u1, 0) + coalesce(u2, 0) + coalesce(s, 0) AS mi FROM terms)"""
 
 
@@ -349,21 +365,21 @@ def batches(spark, d):
     return P.minibatches(posteriors(states(spark, d)), "event_id", 64, 1)
 
 
-@query("SELECT CAST((count(*) + 63) // 64 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows_seen, true AS margins, true AS no_more FROM events")
+@query("SELECT CAST((count(*) + 63) // 64 AS BIGINT) AS batches, CAST(count(*) AS BIGINT) AS rows_seen, true AS margins, true AS least FROM events")
 def sinkhorn_coupling(spark, d):
     q = L.batch_couplings(batches(spark, d), [])
-    return q.agg(F.count("*").alias("batches"), F.sum("rows").alias("rows_seen"), (F.max("off") < 0.01).alias("margins"), (F.max(F.col("i_q") - F.col("i_start")) <= 1e-6).alias("no_more"))
+    return q.agg(F.count("*").alias("batches"), F.sum("rows").alias("rows_seen"), (F.max("off") < 1e-8).alias("margins"), (F.max("gap") < 1e-7).alias("least"))
 
 
-@query("SELECT CAST(r // 64 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows, true AS fell FROM (SELECT row_number() OVER () - 1 AS r FROM events) GROUP BY 1")
+@query("SELECT CAST(r // 64 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS rows, true AS fell, true AS least FROM (SELECT row_number() OVER () - 1 AS r FROM events) GROUP BY 1")
 def coupling_objective(spark, d):
-    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", (F.col("i_q") <= F.col("i_start") + 1e-6).alias("fell"))
+    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", (F.col("i_q") <= F.col("i_start")).alias("fell"), (F.col("gap") < 1e-7).alias("least"))
 
 
 @query()
 def coupling_objective_values(spark, d):
-    """Each minibatch's information before and after."""
-    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", "i_start", "i_q", "off")
+    """Each minibatch's information before and after, and the duality gap."""
+    return L.batch_couplings(batches(spark, d), []).select("batch_id", "rows", "i_start", "i_q", "gap", "rounds", "off")
 
 
 @query()

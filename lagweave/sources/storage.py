@@ -29,3 +29,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, tag: str) -> DataFrame:
+    """The rows, written, in parts of about so many: for few bytes that are much work."""
+    done = written(df, tag)
+    return done.repartition(max(1, -(-done.count() // rows)))
