@@ -19,17 +19,19 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
-def ranked(df: DataFrame, key: str, seed: int, buckets: int = 4096) -> DataFrame:
-    """rank: 0-based place of each row in the hash order, without one task that sorts all rows.
+def ranked(df: DataFrame, key: str, seed: int, buckets: int = 4096, by: Sequence[str] = ()) -> DataFrame:
+    """rank: 0-based place of each row in the hash order, of all rows or of its group; total: the rows there are.
 
-    The hash deals the rows into equal ranges of its own order; counts of the ranges before, a table of at most
-    `buckets` rows, give each its start.
+    No task sorts all rows: the hash deals them into equal ranges of its own order, and counts of the ranges before, a table
+    of at most `buckets` rows a group, give each range its start.
     """
     h = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
-    sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    return placed.join(F.broadcast(starts), "_b").withColumn("rank", (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_h", "_b", "_r", "_start")
+    w = Window.partitionBy(*by)
+    before = F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = h.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(w).cast("long").alias("total"))
+    placed = h.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)))
+    found = placed.join(starts if by else F.broadcast(starts), [*by, "_b"]).withColumn("rank", (F.col("_start") + F.col("_r") - 1).cast("long"))
+    return found.drop("_h", "_b", "_r", "_start", *([] if by else ["total"]))
 
 
 def split_random(df: DataFrame, key: str, seed: int, train: float = 0.7, valid: float = 0.15) -> DataFrame:

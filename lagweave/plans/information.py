@@ -482,22 +482,23 @@ def rus_stays(spark, d):
 
 
 def vector_series(spark, d):
-    """The sensor series with each signal as a vector of one number."""
-    return series(spark, d).select("event_id", "subject", "i", "n", F.array("x1").alias("a"), F.array("x2").alias("b"), "y")
+    """The five sensors of each series as vectors of one number."""
+    return sensors(spark, d).select("event_id", "subject", "i", "n", *[F.array(c).alias(c) for c in SENSORS], "y")
 
 
 @query()
 def temporal_pid_resampled_terms(spark, d):
-    """Standardised, fitted on the first four fifths of each series, scored on the rest, over two resamples where rows abound."""
-    return Q.temporal_batch(vector_series(spark, d), ["subject"], "event_id", "a", "b", "y", range(3), CLASSES, resamples=2)
+    """Ten pairs of sensors at lags 0 to 5, fitted on the first four fifths of each series, scored on the rest, over ten resamples."""
+    return Q.temporal_batch(vector_series(spark, d), ["subject"], "event_id", PAIRS, "y", range(LAGS + 1), CLASSES)
 
 
-@query(SERIES + ", p AS (SELECT subject, CAST(k AS BIGINT) AS lag, n - k AS n FROM (SELECT DISTINCT subject, n FROM series), range(0, 3) r(k) WHERE n > k) SELECT lag, CAST(sum(floor(n * 0.8::DOUBLE)) AS BIGINT) AS train_rows, CAST(sum(n - floor(n * 0.8::DOUBLE)) AS BIGINT) AS test_rows, 'batch' AS method, true AS adds_up FROM p GROUP BY lag")
+@query(SERIES + f", p AS (SELECT subject, CAST(k AS BIGINT) AS lag, n - k AS n FROM (SELECT DISTINCT subject, n FROM series), range(0, {LAGS + 1}) r(k) WHERE n > k), c AS (SELECT lag, CAST(sum(floor(n * 0.8::DOUBLE)) AS BIGINT) AS train_rows, CAST(sum(n - floor(n * 0.8::DOUBLE)) AS BIGINT) AS test_rows FROM p GROUP BY lag) SELECT m.mod1, m.mod2, c.*, 'batch' AS method, true AS solved, true AS in_order FROM c JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") m(mod1, mod2) ON true")
 def temporal_pid_resampled(spark, d):
-    """The rows that fit and that are scored at each lag, and that no term is negative and they add up."""
+    """The rows that fit and that are scored for each pair and lag, that the couplings' gaps are closed, and that the least information
+    is at least either input's own and not above what both states together can tell."""
     t = temporal_pid_resampled_terms(spark, d)
-    whole = (F.least("R", "U1", "U2", "S") >= 0) & (F.abs(F.col("R") + F.col("U1") + F.col("U2") + F.col("S") - F.col("MI")) < 1e-9)
-    return t.select("lag", "train_rows", "test_rows", "method", whole.alias("adds_up"))
+    in_order = (F.col("iq") >= F.greatest("i1", "i2") - 1e-6) & (F.col("iq") <= F.col("i1") + F.col("i2") + 1e-6)
+    return t.select("mod1", "mod2", "lag", "train_rows", "test_rows", "method", (F.col("gap") < 2e-7).alias("solved"), in_order.alias("in_order"))
 
 
 def sequences(spark, d):
@@ -507,32 +508,73 @@ def sequences(spark, d):
     return h.select("seq", "t", "mask", *[F.slice("_v", at, 21).alias(c) for c, at in (("a", 1), ("b", 22), ("c", 43))]).join(label, "seq")
 
 
-def sequence_lags(spark, d, pooling: str, pair: tuple[str, str] = ("a", "b")):
+def sequence_lags(spark, d, pooling: str):
     rows = sequences(spark, d)
     classes = (rows.agg(F.max("y")).first()[0] or 0) + 1
-    return Q.sequence_batch(rows, "seq", *pair, "y", S.lag_grid(10, 2), classes, "mask", pooling, resamples=2)
+    return Q.sequence_batch(rows, "seq", [("a", "b"), ("a", "c"), ("b", "c")], "y", S.lag_grid(10, 5), classes, "mask", pooling)
 
 
 @query()
 def pid_multi_sequence_lag_terms(spark, d):
-    """Terms of both poolings at both lags of the grid."""
+    """Terms of all pairs by both poolings at the five lags of the grid."""
     return sequence_lags(spark, d, "mean").withColumn("pooling", F.lit("mean")).union(sequence_lags(spark, d, "timestep").withColumn("pooling", F.lit("timestep")))
 
 
-@query("WITH " + HALVES + ", n AS (SELECT seq, max(t) + 1 AS n FROM halves GROUP BY seq), s AS (SELECT seq, mask, CAST(lag AS BIGINT) AS lag FROM halves JOIN n USING (seq), (VALUES (0), (5)) v(lag) WHERE t < n - lag), c AS (SELECT 'mean' AS pooling, lag, count(DISTINCT seq) AS n FROM s WHERE mask GROUP BY lag UNION ALL SELECT 'timestep', lag, count(*) FROM s GROUP BY lag) SELECT pooling, lag, CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS train_rows, CAST(n - trunc(n * 0.8::DOUBLE) AS BIGINT) AS test_rows, 'batch' AS method FROM c")
+@query("WITH " + HALVES + ", n AS (SELECT seq, max(t) + 1 AS n FROM halves GROUP BY seq), s AS (SELECT seq, mask, CAST(lag AS BIGINT) AS lag FROM halves JOIN n USING (seq), (VALUES (0), (2), (4), (6), (8)) v(lag) WHERE t < n - lag), c AS (SELECT 'mean' AS pooling, lag, count(DISTINCT seq) AS n FROM s WHERE mask GROUP BY lag UNION ALL SELECT 'timestep', lag, count(*) FROM s GROUP BY lag) SELECT pooling, lag, CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS train_rows, CAST(n - trunc(n * 0.8::DOUBLE) AS BIGINT) AS test_rows, mod1, mod2, 'batch' AS method FROM c JOIN (VALUES ('a', 'b'), ('a', 'c'), ('b', 'c')) m(mod1, mod2) ON true")
 def pid_multi_sequence_lags(spark, d):
-    """The rows that fit and that are scored, by pooling and lag."""
-    return pid_multi_sequence_lag_terms(spark, d).select("pooling", "lag", "train_rows", "test_rows", "method")
+    """The rows that fit and that are scored, by pooling, pair and lag."""
+    return pid_multi_sequence_lag_terms(spark, d).select("pooling", "mod1", "mod2", "lag", "train_rows", "test_rows", "method")
+
+
+PARTS = {"m2": (1, 2), "m4": (3, 4), "m6": (7, 6), "m24": (13, 24), "m28": (37, 28)}
+VECTOR_PAIRS = [(a, b) for k, a in enumerate(PARTS) for b in list(PARTS)[k + 1 :]]
+
+
+def vector_modalities(spark, d):
+    """Five modalities of 2 to 28 numbers, parts of the vectors, as series of a hundred steps each."""
+    v = table(spark, d, "embeddings").where("embedding is not null and size(embedding) = 64")
+    e = F.col("embedding").cast("array<double>")
+    rows = v.select("vec_id", F.floor(F.col("vec_id") / 100).cast("long").alias("subject"), F.col("label").cast("long").alias("y"), *[F.slice(e, at, n).alias(m) for m, (at, n) in PARTS.items()])
+    return S.series_index(rows, ["subject"], ["vec_id"])
+
+
+@query()
+def rus_vector_modalities_terms(spark, d):
+    """The whole analysis of vector modalities: each subject, pair and lag 0 to 2, counted or fitted as the pair's width asks, failed ones kept."""
+    v = vector_modalities(spark, d)
+    classes = (v.agg(F.max("y")).first()[0] or 0) + 1
+    return Q.vector_terms(v, ["subject"], "vec_id", VECTOR_PAIRS, "y", classes, range(3), by=["subject"], size=8)
+
+
+VECTORS = (
+    "WITH e AS (SELECT *, CAST(floor(vec_id / 100) AS BIGINT) AS subject FROM embeddings WHERE len(embedding) = 64), s AS (SELECT subject, CAST(label AS BIGINT) AS y, row_number() OVER (PARTITION BY subject ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY subject) AS n, "
+    + ", ".join(f"CAST(embedding[{at}:{at + n - 1}] AS DOUBLE[]) AS {m}" for m, (at, n) in PARTS.items())
+    + " FROM e), f AS (SELECT subject, y, i, n, "
+    + ", ".join(f"list_avg({m}) AS {m}, list_min({m}) AS {m}_lo, list_max({m}) AS {m}_hi" for m in PARTS)
+    + " FROM s), l AS (SELECT a.* EXCLUDE (y), CAST(k AS BIGINT) AS lag, b.y AS yb FROM f a JOIN range(0, 3) r(k) ON true JOIN f b ON b.subject = a.subject AND b.i = a.i + k), b AS (SELECT subject, lag, yb, "
+    + ", ".join(f"{bin_sql(m, f'min({m}_lo) OVER w', f'max({m}_hi) OVER w', 16)} AS {m}" for m in PARTS)
+    + " FROM l WINDOW w AS (PARTITION BY subject, lag)), hist AS ("
+    + " UNION ALL ".join(f"SELECT subject, lag, '{a}' AS mod1, '{b}' AS mod2, {a} AS b1, {b} AS b2, yb, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL" for a, b in VECTOR_PAIRS if PARTS[a][1] + PARTS[b][1] <= 50)
+    + "), "
+    + ", ".join(f"{name} AS " + mi_sql(by, "yb", keys="subject, mod1, mod2, lag") for name, by in (("i1", "b1"), ("i2", "b2"), ("i12", "b1, b2")))
+)
+
+
+@query(VECTORS + " SELECT subject, mod1, mod2, lag, 'joint' AS method, round(i1.mi / ln(2), 5) AS r_u1, round(i2.mi / ln(2), 5) AS r_u2, round(i12.mi / ln(2), 5) AS total FROM i1 JOIN i2 USING (subject, mod1, mod2, lag) JOIN i12 USING (subject, mod1, mod2, lag) UNION ALL SELECT DISTINCT l.subject, 'm24', 'm28', l.lag, CASE WHEN floor((n - lag) * 0.8::DOUBLE) BETWEEN 1 AND n - lag - 1 THEN 'batch' ELSE 'failed' END, NULL, NULL, NULL FROM l")
+def rus_vector_modalities(spark, d):
+    """Every subject, pair and lag with its method; of the counted pairs what the terms add up to, which no fit can tell for the others."""
+    t = rus_vector_modalities_terms(spark, d)
+    sums = {"r_u1": F.col("R") + F.col("U1"), "r_u2": F.col("R") + F.col("U2"), "total": F.col("MI")}
+    return t.select("subject", "mod1", "mod2", "lag", "method", *[F.when(F.col("method") == "joint", F.round(F.greatest(F.lit(0.0), v), 5)).alias(k) for k, v in sums.items()])
 
 
 @query()
 def temporal_pid_auto(spark, d):
     """Narrow, wide and very wide vectors, each by the method their width asks for."""
-    h = halves(spark, d).select("vec_id", "a", "b", "y", F.floor(F.col("vec_id") / 1000).alias("part"))
+    h = halves(spark, d).select("vec_id", *[F.slice(c, 1, w).alias(f"{c}{w}") for c in ("a", "b") for w in (5, 16, 32)], "y", F.floor(F.col("vec_id") / 1000).alias("part"))
     classes = (h.agg(F.max("y")).first()[0] or 0) + 1
-    s = S.series_index(h, ["part"], ["vec_id"])
-    each = [Q.vector_terms(s.withColumns({c: F.slice(c, 1, w) for c in ("a", "b")}), ["part"], "vec_id", "a", "b", "y", classes, resamples=2).withColumn("width", F.lit(2 * w)) for w in (5, 16, 32)]
-    return each[0].union(each[1]).union(each[2])
+    pairs = [(f"a{w}", f"b{w}") for w in (5, 16, 32)]
+    return Q.vector_terms(S.series_index(h, ["part"], ["vec_id"]), ["part"], "vec_id", pairs, "y", classes)
 
 
 @query()

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lagweave.operators import coupling, info, learned, resampled, series
+from lagweave.operators import coupling, info, learned, posterior, resampled, series
 from lagweave.plans import registry
 from lagweave.sources.synthetic import causal_series
 
@@ -186,21 +186,68 @@ def signals(spark, n):
 
 
 def test_resampled_terms_on_held_out_rows(spark):
-    got = {r["lag"]: r for r in resampled.temporal_batch(signals(spark, 500), ["s"], "k", "a", "b", "y", [0, 1, 499], 2, size=16, resamples=2).collect()}
-    assert got[1]["U1"] > 0.8 and max(got[1]["R"], got[1]["U2"], got[1]["S"]) < 0.1 and got[0]["MI"] < 0.2
-    assert [(got[k]["train_rows"], got[k]["test_rows"], got[k]["method"]) for k in (0, 1, 499)] == [(400, 100, "batch"), (399, 100, "batch"), (0, 1, "failed")]
-    assert np.isnan(got[499]["MI"])
+    got = {r["lag"]: r for r in resampled.temporal_batch(signals(spark, 500), ["s"], "k", [("a", "b")], "y", [0, 1, 499, 700], 2, size=16, resamples=2).collect()}
+    assert got[1]["U1"] > 0.8 and max(got[1]["R"], got[1]["U2"], got[1]["S"]) < 0.1 and got[0]["MI"] < 0.2 and got[1]["gap"] < 2e-7
+    assert [(got[k]["train_rows"], got[k]["test_rows"], got[k]["method"]) for k in (0, 1, 499, 700)] == [(400, 100, "batch"), (399, 100, "batch"), (0, 1, "failed"), (0, 0, "failed")]
+    assert np.isnan(got[499]["MI"]) and np.isnan(got[700]["MI"])
+
+
+def labelled(spark, n, label):
+    """Three signals of normal numbers and a label of the first two; the third has no numbers in every other row."""
+    x = np.random.default_rng(5).normal(size=(n, 3))
+    rows = [(k % 3, k, [float(a)], [float(b)], [float(c)] if k % 2 else None, int(label(a, b))) for k, (a, b, c) in enumerate(x)]
+    return series.series_index(spark.createDataFrame(rows, "who long, k long, a array<double>, b array<double>, c array<double>, y long"), ["who"], ["k"])
+
+
+def test_synergy_of_a_nonlinear_label(spark):
+    """An exclusive or of signs is synergy, which a posterior that is linear in both signals can't see; a label by chance is nothing."""
+    pairs = [("a", "b"), ("a", "c")]
+    got = {(r["mod1"], r["mod2"]): r for r in resampled.temporal_batch(labelled(spark, 6000, lambda a, b: (a > 0) ^ (b > 0)), ["who"], "k", pairs, "y", [0], 2, resamples=2).collect()}
+    one = got["a", "b"]
+    assert one["S"] > 0.8 and max(one["R"], one["U1"], one["U2"]) < 0.05 and one["lost"] < 0.02 and one["test_rows"] == 1200
+    assert got["a", "c"]["MI"] < 0.05 and got["a", "c"]["method"] == "batch"
+    rng = np.random.default_rng(6)
+    assert resampled.temporal_batch(labelled(spark, 6000, lambda a, b: rng.integers(2)), ["who"], "k", [("a", "b")], "y", [0], 2, resamples=2).first()["MI"] < 0.05
+
+
+def test_posteriors_by_themselves():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 2))
+    y = np.digitize(x[:, 0] * x[:, 1], [-0.3, 0.3])
+    model = posterior.fit(x[:1500], y[:1500], 3)
+    p = model.predict(x[1500:])
+    assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y[1500:]).mean() > 0.85
+    states = posterior.codebook(p)
+    near = posterior.divergences(p, states)
+    assert len(states) <= posterior.STATES and near.min() > -1e-9 and near.min(1).mean() < 0.02
+    for x, y in ((np.zeros((20, 2)), np.arange(20) % 2), (rng.normal(size=(20, 2)), np.zeros(20, "i8")), (rng.normal(size=(1, 3)), np.array([1]))):
+        p = posterior.fit(x, y, 2).predict(x)  # nothing to learn: the class shares
+        assert np.isfinite(p).all() and np.allclose(p, p[0]) and (abs(p[0].sum() - 1) < 1e-9)
+
+
+def test_groups_and_pairs_are_one_job(spark):
+    """Subjects' own posteriors, all pairs and lags: as many Spark jobs as for one."""
+    s = labelled(spark, 900, lambda a, b: a > 0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grouped-fits", "")
+    got = resampled.temporal_batch(s, ["who"], "k", [("a", "b"), ("a", "c"), ("b", "c")], "y", [0, 1], 2, by=["who"], size=8, resamples=3).collect()
+    jobs = len(tracker.getJobIdsForGroup("grouped-fits"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs < 20, jobs  # of 9 groups of fits and 81 models
+    by = {(r["who"], r["mod1"], r["mod2"], r["lag"]): r for r in got}
+    assert len(got) == len(by) == 18 and all(by[k, "a", "b", 0]["U1"] > 0.5 and by[k, "a", "b", 1]["MI"] < 0.4 for k in range(3))
 
 
 def test_method_by_width(spark):
-    assert [resampled.choose_method(w) for w in (2, 10, 11, 50, 51)] == ["joint", "joint", "regularized", "regularized", "batch"]
-    s = signals(spark, 300)
-    one = resampled.vector_terms(s, ["s"], "k", "a", "b", "y", 2, lag=1, bins=4).first()
-    assert one["method"] == "joint" and one["U1"] + one["R"] > 0.5 and one["U2"] < 0.1
+    assert [resampled.choose_method(w) for w in (2, 10, 50, 51)] == ["joint", "joint", "joint", "batch"]
+    s = signals(spark, 300).withColumnRenamed("s", "who")
+    one = resampled.vector_terms(s, ["who"], "k", [("a", "b")], "y", 2, lags=[1, 400], bins=4, by=["who"]).orderBy("lag").collect()
+    assert one[0]["method"] == "joint" and one[0]["U1"] + one[0]["R"] > 0.5 and one[0]["U2"] < 0.1
+    assert one[1]["method"] == "failed" and np.isnan(one[1]["R"])
     with pytest.raises(ValueError):
-        resampled.vector_terms(s, ["s"], "k", "a", "b", "y", 2, method="other")
+        resampled.vector_terms(s, ["who"], "k", [("a", "b")], "y", 2, method="other")
     with pytest.raises(ValueError):
-        resampled.sequence_batch(s, "s", "a", "b", "y", [0], 2, pooling="other")
+        resampled.sequence_batch(s, "who", [("a", "b")], "y", [0], 2, pooling="other")
 
 
 def test_lags_without_rows_are_failed(spark):
