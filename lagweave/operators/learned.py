@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +15,7 @@ from lagweave.functions.arrays import kl
 from lagweave.sources.storage import dealt
 
 from .coupling import coupling, joint_information
+from .posterior import Posterior
 
 SMOOTH = 1e-8
 
@@ -26,30 +28,41 @@ def hist_posterior(df: DataFrame, state: Sequence[str], y: str, classes: int, to
     return one.select(*state, F.transform("_n", lambda x: (x + SMOOTH) / total).alias(to))
 
 
-def posterior_model(df: DataFrame, features: str, y: str, rounds: int = 30):
-    """A multinomial logistic regression of y on a feature array."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+#: Rows that a posterior is fitted on, at most: those with the least hash.
+FITTED = 4096
 
-    rows = df.select(array_to_vector(F.col(features)).alias("_f"), F.col(y).cast("double").alias("_y"))
-    return LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=rounds, regParam=1e-3, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(rows)
 
+def posterior_model(df: DataFrame, features: str, y: str, classes: int, rows: int = FITTED, seed: int = 0) -> Posterior | None:
+    """A nonlinear posterior of y on a feature array, fitted in one task on at most `rows` rows that have both; None where no row has."""
+    from .posterior import fit
+
+    some = df.where(F.col(features).isNotNull() & F.col(y).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), F.col(y).cast("long").alias("y"))
+    drawn = some.orderBy(F.xxhash64(F.lit(seed), "x", "y"), "x", "y").limit(rows)
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [pickle.dumps(fit(np.stack(frame["x"].to_numpy()), frame["y"].to_numpy(), classes, seed))]})
+
+    found = drawn.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learn, "model binary").first()
+    return found and pickle.loads(found["model"])
 
-def with_posterior(df: DataFrame, model, features: str, to: str = "posterior") -> DataFrame:
-    """df with the model's class posterior as an array."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    return model.transform(df.withColumn("_f", array_to_vector(F.col(features)))).withColumn(to, vector_to_array("_p")).drop("_f", "_p", "_r", "_c")
+def with_posterior(df: DataFrame, model: Posterior | None, features: str, classes: int, to: str = "posterior") -> DataFrame:
+    """df with the model's class posterior as an array; null where there are no features or no model."""
 
+    @F.pandas_udf("array<double>")
+    def predict(x: pd.Series) -> pd.Series:
+        out = np.full(len(x), None, object)
+        there = np.flatnonzero(x.notna().to_numpy() & (model is not None))
+        for k, p in zip(there, model.predict(np.stack(x.to_numpy()[there])) if len(there) else (), strict=True):
+            out[k] = p
+        return pd.Series(out)
 
-def fit_posterior(df: DataFrame, features: str, y: str, to: str = "posterior", train: Column | None = None, rounds: int = 30) -> DataFrame:
-    """df with a class posterior by multinomial logistic regression, fitted on the training rows, as an array."""
-    return with_posterior(df, posterior_model(df if train is None else df.where(train), features, y, rounds), features, to)
+    return df.withColumn(to, predict(F.col(features).cast("array<double>")))
 
 
-def lag_features(features: Column, lag: Column, lags: int) -> Column:
-    """The features with the lag as one-hot numbers: one model then serves all lags."""
-    return F.concat(features, F.array(*[F.when(lag == k, 1.0).otherwise(0.0) for k in range(lags)]))
+def fit_posterior(df: DataFrame, features: str, y: str, classes: int, to: str = "posterior", train: Column | None = None, **options) -> DataFrame:
+    """df with a class posterior as an array: random cosine features under a ridge softmax, fitted on a bounded sample of the training rows."""
+    return with_posterior(df, posterior_model(df if train is None else df.where(train), features, y, classes, **options), features, classes, to)
 
 
 def with_prior(df: DataFrame, y: str, classes: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -60,17 +60,24 @@ def mean_loss(p: np.ndarray, y: np.ndarray) -> float:
     return float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0, features: int = FEATURES) -> Posterior:
+def fit(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 0, features: int = FEATURES, conditions: int = 0) -> Posterior:
     """P(y | x) of rows x [n, d] with labels 0..classes-1.
 
+    The last `conditions` columns tell apart cases of one model, one column a case: they shift the cosines' phases, whatever the
+    number of cases, and so bend each case's posterior another way.
+
     Every fifth row chooses the ridge, and the weights are then learned from all rows. Where no ridge beats the class shares on
     those rows, or a class is alone, the posterior is the class shares.
     """
     rng, (n, d) = np.random.default_rng(seed), x.shape
     mean, std = x.mean(0), x.std(0)
     varied = std > 1e-9 * np.maximum(np.abs(mean), 1e-9)
-    projection = rng.normal(size=(d, features)) * np.resize(SCALES, features) / np.sqrt(max(d, 1))
-    found = Posterior(mean, np.where(varied, 1 / np.where(varied, std, 1), 0), projection, rng.uniform(0, 2 * np.pi, features), np.zeros((1 + d + features, classes)), np.inf, np.inf)
+    projection = rng.normal(size=(d, features)) * np.resize(SCALES, features) / np.sqrt(max(d - conditions, 1))
+    scale = np.where(varied, 1 / np.where(varied, std, 1), 0)
+    if conditions:
+        scale[-conditions:] = 1
+        projection[-conditions:] = rng.uniform(-np.pi, np.pi, (conditions, features))
+    found = Posterior(mean, scale, projection, rng.uniform(0, 2 * np.pi, features), np.zeros((1 + d + features, classes)), np.inf, np.inf)
     onehot, raw = np.eye(classes)[y], found.features(x)[:, 1:]
     center = raw.mean(0)
     values, basis = np.linalg.eigh((raw - center).T @ (raw - center))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions.arrays import equal_width_bin, row_mean
@@ -20,7 +20,7 @@ from lagweave.sources.storage import written
 from .coupling import coupling, joint_information
 from .info import CELL, pid
 from .learned import decompose_learned
-from .posterior import codebook, divergences, fit
+from .posterior import FEATURES, codebook, divergences, fit
 from .sampling import ranked
 from .series import lag_align, vector_bucket_mean
 
@@ -46,34 +46,38 @@ def fits_of(pairs: Sequence[tuple[str, str]]) -> list[tuple[str, ...]]:
 
 
 def inputs(rows: pd.DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have all of these modalities, and their numbers side by side."""
+    """The rows that have all of these modalities, and their numbers side by side, with the case that a model is told, if any, last."""
     there = np.logical_and.reduce([rows[m].notna().to_numpy() for m in names])
     some = rows[there]
-    return there, np.concatenate([np.stack(some[m].to_numpy()).astype("f8") for m in names], 1) if there.any() else np.zeros((0, 0))
+    return there, np.concatenate([np.stack(some[m].to_numpy()).astype("f8") for m in (*names, "_told")], 1) if there.any() else np.zeros((0, 0))
 
 
-def group_sizes(base: DataFrame, keys: Sequence[str], y: str, classes: int, need: int, draws: int) -> DataFrame:
-    """A row a group: rows of both parts, class shares of all rows, draws (one where all fitting rows are drawn), blocks of test rows."""
+def group_sizes(base: DataFrame, keys: Sequence[str], own: Sequence[str], y: str, classes: int, need: int, draws: int) -> DataFrame:
+    """A row a group: rows of both parts, class shares of all rows, draws (one where all fitting rows are drawn), blocks of test rows.
+    `own`, of the keys, tell apart models; groups with equal ones share theirs."""
     counts = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_train").alias("train_rows"), F.array(*[F.count_if(F.col(y) == k) / F.count("*") for k in range(classes)]).alias("prior"))
-    test = F.col("_n") - F.col("train_rows")
-    return counts.select(*keys, "train_rows", test.alias("test_rows"), "prior", F.when(F.col("train_rows") <= need, 1).otherwise(draws).alias("_draws"), F.ceil(test / BLOCK).cast("int").alias("_blocks"))
+    test, fitting = F.col("_n") - F.col("train_rows"), F.sum("train_rows").over(Window.partitionBy(*own))
+    return counts.select(*keys, "train_rows", test.alias("test_rows"), "prior", F.when(fitting <= need, 1).otherwise(draws).alias("_draws"), F.ceil(test / BLOCK).cast("int").alias("_blocks"))
 
 
-def fitted(base: DataFrame, sizes: DataFrame, keys: Sequence[str], fits: Sequence[tuple[str, ...]], y: str, classes: int, need: int, seed: int) -> DataFrame:
-    """keys, _blocks, _draw, _fit, model: for each draw of at most `need` training rows of each group every posterior, and a codebook of it for a single modality.
+def fitted(base: DataFrame, sizes: DataFrame, keys: Sequence[str], own: Sequence[str], fits: Sequence[tuple[str, ...]], y: str, classes: int, need: int, seed: int) -> DataFrame:
+    """own, _draw, _fit, model, and the number of blocks where each group has its own: for each draw of at most `need` training rows every posterior, and a codebook of it for a single modality.
 
-    A draw is the `need` rows with the least hash; rows above a bound that leaves out none but needless ones aren't shuffled.
+    A draw is the rows with the least hash over their group's share of the draw; rows above a bound that leaves out none but needless
+    ones aren't shuffled.
     """
     modalities = sorted({m for f in fits for m in f})
-    unit = lambda d: F.pmod(F.xxhash64(F.lit(seed), d, F.col("_key")), F.lit(1 << 40)) / float(1 << 40)
-    bound = (need + 6 * math.sqrt(need) + 10) / F.col("train_rows")
+    unit = lambda d: F.pmod(F.xxhash64(F.lit(seed), d, F.col("_key"), *keys), F.lit(1 << 40)) / float(1 << 40)
+    part = need * F.col("_weight")
+    bound = (part + 6 * F.sqrt(part) + 10) / F.col("train_rows")
     drawn = F.filter(F.sequence(F.lit(0), F.col("_draws") - 1), lambda d: (F.col("_draws") == 1) | (unit(d) < bound))
     rows = base.where("_train").join(sizes.where("test_rows > 0").select(*keys, "train_rows", "_draws", "_blocks"), list(keys))
-    rows = rows.withColumn("_draw", F.explode(drawn)).withColumn("_u", unit(F.col("_draw")))
+    kept = [*own, "_draw", *(["_blocks"] if list(own) == list(keys) else [])]
+    rows = rows.withColumn("_draw", F.explode(drawn)).withColumn("_u", unit(F.col("_draw")) / bound)
     chunks = [list(range(at, min(at + CHUNK, len(fits)))) for at in range(0, len(fits), CHUNK)]
     held = {m: [k for k, c in enumerate(chunks) if any(m in fits[f] for f in c)] for m in modalities}
     rows = rows.withColumn("_chunk", F.explode(F.array(*[F.lit(k) for k in range(len(chunks))])))
-    rows = rows.select(*keys, "_blocks", "_draw", "_chunk", "_u", "_key", y, *[F.when(F.col("_chunk").isin(held[m]), F.col(m)).alias(m) for m in modalities])
+    rows = rows.select(*kept, "_chunk", "_u", "_key", "_told", y, *[F.when(F.col("_chunk").isin(held[m]), F.col(m)).alias(m) for m in modalities])
     types = dict(base.dtypes)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
@@ -82,22 +86,24 @@ def fitted(base: DataFrame, sizes: DataFrame, keys: Sequence[str], fits: Sequenc
         for f in chunks[frame["_chunk"].iloc[0]]:
             there, x = inputs(frame, fits[f])
             if there.any():
-                model = fit(x, frame[y].to_numpy("i8")[there], classes, seed)
+                told = len(frame["_told"].iloc[0])
+                model = fit(x, frame[y].to_numpy("i8")[there], classes, seed, FEATURES * (2 if told else 1), told)
                 states = codebook(model.predict(x)) if len(fits[f]) == 1 else None
                 out.append((f, pickle.dumps((model, states))))
-        first = {k: frame[k].iloc[0] for k in (*keys, "_blocks", "_draw")}
+        first = {k: frame[k].iloc[0] for k in kept}
         return pd.DataFrame({**{k: [v] * len(out) for k, v in first.items()}, "_fit": [f for f, _ in out], "model": [m for _, m in out]})
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _blocks int, _draw int, _fit int, model binary"
-    return rows.groupBy(*keys, "_draw", "_chunk").applyInPandas(learn, schema)
+    schema = ", ".join(f"`{k}` {types.get(k, 'int')}" for k in kept) + ", _fit int, model binary"
+    return rows.groupBy(*own, "_draw", "_chunk").applyInPandas(learn, schema)
 
 
-def scored(base: DataFrame, models: DataFrame, sizes: DataFrame, keys: Sequence[str], fits: Sequence[tuple[str, ...]], classes: int) -> DataFrame:
-    """keys, _draw, _fit, v: of each model over all test rows the number of rows, the sum of p log p, the sum of p, and for a single
+def scored(base: DataFrame, models: DataFrame, sizes: DataFrame, keys: Sequence[str], own: Sequence[str], fits: Sequence[tuple[str, ...]], y: str, classes: int) -> DataFrame:
+    """keys, _draw, _fit, v: of each model over all test rows the number of rows, the sums of p log p, of the loss and of p, and for a single
     modality the sum of p in each state. Test rows are dealt into blocks, which meet the group's models; only sums leave a block."""
     modalities = sorted({m for f in fits for m in f})
     rows = base.where("not _train").join(sizes.where("train_rows > 0").select(*keys, "_blocks"), list(keys))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit(7)), F.col("_blocks")).cast("int")).select(*keys, "_block", *modalities)
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key", F.lit(7)), F.col("_blocks")).cast("int")).select(*keys, "_block", "_told", y, *modalities)
+    models = models if "_blocks" in models.columns else models.join(sizes.select(*keys, "_blocks"), list(own))
     spread = models.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     types = dict(base.dtypes)
 
@@ -109,7 +115,8 @@ def scored(base: DataFrame, models: DataFrame, sizes: DataFrame, keys: Sequence[
                 continue
             model, states = pickle.loads(row["model"])
             p = model.predict(x)
-            sums = [[float(len(p)), (p * np.log(np.maximum(p, 1e-300))).sum()], p.sum(0)]
+            loss = -np.log(np.maximum(p[np.arange(len(p)), block[y].to_numpy("i8")[there]], 1e-300)).sum()
+            sums = [[float(len(p)), (p * np.log(np.maximum(p, 1e-300))).sum(), loss], p.sum(0)]
             if states is not None:
                 cells = np.zeros_like(states)
                 np.add.at(cells, divergences(p, states).argmin(1), p)
@@ -132,15 +139,15 @@ def joint_of(r: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def informations(sums: DataFrame, sizes: DataFrame, keys: Sequence[str], fits: Sequence[tuple[str, ...]], pairs: Sequence[tuple[str, str]], classes: int) -> DataFrame:
-    """keys, _draw, mod1, mod2, i1, i2, i12, iq (bits), lost, gap: of every pair whose three posteriors were scored."""
+    """keys, _draw, mod1, mod2, i1, i2, i12, iq, lost, gap (bits), loss (nats): of every pair whose three posteriors were scored."""
     at = {f: k for k, f in enumerate(fits)}
     rows, types = sums.join(sizes.select(*keys, "prior"), list(keys)), dict(sums.dtypes)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         prior = np.maximum(np.array(frame["prior"].iloc[0], "f8"), 1e-12)
         found = {f: np.asarray(v, "f8") for f, v in zip(frame["_fit"], frame["v"], strict=True)}
-        mi = {f: (v[1] - v[2 : 2 + classes] @ np.log(prior)) / v[0] for f, v in found.items()}
-        cells = {f: (v[2 + classes :].reshape(-1, classes) / v[0]).T for f, v in found.items() if len(v) > 2 + classes}
+        mi = {f: (v[1] - v[3 : 3 + classes] @ np.log(prior)) / v[0] for f, v in found.items()}
+        cells = {f: (v[3 + classes :].reshape(-1, classes) / v[0]).T for f, v in found.items() if len(v) > 3 + classes}
         some = [p for p in pairs if all(at[f] in found for f in ((p[0],), (p[1],), tuple(p)))]
         out = []
         for k in range(0, len(some), TOGETHER):
@@ -153,17 +160,17 @@ def informations(sums: DataFrame, sizes: DataFrame, keys: Sequence[str], fits: S
             i1, i2, iq = joint_information(p.sum(3, keepdims=True)), joint_information(p.sum(2, keepdims=True)), joint_information(q)
             for n, (a, b) in enumerate(part):
                 lost = max(mi[at[a,]] - i1[n], mi[at[b,]] - i2[n])
-                out.append((a, b, *(x / math.log(2) for x in (i1[n], i2[n], mi[at[a, b]], iq[n], lost, gap[n]))))
+                out.append((a, b, *(x / math.log(2) for x in (i1[n], i2[n], mi[at[a, b]], iq[n], lost, gap[n])), found[at[a, b]][2] / found[at[a, b]][0]))
         first = {k: frame[k].iloc[0] for k in (*keys, "_draw")}
-        done = pd.DataFrame(out, columns=["mod1", "mod2", "i1", "i2", "i12", "iq", "lost", "gap"])
+        done = pd.DataFrame(out, columns=["mod1", "mod2", "i1", "i2", "i12", "iq", "lost", "gap", "loss"])
         return pd.concat([pd.DataFrame({k: [v] * len(out) for k, v in first.items()}), done], axis=1)
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _draw int, mod1 string, mod2 string, i1 double, i2 double, i12 double, iq double, lost double, gap double"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _draw int, mod1 string, mod2 string, i1 double, i2 double, i12 double, iq double, lost double, gap double, loss double"
     return rows.groupBy(*keys, "_draw").applyInPandas(solve, schema)
 
 
-def resampled_terms(rows: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], y: str, key: str, train: Column, classes: int, size: int = 256, resamples: int = 10, seed: int = 42, asked: DataFrame | None = None) -> DataFrame:
-    """keys, mod1, mod2, R, U1, U2, S, MI (bits), i1, i2, i12, iq, lost, gap, train_rows, test_rows, method: a row for each group and pair.
+def resampled_terms(rows: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], y: str, key: str, train: Column, classes: int, size: int = 256, resamples: int = 10, seed: int = 42, asked: DataFrame | None = None, told: tuple[str, Sequence[int], Sequence[float]] | None = None) -> DataFrame:
+    """keys, mod1, mod2, R, U1, U2, S, MI (bits), i1, i2, i12, iq, lost, gap, loss, train_rows, test_rows, method: a row for each group and pair.
 
     For each group and resample ten times `size` training rows are drawn without replacement, or all rows if there are no more
     (then the resamples are equal and one is made); a nonlinear posterior of each modality and pair is fitted on them, and all rows of the other
@@ -172,19 +179,25 @@ def resampled_terms(rows: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[
     the most that a single posterior tells beyond its states. The resamples' informations are averaged before the terms
     are cut at 0. Rows without a label go; a row counts for the posteriors of which it has all modalities. Where a part has no
     row, or a modality no number, and for groups that are `asked` for (keys) but have no row, terms are NaN and the method is 'failed'.
+    With `told` (a key, its values, the weight of each) groups that differ in that key only share their models, which are told the value; a
+    draw takes rows of the values by weight. loss is the pair posterior's mean on the scored rows, in nats.
     """
     need, fits = 10 * size, fits_of(pairs)
     modalities = sorted({m for p in pairs for m in p})
     used = ["_all", *keys]
-    base = rows.where(F.col(y).isNotNull()).select(*keys, F.col(key).cast("string").alias("_key"), F.col(y).cast("long").alias(y), train.alias("_train"), *modalities)
+    name, values, weights = told or (None, [], [])
+    own = [k for k in used if k != name]
+    case = F.array(*[F.when(F.col(name) == v, 1.0).otherwise(0.0) for v in values]) if values else F.array().cast("array<double>")
+    weight = F.coalesce(*[F.when(F.col(name) == v, F.lit(w / sum(weights))) for v, w in zip(values, weights, strict=True)]) if values else F.lit(1.0)
+    base = rows.where(F.col(y).isNotNull()).select(*keys, F.col(key).cast("string").alias("_key"), F.col(y).cast("long").alias(y), train.alias("_train"), case.alias("_told"), weight.alias("_weight"), *modalities)
     base = written(base.withColumn("_all", F.lit(0)).where("_train is not null"), "resampled")
-    sizes = written(group_sizes(base, used, y, classes, need, resamples), "sizes")
-    models = written(fitted(base, sizes, used, fits, y, classes, need, seed), "models")
-    sums = written(scored(base, models, sizes, used, fits, classes), "sums")
+    sizes = written(group_sizes(base, used, own, y, classes, need, resamples), "sizes")
+    models = written(fitted(base, sizes, used, own, fits, y, classes, need, seed), "models")
+    sums = written(scored(base, models, sizes, used, own, fits, y, classes), "sums")
     found = informations(sums, sizes, used, fits, pairs, classes)
-    mean = found.groupBy(*used, "mod1", "mod2").agg(*[F.avg(c).alias(c) for c in ("i1", "i2", "i12", "iq")], F.max("lost").alias("lost"), F.max("gap").alias("gap"))
+    mean = found.groupBy(*used, "mod1", "mod2").agg(*[F.avg(c).alias(c) for c in ("i1", "i2", "i12", "iq")], F.max("lost").alias("lost"), F.max("gap").alias("gap"), F.avg("loss").alias("loss"))
     terms = decompose_learned(mean)
-    values, counts = [*TERMS, "i1", "i2", "i12", "iq", "lost", "gap"], ["train_rows", "test_rows"]
+    values, counts = [*TERMS, "i1", "i2", "i12", "iq", "lost", "gap", "loss"], ["train_rows", "test_rows"]
     rows = terms.select(*keys, "mod1", "mod2", *values, *[F.lit(None).cast("long").alias(c) for c in counts])
     none = [F.lit(None).cast("double").alias(c) for c in values]
     rows = rows.union(sizes.select(*keys, each_of(pairs), *counts).select(*keys, "p.*", *none, *counts))
@@ -204,15 +217,16 @@ def asked_for(groups: DataFrame, by: Sequence[str], lags: Sequence[int]) -> Data
     return grid.withColumn("lag", F.explode(F.array(*[F.lit(k).cast("long") for k in lags])))
 
 
-def temporal_batch(df: DataFrame, keys: Sequence[str], key: str, pairs: Sequence[tuple[str, str]], y: str, lags: Sequence[int], classes: int, share: float = 0.8, by: Sequence[str] = (), **options) -> DataFrame:
+def temporal_batch(df: DataFrame, keys: Sequence[str], key: str, pairs: Sequence[tuple[str, str]], y: str, lags: Sequence[int], classes: int, share: float = 0.8, by: Sequence[str] = (), weights: Sequence[float] | None = None, **options) -> DataFrame:
     """by, lag, and what `resampled_terms` gives of each pair of vectors of series (keys, i, n), paired with the label `lag` steps on:
     fitted on the first `share` of each series' pairs of rows, scored on the rest. `by`, some of the keys, tells apart groups that
-    have posteriors of their own. A group and lag that leave a part without rows are a failed row."""
+    have posteriors of their own. With `weights`, one a lag, each group has one model for all lags, which is told the lag and trained on
+    rows of the lags by weight. A group and lag that leave a part without rows are a failed row."""
     modalities = sorted({m for p in pairs for m in p})
     aligned = lag_align(df.select(*keys, "i", "n", key, y, *modalities), keys, modalities, y, max(lags), others=[key])
     aligned = aligned.where(F.col("lag").isin(list(lags))).withColumn("lag", F.col("lag").cast("long"))
     train = F.col("i") < F.floor((F.col("n") - F.col("lag")) * F.lit(share))
-    return resampled_terms(aligned, [*by, "lag"], pairs, y, key, train, classes, asked=asked_for(df, by, lags), **options)
+    return resampled_terms(aligned, [*by, "lag"], pairs, y, key, train, classes, asked=asked_for(df, by, lags), told=weights and ("lag", list(lags), list(weights)), **options)
 
 
 def sequence_batch(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]], y: str, lags: Sequence[int], classes: int, mask: str | dict[str, str] | None = None, pooling: str = "timestep", share: float = 0.8, seed: int = 42, **options) -> DataFrame:

@@ -70,10 +70,22 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str = "t") -> DataFra
     return grid.join(df, [*keys, time], "left")
 
 
-def impute(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], width: float = 1.0) -> DataFrame:
-    """Bucket means on a regular grid, interpolated, and the column's mean over all rows where a series has none."""
-    filled = interpolate_linear(regular_grid(bucket_mean(df, keys, time, columns, width), keys), keys, "t", columns)
+def impute(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], width: float = 1.0, upto: int | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """Bucket means on a regular grid, interpolated, and the column's mean over all rows where a series has none.
+
+    With `upto` the grid ends there: later buckets only lend their values to the line that leads to them. With `keep` only
+    these keys' series are made; the means are still those of all rows.
+    """
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    buckets = bucket_mean(df if keep is None else df.join(keep.select(*keys).distinct(), list(keys), "left_semi"), keys, time, columns, width)
+    if upto is None:
+        grid = regular_grid(buckets, keys)
+    else:
+        steps = buckets.groupBy(*keys).agg(F.least(F.max("t"), F.lit(upto).cast("long")).alias("_m")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"))).alias("t"))
+        grid = steps.join(buckets, [*keys, "t"], "left").unionByName(buckets.where(F.col("t") > upto))
+    filled = interpolate_linear(grid, keys, "t", columns)
+    if upto is not None:
+        filled = filled.where(F.col("t") <= upto)
     return filled.fillna({c: means[c] for c in columns if means[c] is not None})
 
 

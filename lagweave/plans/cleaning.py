@@ -229,7 +229,7 @@ def died(spark, d):
     """hadm_id and whether an error falls in the admission."""
     e = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("subject"), "ts")
     a = admissions(spark, d)
-    inside = a.join(e, "subject").where(F.col("ts").between(F.col("admittime"), F.col("dischtime"))).select("hadm_id").distinct().withColumn("died", F.lit(1).cast("long"))
+    inside = J.interval_pairs(e, a, ["subject"], "ts", "admittime", "dischtime", 5).select("hadm_id").distinct().withColumn("died", F.lit(1).cast("long"))
     return a.join(inside, "hadm_id", "left").withColumn("died", F.coalesce("died", F.lit(0).cast("long")))
 
 

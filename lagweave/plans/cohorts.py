@@ -114,11 +114,12 @@ notes AS """
 )
 
 
-def modalities(spark, d):
-    """The four modalities of stays, and the column that holds each one's time. The series are written, as several steps read them."""
+def modalities(spark, d, hours=None, valid=None):
+    """The four modalities of stays, and the column that holds each one's time. The series are written, as several steps read them; the
+    regular one is made of the first `hours` of the valid stays."""
     rows = located(spark, d)
     irregular = written(wide(spark, d, rows).where("stay_id is not null"), "irregular")
-    regular = written(S.impute(irregular, ["stay_id"], "icu", NAMES, 1.0), "regular")
+    regular = written(S.impute(irregular, ["stay_id"], "icu", NAMES, 1.0, hours, valid), "regular")
     return {"irregular": irregular, "regular": regular, "notes": vectors(spark, d, rows, "event = 'error'", 1), "images": vectors(spark, d, rows, "event = 'click' and event_id % 3 = 1", 5)}
 
 
@@ -126,7 +127,8 @@ TIMES = {"irregular": "icu", "regular": "t", "notes": "icu", "images": "icu"}
 
 
 def task(spark, d, hours, least_days, min_rows, include_missing):
-    rows = H.task_window(modalities(spark, d), TIMES, long_stays(spark, d), "stay_id", hours, least_days, min_rows, ("notes", "images"))
+    valid = long_stays(spark, d).where(S.hours_between(F.col("intime"), F.col("outtime")) >= 24 * least_days)
+    rows = H.task_window(modalities(spark, d, hours, valid), TIMES, valid, "stay_id", hours, least_days, min_rows, ("notes", "images"))
     needed = {m: df for m, df in rows.items() if m != "regular"}
     return H.split_and_standardize(rows, H.task_stays(needed, "stay_id", include_missing), "stay_id", 5, ("irregular", "regular"), NAMES)
 
@@ -267,14 +269,39 @@ def sequence_dataset(spark, d):
     return rows.select("stay_id", "label", F.size("series").cast("long").alias("n"), *[c for m in ("images", "notes", "series") for c in (seen(m).alias(f"{m}_mask"), total(m).alias(m))])
 
 
+LEAD = """, n_of AS (SELECT stay_id, label, least(48, max(t) + 1) AS n FROM everything JOIN labels_of USING (stay_id) GROUP BY stay_id, label),
+held AS (SELECT DISTINCT lag, stay_id FROM everything JOIN n_of USING (stay_id), (VALUES (0), (6), (12), (18), (24), (30), (36), (42)) v(lag) WHERE mask AND t < n - lag),
+c AS (SELECT CAST(lag AS BIGINT) AS lag, count(*) AS n FROM held GROUP BY lag)"""
+STAY_PAIRS = [("images", "notes"), ("images", "series"), ("notes", "series")]
+
+
+def stay_steps(spark, d):
+    """The first 48 hourly steps of every stay: a vector and a mask of each of its three modalities, the series standardised, and its label."""
+    steps, labels = all_modalities(spark, d, True)
+    each = [F.first(F.when(F.col("modality") == m, F.col(c)), True).alias(to) for m in ("images", "notes", "series") for c, to in (("v", m), ("mask", f"{m}_mask"))]
+    wide_steps = written(steps.where("t < 48").groupBy("stay_id", "t").agg(*each), "steps")
+    return wide_steps.withColumn("n", F.count("*").over(Window.partitionBy("stay_id"))).join(labels.withColumnRenamed("label", "y"), "stay_id")
+
+
+def stay_terms(spark, d):
+    masks = {m: f"{m}_mask" for m in ("images", "notes", "series")}
+    return Q.sequence_batch(stay_steps(spark, d), "stay_id", STAY_PAIRS, "y", S.lag_grid(48, 8), 2, masks, "mean", size=256, resamples=10)
+
+
 @query()
+def rus_stays_terms(spark, d):
+    """Every pair of the stays' three aligned modalities over 48 steps at eight lags: masked means of the steps that a lag leaves, fitted on 80 % of the stays, scored on the rest."""
+    return stay_terms(spark, d)
+
+
+@query(WITH_REGULAR + LEAD + " SELECT mod1, mod2, c.lag, CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS train_rows, CAST(n - trunc(n * 0.8::DOUBLE) AS BIGINT) AS test_rows, true AS solved FROM c JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in STAY_PAIRS) + ") m(mod1, mod2) ON true")
 def rus_stays_lags(spark, d):
-    """Every pair of the stays' three aligned modalities, the series standardised, over the first 24 steps: terms at lags 0 and 12, their means and the dominant term."""
-    steps, labels = all_modalities(spark, d, True)
-    each = {"a": "images", "b": "notes", "c": "series"}
-    wide_steps = steps.where("t < 24").groupBy("stay_id", "t").agg(*[F.first(F.when(F.col("modality") == m, F.col("v")), True).alias(c) for c, m in each.items()])
-    rows = written(wide_steps.withColumn("n", F.count("*").over(Window.partitionBy("stay_id"))).join(labels.withColumnRenamed("label", "y"), "stay_id"), "steps")
-    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
-    found = [Q.sequence_batch(rows, "stay_id", *p, "y", S.lag_grid(24, 2), 2, resamples=1).withColumns({"mod1": F.lit(each[p[0]]), "mod2": F.lit(each[p[1]])}) for p in pairs]
-    terms, keys = written(found[0].union(found[1]).union(found[2]), "terms"), ["mod1", "mod2"]
+    """The stays that fit and that are scored for each pair and lag, and that their couplings' gaps are closed."""
+    return stay_terms(spark, d).select("mod1", "mod2", "lag", "train_rows", "test_rows", (F.col("gap") < 2e-7).alias("solved"))
+
+
+@query()
+def rus_stays(spark, d):
+    """The whole analysis of stays: each pair's mean terms over the lags and the dominant term."""
+    terms, keys = written(stay_terms(spark, d), "terms"), ["mod1", "mod2"]
     return G.average_over_lags(terms, keys).drop("lags").join(G.dominant_terms(terms, keys), keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagweave.operators import cohort as H
+from lagweave.operators import joins as J
 from lagweave.operators import metrics as M
 from lagweave.operators import routing as R
 from lagweave.operators import sampling as P
@@ -122,11 +123,16 @@ def run_tag(spark, d):
 TASK = LABELLED + ", held AS (SELECT a.hadm_id, any_value(died) AS died, count(e.event_id) AS n FROM died JOIN admissions a USING (hadm_id) JOIN events e ON e.user_id = a.subject AND e.ts BETWEEN a.admittime AND a.admittime + INTERVAL 48 HOUR GROUP BY 1 HAVING count(e.event_id) >= 2), r AS (SELECT *, row_number() OVER (ORDER BY md5(concat('5:', CAST(hadm_id AS VARCHAR))), hadm_id) - 1 AS rank, count(*) OVER () AS total FROM held), cut AS (SELECT *, CASE WHEN rank < trunc(0.7::DOUBLE * total) THEN 'train' WHEN rank < trunc(0.7::DOUBLE * total) + trunc(0.15::DOUBLE * total) THEN 'val' ELSE 'test' END AS split FROM r)"
 
 
+def first_hours(events, stays):
+    """Events in the first 48 hours of each admission."""
+    return J.interval_pairs(events, stays.withColumn("until", F.col("admittime") + F.expr("interval 48 hours")), ["subject"], "ts", "admittime", "until", 2)
+
+
 def task_rows(spark, d):
     """Admissions with at least two events in 48 hours, their label and split."""
     e = table(spark, d, "events").select(F.col("user_id").alias("subject"), "ts", "value")
     a = died(spark, d)
-    rows = a.join(e, "subject").where(F.col("ts").between(F.col("admittime"), F.col("admittime") + F.expr("interval 48 hours")))
+    rows = first_hours(e, a)
     held = rows.groupBy("hadm_id").agg(F.first("died").alias("died"), F.count("*").alias("n"), F.avg("value").alias("value")).where("n >= 2")
     return P.split_random(held, "hadm_id", 5)
 
@@ -137,7 +143,7 @@ def write_stays(spark, d):
     path = scratch(spark, "stays")
     t = task_rows(spark, d)
     e = table(spark, d, "events").select(F.col("user_id").alias("subject"), "ts", "event_id", "value")
-    rows = died(spark, d).join(e, "subject").where(F.col("ts").between(F.col("admittime"), F.col("admittime") + F.expr("interval 48 hours")))
+    rows = first_hours(e, died(spark, d))
     nested = H.ordered(rows, "hadm_id", "ts", ["event_id", "value"], "series")
     t.select("hadm_id", "died", "split").join(nested, "hadm_id").write.partitionBy("split").parquet(f"{path}/stays")
     fit_scaler(t.where("split = 'train'"), ["value"]).write.parquet(f"{path}/scaler")

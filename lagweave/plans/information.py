@@ -396,21 +396,37 @@ def decompose_learned(spark, d):
 
 @query()
 def fit_posterior(spark, d):
-    p = L.fit_posterior(halves(spark, d), "a", "y")
+    """A nonlinear posterior of the label from 32 numbers: its mass, and what it gives the true label."""
+    h = halves(spark, d)
+    p = L.fit_posterior(h, "a", "y", (h.agg(F.max("y")).first()[0] or 0) + 1)
     return p.select("vec_id", "y", F.round(A.total(F.col("posterior")), 6).alias("mass"), F.get("posterior", F.col("y").cast("int")).alias("p"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS rows_seen, true AS whole, true AS learned FROM embeddings WHERE len(embedding) = 64")
+def fit_posterior_quality(spark, d):
+    """That every row's posterior adds up to 1, and that its mean loss is not above the class shares' by more than 0.01 nats."""
+    p = written(fit_posterior(spark, d), "posterior")
+    shares = p.groupBy("y").agg(F.count("*").alias("n")).agg((-F.sum(F.col("n") * F.log(F.col("n") / F.lit(1.0))) / F.sum("n") + F.log(F.sum("n"))).alias("h")).scalar()
+    return p.agg(F.count("*").alias("rows_seen"), (F.max(F.abs(F.col("mass") - 1)) < 1e-5).alias("whole"), F.avg(-F.log("p")).alias("loss")).select("rows_seen", "whole", (F.col("loss") < shares + 0.01).alias("learned"))
+
+
 def lagged_states(spark, d, lags: int):
     s = states(spark, d)
     return S.lag_align(s, ["subject"], ["b1", "b2", "x1", "x2"], "y", lags, others=["event_id"])
 
 
+MULTISCALE = [("x1", "x2"), ("x1", "x3"), ("x2", "x3")]
+
+
+def multiscale(spark, d):
+    """One model a posterior for all lags 0 to 5, near lags weighing more, from the first four fifths of each series."""
+    return Q.temporal_batch(vector_series(spark, d), ["subject"], "event_id", MULTISCALE, "y", range(LAGS + 1), CLASSES, weights=[1 / (1 + k) for k in range(LAGS + 1)], resamples=3)
+
+
 @query()
 def multiscale_posterior(spark, d):
-    """One model for all lags, told the lag; its mean loss by lag."""
-    rows = lagged_states(spark, d, 2)
-    f = rows.withColumn("f", L.lag_features(F.array("x1", "x2"), F.col("lag"), 3))
-    return L.cross_entropy(L.fit_posterior(f, "f", "y", rounds=20), ["lag"], "posterior", "y")
+    """One model for all lags, told the lag: its mean loss by lag on the rows held out."""
+    return multiscale(spark, d).select("mod1", "mod2", "lag", "loss", "test_rows")
 
 
 def by_lag(spark, d, lags: int):
@@ -439,13 +455,17 @@ def temporal_pid_batch_terms(spark, d):
 
 
 @query()
+def temporal_pid_multiscale_terms(spark, d):
+    """Terms by pair and lag from one lag-conditioned model a posterior, scored on held-out rows."""
+    return multiscale(spark, d)
+
+
+@query(SERIES + f", p AS (SELECT subject, CAST(k AS BIGINT) AS lag, n - k AS n FROM (SELECT DISTINCT subject, n FROM series), range(0, {LAGS + 1}) r(k) WHERE n > k), c AS (SELECT lag, CAST(sum(floor(n * 0.8::DOUBLE)) AS BIGINT) AS train_rows, CAST(sum(n - floor(n * 0.8::DOUBLE)) AS BIGINT) AS test_rows FROM p GROUP BY lag) SELECT m.mod1, m.mod2, c.*, true AS solved, true AS in_order FROM c JOIN (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MULTISCALE) + ") m(mod1, mod2) ON true")
 def temporal_pid_multiscale(spark, d):
-    """Terms by lag from one lag-conditioned model a posterior."""
-    rows = lagged_states(spark, d, 1)
-    for to, cols in (("p1", ["x1"]), ("p2", ["x2"]), ("p12", ["x1", "x2"])):
-        rows = L.fit_posterior(rows.withColumn("f", L.lag_features(F.array(*cols), F.col("lag"), 2)), "f", "y", to, rounds=15).drop("f")
-    rows = P.minibatches(rows.withColumn("key", F.col("event_id") * 16 + F.col("lag")), "key", 128, 1)
-    return L.learned_terms(rows, ["lag"], CLASSES)
+    """The rows that fit and that are scored by pair and lag, that the couplings' gaps are closed, and that the least information lies in its bounds."""
+    t = multiscale(spark, d)
+    in_order = (F.col("iq") >= F.greatest("i1", "i2") - 1e-6) & (F.col("iq") <= F.col("i1") + F.col("i2") + 1e-6) & (F.col("loss") < math.log(CLASSES) + 0.05)
+    return t.select("mod1", "mod2", "lag", "train_rows", "test_rows", (F.col("gap") < 2e-7).alias("solved"), in_order.alias("in_order"))
 
 
 def pooled(spark, d):
@@ -475,12 +495,6 @@ def pid_multi_sequence_terms(spark, d):
     return sequence_terms(spark, d)
 
 
-@query()
-def rus_stays(spark, d):
-    t = sequence_terms(spark, d).withColumn("mod1", F.lit("a")).withColumn("mod2", F.lit("b"))
-    return G.average_over_lags(t, ["mod1", "mod2"]).join(G.dominant_terms(t, ["mod1", "mod2"]).drop("lags"), ["mod1", "mod2"])
-
-
 def vector_series(spark, d):
     """The five sensors of each series as vectors of one number."""
     return sensors(spark, d).select("event_id", "subject", "i", "n", *[F.array(c).alias(c) for c in SENSORS], "y")

@@ -238,6 +238,24 @@ def test_groups_and_pairs_are_one_job(spark):
     assert len(got) == len(by) == 18 and all(by[k, "a", "b", 0]["U1"] > 0.5 and by[k, "a", "b", 1]["MI"] < 0.4 for k in range(3))
 
 
+def test_one_model_for_all_lags_finds_the_planted_one(spark):
+    s = causal_series(spark.range(9000), "id", 300).withColumns({c: F.array(c) for c in ("x1", "x2")} | {"y": (F.col("y") > 0).cast("long")})
+    s = s.withColumn("key", F.col("subject") * 1000 + F.col("i"))
+    got = {r["lag"]: r for r in resampled.temporal_batch(s, ["subject"], "key", [("x1", "x2")], "y", range(5), 2, weights=[1, 1, 1, 0.5, 0.5], resamples=2).collect()}
+    assert max(got, key=lambda k: got[k]["i1"]) == 1 and max(got, key=lambda k: got[k]["i2"]) == 2
+    assert min(got, key=lambda k: got[k]["loss"]) in (1, 2) and got[1]["i1"] > 3 * got[4]["i1"]
+
+
+def test_fit_posterior(spark):
+    df = labelled(spark, 2000, lambda a, b: (a > 0) ^ (b > 0)).withColumn("f", F.concat("a", "b"))
+    train = F.col("i") < 400
+    got = learned.fit_posterior(df, "f", "y", 2, train=train).where(~train).select("y", "posterior").collect()
+    assert np.mean([r["posterior"][r["y"]] > 0.5 for r in got]) > 0.9 and all(abs(sum(r["posterior"]) - 1) < 1e-9 for r in got)
+    holes = df.withColumn("f", F.when(F.col("i") % 2 == 0, F.col("f")))
+    assert learned.fit_posterior(holes, "f", "y", 2).where("posterior is null").count() == holes.where("f is null").count()
+    assert learned.fit_posterior(df.where("false"), "f", "y", 2).count() == 0
+
+
 def test_method_by_width(spark):
     assert [resampled.choose_method(w) for w in (2, 10, 50, 51)] == ["joint", "joint", "joint", "batch"]
     s = signals(spark, 300).withColumnRenamed("s", "who")

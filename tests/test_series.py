@@ -148,3 +148,24 @@ def test_task_window_and_stays(spark):
     assert sorted(map(tuple, cut["a"].collect())) == [(1, 0.0), (1, 48.0), (3, 2.0)] and sorted(map(tuple, cut["b"].collect())) == [(1, 1.0), (1, 2.0)]
     assert [r[0] for r in cohort.task_stays(cut, "stay_id").collect()] == [1]
     assert sorted(r[0] for r in cohort.task_stays(cut, "stay_id", True).collect()) == [1, 3]
+
+
+def test_interval_pairs_of_a_busy_subject(spark):
+    """A subject with all rows: intervals meet events of their periods only, and both ends count."""
+    at = lambda h: F.timestamp_seconds(F.lit(1_700_000_000) + h * 3600)
+    events = spark.range(3000).select(F.lit(1).alias("s"), F.col("id").alias("e"), at(F.col("id")).alias("time"))
+    spans = spark.range(0, 3000, 50).select(F.lit(1).alias("s"), F.col("id").alias("span"), at(F.col("id")).alias("start"), at(F.col("id") + 30).alias("end"))
+    got = joins.interval_pairs(events, spans, ["s"], "time", "start", "end", 2)
+    assert {(r["e"], r["span"]) for r in got.collect()} == {(e, k) for k in range(0, 3000, 50) for e in range(k, min(k + 31, 3000))}
+    met = events.withColumn("_d", F.floor(F.unix_date(F.to_date("time")) / 2)).groupBy("_d").count().agg(F.max("count")).first()[0]
+    assert met <= 48 and "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imputed_beginning_is_the_whole_series_beginning(spark):
+    rows = [(1, 0.5, 1.0), (1, 3.2, 4.0), (1, 60.0, 10.0), (2, 70.0, 5.0), (3, 2.0, None), (4, 1.0, 7.0)]
+    df = spark.createDataFrame(rows, "k long, h double, v double")
+    keep = df.where("k <> 4")
+    whole = series.impute(df, ["k"], "h", ["v"])
+    cut = series.impute(df, ["k"], "h", ["v"], upto=48, keep=keep)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.where("t <= 48 and k <> 4").collect()))
+    assert cut.where("k = 2").count() == 49 and {r["v"] for r in cut.where("k = 3").collect()} == {5.4}
