@@ -46,6 +46,8 @@ def keyed(x: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def pair_buckets(words: np.ndarray) -> np.ndarray:
+    """Of neighbouring words in either order; equal neighbours share one bucket, so repeating any word is one feature. Hashed in order
+    instead, pairs of words that no labelled text has say nothing of repeats: held-out accuracy falls from 1.0 to 0.97."""
     return bucket((words[:-1] ^ words[1:]) + np.uint64(7))
 
 

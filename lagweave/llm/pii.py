@@ -58,6 +58,21 @@ def is_kind(kind: str, text: str) -> bool:
     return 13 <= len(n) <= 19 and luhn(n) if kind == "card" else 9 <= len(n) <= 15
 
 
+#: What an added phone number may look like, and what numbers of other kinds do: groups of three, and plain or few digits.
+DIALLED = re.compile(r"\+?\(?\+?[0-9][0-9 ]{0,5}\)?[0-9 ./-]*[0-9]")
+AMOUNT = re.compile(r"[0-9]{1,3}([ .,][0-9]{3})+|[0-9]+([.,][0-9]+)?")
+YEARS = re.compile(r"(1[5-9]|20)[0-9]{2}([ /-]+(1[5-9]|20)[0-9]{2})+")
+
+
+def is_phone(text: str, announced: bool) -> bool:
+    """Whether a span that the field found can be a phone number: 9 to 15 digits, 7 where a word announces it. What looks like an
+    amount, plain digits, or nothing but years needs that word too."""
+    if not DIALLED.fullmatch(text) or YEARS.fullmatch(text):
+        return False
+    n = len(digits(text))
+    return 7 <= n <= 15 if announced else 9 <= n <= 15 and not AMOUNT.fullmatch(text)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches, found from each at sign: the run of name characters before it and the domain after it."""
     found, floor, at = [], 0, text.find("@")
@@ -155,12 +170,14 @@ def token_features(run: Run, cues: frozenset[str]) -> list[list[str]]:
 
 @dataclass
 class Field:
-    """Emission weights by feature and tag, transition weights by tag and next tag (the last row and column: edges), and the cue words."""
+    """Emission weights by feature and tag, transition weights by tag and next tag (the last row and column: edges), the cue words, and
+    those that announce a phone number."""
 
     index: dict[str, int]
     emit: np.ndarray
     move: np.ndarray
     cues: frozenset[str] = frozenset()
+    announcing: frozenset[str] = frozenset()
 
     def scores(self, run: Run) -> np.ndarray:
         return np.stack([self.emit[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in token_features(run, self.cues)])
@@ -235,7 +252,13 @@ def fit(sequences: list[tuple[Run, list[int]]], cues: Iterable[str] = (), passes
                 emit[f] += 0.3 * x / np.sqrt(seen_emit[f])
             seen_move += pair * pair
             move += 0.3 * pair / np.sqrt(seen_move)
-    return Field(index, emit, move + fixed, cues)
+    return Field(index, emit, move + fixed, cues, announcing(sequences))
+
+
+def announcing(sequences: list[tuple[Run, list[int]]]) -> frozenset[str]:
+    """Words that stand before phone numbers in the labelled runs, and before no other number."""
+    phone = TAGS.index("B-phone")
+    return frozenset(run.before for run, tags in sequences if tags[0] == phone and run.before.isalpha()) - frozenset(run.before for run, tags in sequences if tags[0] != phone)
 
 
 def gradient(scores: np.ndarray, move: np.ndarray, tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +347,7 @@ def train(docs: DataFrame, rows: int = LABELLED) -> Field:
 
 
 def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """Base spans and all spans of each text. An added span overlaps no base span and passes its kind's test."""
+    """Base spans and all spans of each text. An added span overlaps no base span and passes its kind's test, a phone number a stricter one."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
     taken = [Overlaps(b) for b in base]
@@ -339,7 +362,8 @@ def find_spans(texts: list[str | None], field: Field | None) -> list[tuple[list[
                 while end < len(tags) and TAGS[tags[end]] == "I-" + tag[2:]:
                     end += 1
                 a, b = trim(texts[k], run.bounds[at][0], run.bounds[end - 1][1])
-                if b > a and is_kind(tag[2:], texts[k][a:b]) and not taken[k].first(a, b):
+                fits = is_phone(texts[k][a:b], at == 0 and run.before in field.announcing) if tag == "B-phone" else is_kind(tag[2:], texts[k][a:b])
+                if b > a and fits and not taken[k].first(a, b):
                     added[k].append((tag[2:], a, b))
             at = end
     order = lambda spans: sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))

@@ -22,6 +22,34 @@ Llame al [[phone|911 234 567]] hoy.
 Teléfono [[phone|+34 911 234 568]] desde 2019.
 WhatsApp [[phone|+1 202 555 0110]] any day
 contact [[phone|202.555.0111]] for 2 tickets
+Tel [[phone|030/123456789]] oder Post
+Tel. [[phone|0221/4710815]], Raum 3
+Telefon [[phone|040 / 5550 1234]] ab 9 Uhr
+call [[phone|555 0147]] now
+Call [[phone|555-0123]] before 5.
+phone [[phone|555 0188]] or write
+[[phone|0049 30 1234567]] rufen
+Phone [[phone|0044 20 7946 0020]] from abroad
+Mobil [[phone|0160/5550123]] bis 20 Uhr
+Tél. [[phone|01.70.18.99.02]] ou 2 rue Neuve
+tel [[phone|030123456789]] anrufen
+Móvil [[phone|611 234 567]] tardes
+Hotline [[phone|0800 5550199]] is free
+Fax: [[phone|0711/5550144]] nach 2020
+ring [[phone|020 7946 0123]] on day 2
+call me at [[phone|415-555-0199]] around 7
+Reach me at [[phone|617 555 0142]] by 9 am
+Mobile [[phone|07700 900456]] from 8 to 5
+Llame al [[phone|912 345 678]] si puede
+Móvil [[phone|622 345 678]] mañanas
+Tél. [[phone|04 91 18 99 03]] le soir
+Telefon [[phone|0351 / 4440 123]] oder Fax
+Tel [[phone|08912345678]] ab 8
+call [[phone|(415) 555 0163]] soon
+number is [[phone|(303) 555 0175]] today
+contact [[phone|303.555.0128]] for help
+Hotline [[phone|0800 5550123]] day and night
+Ring [[phone|0161 496 0234]] first
 Card [[card|4111 1111 1111 1111]] expires 10/27.
 Visa [[card|4012888888881881]] was charged 25 dollars.
 card number [[card|5500-0055-5555-5559]] on file
@@ -66,6 +94,39 @@ at 51.5074, 0.1278 on the map
 scores 10 9 8 7 6 5 4 3 2 1 0
 population 8804190 in 2020
 @someone said 5 of 7 agree
+Total 1 234 567 890 euros
+Total 2 500 000 000 dollars in 2020
+about 12 000 000 000 years ago
+Population 83200000 (2021)
+Population 67 390 000 (2020), area 643 801
+population of 331,449,281 people
+Einwohner 83.237.124 (2022)
+habitants 68 042 591 en 2023
+Umsatz 1.234.567.890 Euro
+revenue of 3,141,592,653 dollars
+sum 987 654 321 cents
+budget 450000000 francs
+Parcel 00340434161094042557 arrived
+tracking number 1234567890123 sent
+Sendung 340434161094 unterwegs
+order 4500012345 of 2019
+Invoice 202100045712 is paid
+reference 100200300400 in file 7
+account 1234567890 was closed
+serial 8800123456789 on the back
+years 2018 2019 2020 2021
+from 1990 1991 1992 to 2005
+1914 1918 1939 1945
+batch 20210517 20210518 done
+timestamp 1620000000 in seconds
+coordinates 52.520008 13.404954 in degrees
+values 100 200 300 400 500
+pi is 3.14159265358979
+barcode 4006381333931 scanned
+ISBN 9783161484100 in print
+part 555-0147-22 in stock
+article 020 7946 of 2015
+distance 384 400 000 m
 """.strip().split("\n")
 
 

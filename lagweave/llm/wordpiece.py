@@ -20,9 +20,12 @@ REMEMBERED, LONGEST = 1_000_000, 64
 
 
 class Automaton:
-    """Over byte strings; every single byte must be a piece, so each string has a greedy cut."""
+    """Over byte strings; every single byte must be a piece, so each string has a greedy cut. A vocabulary that lacks one is an error,
+    but for bytes that the `alphabet` of the texts leaves out."""
 
-    def __init__(self, pieces: list[bytes]) -> None:
+    def __init__(self, pieces: list[bytes], alphabet: bytes = bytes(range(256))) -> None:
+        if lacking := set(alphabet) - {p[0] for p in pieces if len(p) == 1}:
+            raise ValueError(f"the vocabulary has no piece for {len(lacking)} single bytes, the first {min(lacking)}")
         edges: dict[tuple[int, int], int] = {}
         ends, parent, depth = [False], [(0, 0)], [0]
         for piece in sorted(pieces):
