@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions.arrays import equal_width_bin, row_mean
@@ -27,19 +27,46 @@ def lagged_bins(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str, ma
     return aligned.join(edges, [*keys, "lag"]).select(*keys, "lag", *binned)
 
 
-def joint_hist_multilag(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], y: str, max_lag: int, bins: int = 4) -> DataFrame:
+def joint_hist_multilag(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], y: str, max_lag: int, bins: int = 4, binning: str = "width") -> DataFrame:
     """keys, mod1, mod2, lag, b1, b2, yb, n: joint counts of every pair at every lag in one job.
 
     Rows become small integers before they are multiplied by the pairs, and counting combines them before
-    the shuffle: at most bins**3 rows a group leave a task.
+    the shuffle: at most bins**3 rows a group leave a task. With `binning` 'auto' a series, pair and lag whose three slices
+    hold whole numbers only is counted by the numbers' ranks instead, its labels too.
     """
+    if binning not in ("width", "auto"):
+        raise ValueError("binning is 'width' or 'auto'")
     columns = sorted({c for p in pairs for c in p})
-    rows = lagged_bins(df, keys, columns, y, max_lag, bins)
-    each = F.array(*[F.struct(F.lit(a).alias("mod1"), F.lit(b).alias("mod2"), F.col(f"{a}_b").alias("b1"), F.col(f"{b}_b").alias("b2")) for a, b in pairs])
-    flat = rows.select(*keys, "lag", "yb", F.explode(each).alias("p")).select(*keys, "p.mod1", "p.mod2", "lag", "p.b1", "p.b2", "yb")
+    rows = lagged_bins(df, keys, columns, y, max_lag, bins) if binning == "width" else lagged_codes(df, keys, columns, y, max_lag, bins)
+
+    def cell(a: str, b: str) -> Column:
+        ways = {"b1": f"{a}_b", "b2": f"{b}_b", "yb": "yb"}
+        if binning == "auto":
+            whole = F.col(f"{a}_w") & F.col(f"{b}_w") & F.col("y_w")
+            ways = {k: F.when(whole, F.col(c.removesuffix("_b") + "_r" if c != "yb" else "y_r")).otherwise(F.col(c)) for k, c in ways.items()}
+        return F.struct(F.lit(a).alias("mod1"), F.lit(b).alias("mod2"), *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in ways.items()])
+
+    flat = rows.select(*keys, "lag", F.explode(F.array(*[cell(*p) for p in pairs])).alias("p")).select(*keys, "p.mod1", "p.mod2", "lag", "p.b1", "p.b2", "p.yb")
     return flat.where("b1 is not null and b2 is not null and yb is not null").groupBy(*keys, "mod1", "mod2", "lag", *CELL).agg(F.count("*").alias("n"))
 
 
+def lagged_codes(df: DataFrame, keys: Sequence[str], x: Sequence[str], y: str, max_lag: int, bins: int) -> DataFrame:
+    """What `lagged_bins` gives, and for each of x (c_w, c_r) and y (y_w, y_r) whether a lag's slice has whole numbers only, and then the number's rank.
+
+    Ranks are those of a slice's distinct numbers, which are few beside its rows and combine before they are shuffled.
+    """
+    aligned = lag_align(df.select(*keys, "i", "n", *x, y), keys, x, y, max_lag)
+    whole = lambda c: F.coalesce(F.min(F.col(c) == F.floor(c)), F.lit(True))
+    edges = aligned.groupBy(*keys, "lag").agg(*[g for c in (*x, y) for g in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), whole(c).alias(f"{'y' if c == y else c}_w"))])
+    binned = [equal_width_bin(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins).alias("yb" if c == y else f"{c}_b") for c in (*x, y)]
+    rows = aligned.join(edges, [*keys, "lag"]).select(*keys, "lag", *x, y, *binned, *[f"{c}_w" for c in x], "y_w")
+    for c, to in (*((c, c) for c in x), (y, "y")):
+        values = rows.where(F.col(f"{to}_w")).select(*keys, "lag", F.col(c).alias("_v")).where("_v is not null").distinct()
+        ranks = values.withColumn(f"{to}_r", (F.row_number().over(Window.partitionBy(*keys, "lag").orderBy("_v")) - 1).cast("long")).withColumnRenamed("_v", c)
+        rows = rows.join(ranks, [*keys, "lag", c], "left")
+    return rows.drop(*x, y)
+
+
 def joint_hist_vectors(df: DataFrame, x1: str, x2: str, y: str, bins: int = 16) -> DataFrame:
     """b1, b2, yb, n of two vectors: edges from all numbers of a vector column, the binned value is the row's mean."""
     e = df.agg(*[f(g(c)).alias(f"{c}_{n}") for c in (x1, x2) for n, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))]).first()
@@ -87,14 +114,33 @@ def information(hist: DataFrame, keys: Sequence[str], unit: str = "nats") -> Dat
     return found.withColumn("co", F.col("i1") + F.col("i2") - F.col("total"))
 
 
-def transfer_entropy(df: DataFrame, keys: Sequence[str], source: str, target: str, lag: int, bins: int = 4) -> DataFrame:
-    """keys, te: I(target now; source at -lag | target at -lag) in bits, over equal-width bins of the whole series."""
-    aligned = lag_align(df.withColumn("_t", F.col(target)), keys, [source, target], "_t", lag).where(F.col("lag") == lag)
-    edges = df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{e}") for c in (source, target) for e, f in (("lo", F.min), ("hi", F.max))])
-    rows = aligned.join(edges, list(keys))
-    b = lambda v, c: equal_width_bin(F.col(v), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins)
-    hist = rows.select(*keys, b(target, target).alias("b1"), b(source, source).alias("b2"), b("_t", target).alias("yb")).groupBy(*keys, *CELL).agg(F.count("*").alias("n"))
-    return conditional_mi(hist, keys, "b1", "b2", unit="bits").withColumnRenamed("cmi", "te")
+def transfer_entropies(df: DataFrame, keys: Sequence[str], directions: Sequence[tuple[str, str]], lags: Sequence[int], bins: int = 4, variant: str = "standard") -> DataFrame:
+    """keys, source, target, lag, te (bits) of every direction and lag: I(target now; source at -lag | target at -lag), over equal-width
+    bins of the whole series. All come from one window over the series and one pass over the counts.
+
+    The variant 'weighted' takes each term, p(now | both past) log(p(now | both past) / p(now | target past)), by the joint share once more than
+    the standard measure's weights have it: by p(now, both past) p(now | both past).
+    """
+    if variant not in ("standard", "weighted"):
+        raise ValueError("variant is 'standard' or 'weighted'")
+    columns = sorted({c for p in directions for c in p})
+    edges = df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{e}") for c in columns for e, f in (("lo", F.min), ("hi", F.max))])
+    binned = df.join(edges, list(keys)).select(*keys, "i", "n", *[equal_width_bin(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins).alias(c) for c in columns])
+    rows = lag_align(binned.withColumn("_t", F.struct(*columns)), keys, columns, "_t", max(lags)).where(F.col("lag").isin(list(lags)))
+    each = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(b).alias("b1"), F.col(a).alias("b2"), F.col(f"_t.{b}").alias("yb")) for a, b in directions])
+    by = [*keys, "source", "target", "lag"]
+    hist = rows.select(*keys, F.col("lag").cast("long").alias("lag"), F.explode(each).alias("p")).select(*keys, "p.source", "p.target", "lag", "p.b1", "p.b2", "p.yb")
+    hist = hist.where("b1 is not null and b2 is not null and yb is not null").groupBy(*by, *CELL).agg(F.count("*").alias("n"))
+    if variant == "standard":
+        return conditional_mi(hist, by, "b1", "b2", unit="bits").withColumnRenamed("cmi", "te")
+    total = lambda *c: F.sum("n").over(Window.partitionBy(*by, *c))
+    cells = hist.select(*by, (F.col("n") / total()).alias("_p"), (F.col("n") / total("b1", "b2")).alias("_c"), (total("b1", "yb") / total("b1")).alias("_t"))
+    return cells.groupBy(*by).agg(F.greatest(F.lit(0.0), F.sum(F.col("_p") * F.col("_c") * F.log(F.col("_c") / F.col("_t"))) / math.log(2)).alias("te"))
+
+
+def transfer_entropy(df: DataFrame, keys: Sequence[str], source: str, target: str, lag: int, bins: int = 4, variant: str = "standard") -> DataFrame:
+    """keys, te: one direction and lag of `transfer_entropies`."""
+    return transfer_entropies(df, keys, [(source, target)], [lag], bins, variant).select(*keys, "te")
 
 
 def tensors(cells: pd.Series) -> np.ndarray:

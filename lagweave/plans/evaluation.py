@@ -351,7 +351,11 @@ def udf_tokenizer(spark, d):
     return c.select("doc_id", F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["tokens"]).alias("tokens"))
 
 
-@query(SERIES + " SELECT a.subject, CAST(l.lag AS BIGINT) AS lag, CAST(count(*) AS BIGINT) AS n FROM series a JOIN range(0, 4) l(lag) ON a.i < a.n - l.lag GROUP BY ALL")
+@query(SERIES + " SELECT a.subject, a.i, CAST(l.lag AS BIGINT) AS lag, a.x1 AS x, b.y FROM series a JOIN range(0, 4) l(lag) ON true JOIN series b ON b.subject = a.subject AND b.i = a.i + l.lag")
 def udtf_lags(spark, d):
-    rows = S.lag_align(series(spark, d), ["subject"], ["x1"], "y", 3)
-    return rows.groupBy("subject", F.col("lag").cast("long").alias("lag")).agg(F.count("*").alias("n"))
+    """A table function, called in SQL for each series."""
+    from lagweave.functions.udtf import register
+
+    register(spark)
+    series(spark, d).select("subject", "i", "x1", "y").createOrReplaceTempView("lagged_pairs_input")
+    return spark.sql("SELECT key AS subject, i, lag, x, y FROM lagged_pairs(TABLE(lagged_pairs_input) PARTITION BY subject ORDER BY (i), 3)")

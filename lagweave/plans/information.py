@@ -297,23 +297,55 @@ def transfer_entropy(spark, d):
     return rounded(I.transfer_entropy(series(spark, d), ["subject"], "x2", "x1", 1, BINS), "te")
 
 
-@query(TE.format(lag=2) + ", h0 AS (SELECT subject, x1 AS b1, x2 AS b2, count(*) AS n FROM e GROUP BY ALL) SELECT subject, round(m.mi / ln(2), 6) AS mi, round((i12.mi - i1.mi) / ln(2), 6) AS te FROM i1 JOIN i12 USING (subject, lag) JOIN " + mi_sql("b1", "b2", "h0", "subject") + " m USING (subject)")
+BACK = TE.replace("a.x1 AS b1, a.x2 AS b2, b.x1 AS yb", "a.x2 AS b1, a.x1 AS b2, b.x2 AS yb")
+DIRECTIONS = [("x1", "x2"), ("x2", "x1")]
+
+
+def te_sql(extra: str, value: str, lags: int = 3) -> str:
+    return " UNION ALL ".join("SELECT * FROM (" + (TE if source == "x2" else BACK).format(lag=lag) + extra + f" SELECT subject, '{source}' AS source, CAST({lag} AS BIGINT) AS lag, {value})" for source in ("x1", "x2") for lag in range(1, lags + 1))
+
+
+STATIC = ", h0 AS (SELECT subject, x1 AS b1, x2 AS b2, count(*) AS n FROM e GROUP BY ALL)"
+
+
+@query(te_sql(STATIC, "round(m.mi / ln(2), 6) AS mi, round((i12.mi - i1.mi) / ln(2), 6) AS te FROM i1 JOIN i12 USING (subject, lag) JOIN " + mi_sql("b1", "b2", "h0", "subject") + " m USING (subject)"))
 def mi_vs_te(spark, d):
+    """Static information beside what either signal tells about the other's next steps, at lags 1 to 3."""
+    s = series(spark, d)
     static = I.mutual_information(hist(spark, d, 0), ["subject"], ["b1"], ["b2"], unit="bits")
-    return rounded(static.join(I.transfer_entropy(series(spark, d), ["subject"], "x2", "x1", 2, BINS), "subject"), "mi", "te")
+    te = I.transfer_entropies(s, ["subject"], DIRECTIONS, [1, 2, 3], BINS).select("subject", "source", "lag", "te")
+    return rounded(te.join(static, "subject"), "mi", "te")
 
 
-BACK = TE.replace("a.x1 AS b1, a.x2 AS b2, b.x1 AS yb", "a.x2 AS b1, a.x1 AS b2, b.x2 AS yb")
-DIRECTIONS = [(source, lag) for source in ("x1", "x2") for lag in (1, 2, 3)]
+@query(te_sql("", "round((i12.mi - i1.mi) / ln(2), 6) AS te FROM i1 JOIN i12 USING (subject, lag)"))
+def te_by_source_and_lag(spark, d):
+    """What either signal tells about the other's next steps, at lags 1 to 3: one pass for all."""
+    return rounded(I.transfer_entropies(series(spark, d), ["subject"], DIRECTIONS, [1, 2, 3], BINS), "te").select("subject", "source", "lag", "te")
 
 
-@query(" UNION ALL ".join("SELECT * FROM (" + (TE if source == "x2" else BACK).format(lag=lag) + f" SELECT subject, '{source}' AS source, CAST({lag} AS BIGINT) AS lag, round((i12.mi - i1.mi) / ln(2), 6) AS te FROM i1 JOIN i12 USING (subject, lag))" for source, lag in DIRECTIONS))
-def te_by_source_and_lag(spark, d):
-    """What either signal tells about the other's next steps, at lags 1 to 3."""
-    s = series(spark, d)
-    target = {"x1": "x2", "x2": "x1"}
-    each = [rounded(I.transfer_entropy(s, ["subject"], source, target[source], lag, BINS), "te").select("subject", F.lit(source).alias("source"), F.lit(lag).cast("long").alias("lag"), "te") for source, lag in DIRECTIONS]
-    return reduce(DataFrame.union, each)
+@query(te_sql(", w AS (SELECT subject, n / sum(n) OVER (PARTITION BY subject) AS p, n / sum(n) OVER (PARTITION BY subject, b1, b2) AS c, sum(n) OVER (PARTITION BY subject, b1, yb) / sum(n) OVER (PARTITION BY subject, b1) AS t FROM hist), v AS (SELECT subject, greatest(0, sum(p * c * ln(c / t)) / ln(2)) AS te FROM w GROUP BY subject)", "round(te, 6) AS te FROM v"))
+def te_weighted(spark, d):
+    """The same with each term weighted once more by its conditional share."""
+    return rounded(I.transfer_entropies(series(spark, d), ["subject"], DIRECTIONS, [1, 2, 3], BINS, "weighted"), "te").select("subject", "source", "lag", "te")
+
+
+AUTO = [("x1", "x2"), ("x2", "x4"), ("x1", "x4")]
+
+
+def auto_sql() -> str:
+    names = ("x1", "x2", "x4", "y")
+    base = sensors_sql(PAIRS[:1], 2).split("binned AS (")[0]
+    codes = ", ".join(f"bool_and({c} = floor({c})) OVER w AS {c}_w, dense_rank() OVER (PARTITION BY subject, lag ORDER BY {c}) - 1 AS {c}_r, {bin_sql(c, f'min({c}) OVER w', f'max({c}) OVER w', BINS)} AS {c}_b" for c in names)
+    pick = lambda a, b, c: f"CASE WHEN {a}_w AND {b}_w AND y_w THEN {c}_r ELSE {c}_b END"
+    each = " UNION ALL ".join(f"SELECT subject, '{a}' AS mod1, '{b}' AS mod2, lag, CAST({pick(a, b, a)} AS BIGINT) AS b1, CAST({pick(a, b, b)} AS BIGINT) AS b2, CAST({pick(a, b, 'y')} AS BIGINT) AS yb, CAST(count(*) AS BIGINT) AS n FROM coded GROUP BY ALL" for a, b in AUTO)
+    return base.replace("SELECT a.subject, a.subject % 8 AS cohort,", "SELECT a.subject,") + f"coded AS (SELECT subject, lag, {codes} FROM lagged WINDOW w AS (PARTITION BY subject, lag)) " + each
+
+
+@query(auto_sql())
+def joint_hist_auto(spark, d):
+    """Counts of mixed pairs at lags 0 to 2: whole numbers by their ranks where all three slices are whole, equal widths elsewhere."""
+    h = I.joint_hist_multilag(sensors(spark, d), ["subject"], AUTO, "y", 2, BINS, "auto")
+    return h.select("subject", "mod1", "mod2", F.col("lag").cast("long").alias("lag"), F.col("b1").cast("long").alias("b1"), F.col("b2").cast("long").alias("b2"), F.col("yb").cast("long").alias("yb"), "n")
 
 
 @query("WITH " + HALVES + " SELECT CAST(count(*) AS BIGINT) AS rows_seen, CAST(4 AS BIGINT) AS width, true AS ordered FROM halves")

@@ -8,6 +8,7 @@ from lagweave.functions import arrays as A
 from lagweave.functions.text import chunk_lines as chunks
 from lagweave.operators import aggregate as G
 from lagweave.operators import clean as C
+from lagweave.operators import ranges as R
 from lagweave.operators import sampling as P
 from lagweave.operators import series as S
 
@@ -146,6 +147,27 @@ def interpolate_linear(spark, d):
     return S.interpolate_linear(gaps(spark, d), ["subject"], "i", ["x1"]).select("event_id", "subject", "i", F.round("x1", 6).alias("x1"))
 
 
+def ranged(spark, d):
+    """The sensor series numbered by days: no task sorts a whole series."""
+    rows = series(spark, d).drop("i", "n")
+    return R.series_index(rows, ["subject"], ["ts", "event_id"], F.unix_date(F.to_date("ts")))
+
+
+@query(SERIES + " SELECT event_id, subject, i, n FROM series")
+def series_index_ranges(spark, d):
+    return ranged(spark, d).select("event_id", "subject", "i", "n")
+
+
+@query(SERIES + " SELECT a.subject, a.i, CAST(l.lag AS BIGINT) AS lag, a.x1, b.y FROM series a JOIN range(0, 6) l(lag) ON true JOIN series b ON b.subject = a.subject AND b.i = a.i + l.lag")
+def lag_align_ranges(spark, d):
+    return R.lag_align(ranged(spark, d), ["subject"], ["x1"], "y", 5, 16).select("subject", "i", F.col("lag").cast("long").alias("lag"), "x1", "y")
+
+
+@query(INTERPOLATED + f" SELECT event_id, subject, i, round({FILLED}, 6) AS x1 FROM known")
+def interpolate_linear_ranges(spark, d):
+    return R.interpolate_linear(gaps(spark, d), ["subject"], "i", ["x1"], 16).select("event_id", "subject", "i", F.round("x1", 6).alias("x1"))
+
+
 BUCKETS = "WITH " + HOURLY + ", b AS (SELECT subject, CAST(trunc(hours / 6) AS BIGINT) AS t, avg(value) FILTER (event_id % 7 <> 0) AS value FROM hourly WHERE trunc(hours / 6) >= 0 GROUP BY ALL), grid AS (SELECT subject, CAST(unnest(range(0, max(t) + 1)) AS BIGINT) AS t FROM b GROUP BY subject), g AS (SELECT subject, t, value FROM grid LEFT JOIN b USING (subject, t))"
 
 

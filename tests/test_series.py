@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.dates import compose_datetime
 from lagweave.functions.text import chunk_lines
-from lagweave.operators import aggregate, clean, cohort, joins, metrics, sampling, series
+from lagweave.operators import aggregate, clean, cohort, joins, metrics, ranges, sampling, series
 from lagweave.sources import readers
 
 
@@ -169,3 +169,18 @@ def test_imputed_beginning_is_the_whole_series_beginning(spark):
     cut = series.impute(df, ["k"], "h", ["v"], upto=48, keep=keep)
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.where("t <= 48 and k <> 4").collect()))
     assert cut.where("k = 2").count() == 49 and {r["v"] for r in cut.where("k = 3").collect()} == {5.4}
+
+
+@pytest.mark.parametrize("block", [7, 50])
+def test_ranges_of_one_long_series(spark, block):
+    """One series of 400 rows and a short one in ranges: the rows of the window forms, and ranges no longer than told."""
+    rows = [(1, k * 100, k, None if k % 3 or 100 < k < 180 or k < 20 else float(k % 17), k % 5 if k % 11 else None) for k in range(400)] + [(2, 5, 1, None, 0), (2, 6, 2, None, 1)]
+    df = spark.createDataFrame(rows, "s long, ts long, e long, x double, y long")
+    whole = series.series_index(df, ["s"], ["ts", "e"])
+    cut = ranges.series_index(df, ["s"], ["ts", "e"], F.floor(F.col("ts") / 3000))
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.select(*a.columns).collect()), key=repr)
+    assert same(whole, cut)
+    assert same(series.lag_align(whole, ["s"], ["x"], "y", 12, others=["e"]), ranges.lag_align(whole, ["s"], ["x"], "y", 12, block, others=["e"]))
+    assert same(series.interpolate_linear(whole, ["s"], "i", ["x"]), ranges.interpolate_linear(whole, ["s"], "i", ["x"], block))
+    plan = ranges.lag_align(whole, ["s"], ["x"], "y", 12, block)._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan and "NestedLoop" not in plan
