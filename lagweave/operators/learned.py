@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.functions.arrays import kl
-from lagweave.sources.storage import dealt
+from lagweave.functions.arrays import equal_width_bin, kl, row_mean
+from lagweave.sources.storage import dealt, written
 
 from .coupling import coupling, joint_information
 from .posterior import Posterior
@@ -177,3 +177,41 @@ def reduce_dims(df: DataFrame, features: str, k: int, method: str = "pca", seed:
     if method == "pca":
         return PCA(k=k, inputCol="_z", outputCol="_p").fit(rows).transform(rows).withColumn(to, vector_to_array("_p")).drop("_v", "_z", "_p")
     return KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="_c").fit(rows).transform(rows).withColumn(to, F.array(F.col("_c").cast("double"))).drop("_v", "_z", "_c")
+
+
+def reduction(width: int, method: str = "auto") -> str:
+    """What is done to two modalities of so many features together before they are counted: nothing, components, or clusters."""
+    if method not in ("auto", "none", "pca", "cluster"):
+        raise ValueError("method is 'auto', 'none', 'pca' or 'cluster'")
+    return method if method != "auto" else "cluster" if width > 20 else "pca" if width > 10 else "none"
+
+
+def state_of(df: DataFrame, features: str, method: str, k: int, to: str, bins: int = 16, seed: int = 0) -> DataFrame:
+    """df with a whole-number state of a feature array: its cluster of k, or the bin of the mean of its k components or, as it is, of its numbers.
+
+    Arrays of at most k features aren't reduced, whatever the method: their state is the bin of their mean. Bins are of equal width between
+    the least and the greatest number.
+    """
+    wide = (df.select(F.max(F.size(features))).first()[0] or 0) > k
+    if method == "cluster" and wide:
+        return reduce_dims(df, features, k, "cluster", seed, "_s").withColumn(to, F.get("_s", F.lit(0)).cast("long")).drop("_s")
+    rows = reduce_dims(df, features, k, "pca", seed, "_s") if method == "pca" and wide else df.withColumn("_s", F.col(features))
+    rows = written(rows, "reduced")
+    edges = rows.agg(F.min(F.array_min("_s")), F.max(F.array_max("_s"))).first()
+    return rows.withColumn(to, equal_width_bin(row_mean(F.col("_s")), F.lit(edges[0]), F.lit(edges[1]), bins)).drop("_s")
+
+
+def reduced_hist(df: DataFrame, keys: Sequence[str], x1: str, x2: str, y: str, max_lag: int, method: str = "auto", k: int = 5, bins: int = 16, seed: int = 0) -> DataFrame:
+    """method, lag, b1, b2, yb, n: joint counts of two vector columns of series (keys, i, n) after reduction, at lags 0..max_lag.
+
+    The states are made of all rows, written once, and then paired with later labels. `method` is the one that 'auto' chose by both widths.
+    """
+    from .series import lag_align
+
+    widths = df.agg(F.max(F.size(x1)), F.max(F.size(x2))).first()
+    chosen = reduction(sum(w or 0 for w in widths), method)
+    rows = df.select(*keys, "i", "n", y, x1, x2).where(F.col(x1).isNotNull() & F.col(x2).isNotNull())
+    rows = state_of(state_of(rows, x1, chosen, k, "b1", bins, seed), x2, chosen, k, "b2", bins, seed)
+    rows = written(rows.select(*keys, "i", "n", "b1", "b2", F.col(y).cast("long").alias("yb")), "states")
+    pairs = lag_align(rows, keys, ["b1", "b2"], "yb", max_lag).where("yb is not null")
+    return pairs.groupBy(F.lit(chosen).alias("method"), F.col("lag").cast("long").alias("lag"), "b1", "b2", "yb").agg(F.count("*").alias("n"))

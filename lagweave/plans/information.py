@@ -356,6 +356,32 @@ def reduce_dims(spark, d):
     return v.select("rows_seen", "width", ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2")) & (F.col("v2") >= F.col("v3"))).alias("ordered"))
 
 
+WIDTHS = {"none": (4, 4), "pca": (4, 12), "cluster": (32, 32)}
+
+
+@query()
+def temporal_pid_reduced_terms(spark, d):
+    """Vectors of 8, 16 and 64 numbers, unreduced, by components and by clusters as their width asks, at lags 0 to 2: terms in nats, the
+    informations that Spark counts from the same states, and the rows and states there are."""
+    h = halves(spark, d).select("vec_id", "a", "b", "y", F.floor(F.col("vec_id") / 100).alias("part"))
+    s = written(S.series_index(h, ["part"], ["vec_id"]), "parts")
+    each = [L.reduced_hist(s.withColumns({"a": F.slice("a", 1, p), "b": F.slice("b", 1, q)}), ["part"], "a", "b", "y", 2) for p, q in WIDTHS.values()]
+    counts = written(reduce(DataFrame.union, each), "counts")
+    keys = ["method", "lag"]
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("rows_seen"), F.countDistinct("b1").alias("states1"), F.countDistinct("b2").alias("states2"))
+    return I.pid(counts, keys).join(I.information(counts, keys), keys).join(sizes, keys)
+
+
+@query("WITH " + HALVES + ", s AS (SELECT floor(vec_id / 100) AS part, count(*) AS n FROM halves GROUP BY 1) SELECT method, CAST(k AS BIGINT) AS lag, CAST(sum(greatest(0, n - k)) AS BIGINT) AS rows_seen, true AS few_states, true AS adds_up, true AS proven FROM s JOIN range(0, 3) r(k) ON true JOIN (VALUES ('none'), ('pca'), ('cluster')) m(method) ON true GROUP BY ALL")
+def temporal_pid_reduced(spark, d):
+    """The rows counted by method and lag, states within their bounds, sums of the terms that are the counted informations, closed gaps."""
+    t = temporal_pid_reduced_terms(spark, d)
+    near = lambda a, b: F.abs(a - F.col(b)) < 1e-9
+    adds = near(F.col("R") + F.col("U1"), "i1") & near(F.col("R") + F.col("U2"), "i2") & near(F.col("MI"), "total")
+    few = F.greatest("states1", "states2") <= F.when(F.col("method") == "cluster", 5).otherwise(16)
+    return t.select("method", "lag", "rows_seen", few.alias("few_states"), adds.alias("adds_up"), (F.col("gap") < 1e-7).alias("proven"))
+
+
 # learned decompositions
 
 CLASSES = 5

@@ -274,3 +274,19 @@ def test_lags_without_rows_are_failed(spark):
     got = {(r["s"], r["lag"]): r for r in info.with_failed_lags(found, groups, ["s"], range(2)).collect()}
     assert len(got) == 4 and got[1, 0]["method"] == "joint" and got[1, 0]["R"] == 0.5
     assert all(np.isnan(got[k]["R"]) and got[k]["method"] == "failed" for k in ((1, 1), (2, 0), (2, 1)))
+
+
+def test_reduced_states(spark):
+    assert [learned.reduction(w) for w in (10, 11, 20, 21)] == ["none", "pca", "pca", "cluster"]
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, 3, 300)
+    wide = rng.normal(size=(300, 12)) * 0.1 + kind[:, None] * 5.0  # three clouds; y is the cloud one step before
+    rows = [(1, k, [float(x) for x in v], [float(rng.normal())], int(kind[k - 1]) if k else 0) for k, v in enumerate(wide)]
+    s = series.series_index(spark.createDataFrame(rows, "s long, k long, a array<double>, b array<double>, y long"), ["s"], ["k"])
+    for method in ("auto", "cluster", "none"):
+        h = learned.reduced_hist(s, ["s"], "a", "b", "y", 1, method, k=3)
+        got = {r["lag"]: r for r in info.information(h, ["lag"]).collect()}
+        assert got[1]["i1"] > 0.95 * np.log(3) > 5 * got[0]["i1"] and h.first()["method"] == {"auto": "pca"}.get(method, method)
+    assert h.agg(F.countDistinct("b2")).first()[0] > 3  # one number isn't clustered, but binned
+    with pytest.raises(ValueError):
+        learned.reduction(5, "other")
