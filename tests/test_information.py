@@ -40,7 +40,7 @@ def test_invariants(seed):
     rng = np.random.default_rng(seed)
     p = rng.multinomial(60, np.ones(36) / 36, 3).reshape(3, 4, 3, 3) / 60
     q, _, gap = coupling.coupling(p)
-    assert np.abs(q.sum(3) - p.sum(3)).max() < 1e-9 and np.abs(q.sum(2) - p.sum(2)).max() < 1e-9 and gap.max() < 1e-8
+    assert np.abs(q.sum(3) - p.sum(3)).max() < 1e-9 and np.abs(q.sum(2) - p.sum(2)).max() < 1e-9 and gap.max() < 1e-7
     d, swapped = info.decompose(p), info.decompose(np.swapaxes(p, 2, 3))
     relabelled = info.decompose(p[:, ::-1, ::-1, :])
     assert np.allclose(d["U1"], swapped["U2"], atol=2e-8) and np.allclose(d["S"], relabelled["S"], atol=2e-8)
@@ -113,7 +113,7 @@ def test_coupling_proves_itself(seed):
     p /= p.sum((1, 2, 3), keepdims=True)
     q, _, gap, a, b = coupling.certified(p)
     r, c = p.sum(3), p.sum(2)
-    assert np.abs(q.sum(3) - r).max() < 1e-9 and np.abs(q.sum(2) - c).max() < 1e-9 and gap.max() < 1e-8
+    assert np.abs(q.sum(3) - r).max() < 1e-9 and np.abs(q.sum(2) - c).max() < 1e-9 and gap.max() < 1e-7
     there = (r[..., None] > 0) & (c[:, :, None] > 0)
     assert np.where(there, np.exp(a[..., None] + b[:, :, None]), 0).sum(1).max() < 1 + 1e-9
     assert np.allclose((a * r).sum((1, 2)) + (b * c).sum((1, 2)) + gap, coupling.objective(q), atol=1e-9)
