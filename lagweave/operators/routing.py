@@ -66,23 +66,29 @@ def synergy_assignment(pairs: DataFrame, condition, synergy_experts: Sequence[in
     return pairs.where(condition).agg(F.count("*").alias("n"), F.coalesce(F.avg(no_synergy(synergy_experts)), F.lit(0.0)).alias("loss"))
 
 
-def gated_losses(pairs: DataFrame, unique: DataFrame, shared: DataFrame, on: Sequence[str], limits: dict[str, float], synergy_experts: Sequence[int], weights: dict[str, float] | None = None, variant: str = "standard") -> DataFrame:
-    """term, n, loss of the pairs (on, m1, m2, p1, p2) whose information terms at that time are above their limits.
+def gate(pairs: DataFrame, unique: DataFrame, shared: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Every pair (on, m1, m2, p1, p2) with its information terms at that time: u1 and u2 of its modalities in unique
+    (on, m, u), r and s of the pair in shared (on, m1, m2, r, s); null where there are none."""
+    of = lambda k: unique.select(*on, F.col("m").alias(f"m{k}"), F.col("u").alias(f"u{k}"))
+    return pairs.join(of(1), [*on, "m1"], "left").join(of(2), [*on, "m2"], "left").join(shared.select(*on, "m1", "m2", "r", "s"), [*on, "m1", "m2"], "left")
 
-    U: minus the divergence where both modalities' `u` in unique (on, m, u) is above the limit; R: the divergence where
-    the pair's `r` in shared (on, m1, m2, r, s) is; S: one minus the mean probability of the synergy experts where `s`
-    is. Means over the pairs that count, times the term's weight; 0 where none does. A pair without a term counts for none.
+
+def counts_for(term: str, limit: float) -> Column:
+    """Whether a row of `gate` counts for a term: for U both modalities' u are above the limit, for R and S the pair's own term is."""
+    return (F.col("u1") > limit) & (F.col("u2") > limit) if term == "U" else F.col(term.lower()) > limit
+
+
+def gated_losses(rows: DataFrame, limits: dict[str, float], synergy_experts: Sequence[int], weights: dict[str, float] | None = None, variant: str = "standard") -> DataFrame:
+    """term, n, loss of the rows of `gate` whose information terms are above their limits, all three in one pass.
+
+    U: minus the divergence; R: the divergence; S: one minus the mean probability of the synergy experts. Means over the
+    pairs that count, times the term's weight; 0 where none does. A pair without a term counts for none.
     """
-    of = lambda k: unique.select(*on, F.col("m").alias(f"m{k}"), F.col("u").alias(f"_u{k}"))
-    rows = pairs.join(of(1), [*on, "m1"], "left").join(of(2), [*on, "m2"], "left").join(shared.select(*on, "m1", "m2", "r", "s"), [*on, "m1", "m2"], "left")
-    counts = {
-        "U": ((F.col("_u1") > limits["U"]) & (F.col("_u2") > limits["U"]), -divergence(variant)),
-        "R": (F.col("r") > limits["R"], divergence(variant)),
-        "S": (F.col("s") > limits["S"], no_synergy(synergy_experts)),
-    }
-    one = rows.agg(*[x for t, (c, v) in counts.items() for x in (F.count_if(c).alias(f"n{t}"), F.avg(F.when(c, v)).alias(f"l{t}"))])
+    value = {"U": -divergence(variant), "R": divergence(variant), "S": no_synergy(synergy_experts)}
+    count = {t: counts_for(t, limits[t]) for t in value}
+    one = rows.agg(*[x for t, v in value.items() for x in (F.count_if(count[t]).alias(f"n{t}"), F.avg(F.when(count[t], v)).alias(f"l{t}"))])
     weigh = lambda t: F.coalesce(F.col(f"l{t}"), F.lit(0.0)) * (weights or {}).get(t, 1.0)
-    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"n{t}").alias("n"), weigh(t).alias("loss")) for t in counts])))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"n{t}").alias("n"), weigh(t).alias("loss")) for t in value])))
 
 
 def weighted_mix(chosen: DataFrame, outputs: DataFrame, keys: Sequence[str]) -> DataFrame:

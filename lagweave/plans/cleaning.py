@@ -204,10 +204,12 @@ def semi_join_ids(spark, d):
     return J.keep_valid(table(spark, d, "orders").select("o_orderkey", "o_custkey"), good, "o_custkey")
 
 
-@query("WITH " + STAYS + ", held AS (SELECT user_id AS subject, count(*) AS notes FROM events WHERE event_type = 'error' AND event_id % 3 = 0 GROUP BY 1) SELECT stay_id, CAST(coalesce(notes, 0) AS BIGINT) AS notes, CAST(notes IS NULL AS BIGINT) AS missing FROM stays LEFT JOIN held USING (subject)")
+@query("WITH " + STAYS + ", held AS (SELECT stay_id, count(*) AS notes FROM stays JOIN events ON user_id = subject AND ts BETWEEN intime AND outtime WHERE event_type = 'error' GROUP BY 1) SELECT stay_id, CAST(coalesce(notes, 0) AS BIGINT) AS notes, CAST(notes IS NULL AS BIGINT) AS missing FROM stays LEFT JOIN held USING (stay_id)")
 def anti_join_missing(spark, d):
-    rows = table(spark, d, "events").where("event_type = 'error' and event_id % 3 = 0").groupBy(F.col("user_id").alias("subject")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    return J.with_missing_flag(stays(spark, d), rows, "subject", "ids").select("stay_id", F.size("ids").cast("long").alias("notes"), F.col("missing").cast("long").alias("missing"))
+    """Each stay's notes, and a flag where it has none: errors inside a stay stand for notes."""
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("user_id").alias("subject"), "ts")
+    held = J.interval_pairs(e, stays(spark, d), ["subject"], "ts", "intime", "outtime").groupBy("stay_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    return J.with_missing_flag(stays(spark, d), held, "stay_id", "ids").select("stay_id", F.size("ids").cast("long").alias("notes"), F.col("missing").cast("long").alias("missing"))
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id HAVING count(*) >= 65")

@@ -299,35 +299,41 @@ def token_pairs(spark, d):
 PAIRED = SOFT + ", day AS (SELECT user_id AS sample, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS modality, min(event_id) AS event_id FROM events GROUP BY ALL), pairs AS (SELECT a.sample, a.day, a.modality AS m1, b.modality AS m2, x.expert, x.p AS p1, z.p AS p2 FROM day a JOIN day b ON a.sample = b.sample AND a.day = b.day AND a.modality < b.modality JOIN soft x ON x.event_id = a.event_id JOIN soft z ON z.event_id = b.event_id AND z.expert = x.expert), jsd AS (SELECT sample, day, m1, m2, sum(p1 * ln(p1 / ((p1 + p2) / 2)) + p2 * ln(p2 / ((p1 + p2) / 2))) / 2 AS j, 1 - sum(p1 + p2) FILTER (expert IN (6, 7)) / 2 AS u FROM pairs GROUP BY ALL)"
 
 
-@query(PAIRED + " SELECT CAST(count(*) AS BIGINT) AS n, round(-avg(j), 6) AS loss FROM jsd WHERE m1 <> 'error' AND sample % 2 = 0")
+GATED = PAIRED + RUS + """, tn AS (SELECT cohort, lag, mod1 AS m, mi, u1 / mi AS u, r / mi AS r, s / mi AS s FROM t WHERE mi > 0), g AS (SELECT j.*, a.u AS ua, b.u AS ub, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.r, b.r) END AS r, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.s, b.s) END AS s
+FROM jsd j LEFT JOIN tn a ON a.cohort = j.sample % 8 AND a.lag = day(CAST(j.day AS DATE)) % 6 AND a.m = j.m1 LEFT JOIN tn b ON b.cohort = j.sample % 8 AND b.lag = day(CAST(j.day AS DATE)) % 6 AND b.m = j.m2)"""
+
+
+LIMITS = {"U": 0.22, "R": 0.2, "S": 0.2}
+
+
+def gated(spark, d):
+    """Pairs with the terms of their time: each modality's shares of a cohort stand for its timeline, a pair has the lesser ones."""
+    t = term_rows(spark, d).where("MI > 0").select("cohort", F.col("lag").alias("step"), F.col("mod1").alias("m"), (F.col("U1") / F.col("MI")).alias("u"), (F.col("R") / F.col("MI")).alias("r"), (F.col("S") / F.col("MI")).alias("s"))
+    one, two = (t.select("cohort", "step", F.col("m").alias(f"m{k}"), F.col("r").alias(f"r{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
+    shared = one.join(two, ["cohort", "step"]).where("m1 < m2").select("cohort", "step", "m1", "m2", F.least("r1", "r2").alias("r"), F.least("s1", "s2").alias("s"))
+    pairs = token_pairs(spark, d).withColumns({"cohort": F.col("sample") % 8, "step": F.dayofmonth(F.to_date("day")).cast("long") % 6})
+    return R.gate(pairs, t, shared, ["cohort", "step"])
+
+
+@query(GATED + " SELECT CAST(count(*) AS BIGINT) AS n, round(coalesce(-avg(j), 0), 6) AS loss FROM g WHERE ua > 0.22 AND ub > 0.22")
 def uniqueness_divergence(spark, d):
-    l = R.divergence_where(token_pairs(spark, d), (F.col("m1") != "error") & (F.col("sample") % 2 == 0), -1.0)
-    return l.select("n", F.round("loss", 6).alias("loss"))
+    return R.divergence_where(gated(spark, d), R.counts_for("U", LIMITS["U"]), -1.0).select("n", F.round("loss", 6).alias("loss"))
 
 
-@query(PAIRED + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(j), 6) AS loss FROM jsd WHERE sample % 2 = 1")
+@query(GATED + " SELECT CAST(count(*) AS BIGINT) AS n, round(coalesce(avg(j), 0), 6) AS loss FROM g WHERE r > 0.2")
 def redundancy_divergence(spark, d):
-    return R.divergence_where(token_pairs(spark, d), F.col("sample") % 2 == 1).select("n", F.round("loss", 6).alias("loss"))
+    return R.divergence_where(gated(spark, d), R.counts_for("R", LIMITS["R"])).select("n", F.round("loss", 6).alias("loss"))
 
 
-@query(PAIRED + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(u), 6) AS loss FROM jsd WHERE m2 <> 'view'")
+@query(GATED + " SELECT CAST(count(*) AS BIGINT) AS n, round(coalesce(avg(u), 0), 6) AS loss FROM g WHERE s > 0.2")
 def synergy_assignment(spark, d):
-    return R.synergy_assignment(token_pairs(spark, d), F.col("m2") != "view", [6, 7]).select("n", F.round("loss", 6).alias("loss"))
-
-
-GATED = PAIRED + RUS + """, tn AS (SELECT cohort, lag, mod1 AS m, mi, u1 / mi AS u, r / mi AS r, s / mi AS s FROM t WHERE mi > 0), g AS (SELECT j.*, a.u AS ua, b.u AS ub, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.r, b.r) END AS r, CASE WHEN a.mi > 0 AND b.mi > 0 THEN least(a.s, b.s) END AS s
-FROM jsd j LEFT JOIN tn a ON a.cohort = j.sample % 8 AND a.lag = day(CAST(j.day AS DATE)) % 6 AND a.m = j.m1 LEFT JOIN tn b ON b.cohort = j.sample % 8 AND b.lag = day(CAST(j.day AS DATE)) % 6 AND b.m = j.m2)"""
+    return R.synergy_assignment(gated(spark, d), R.counts_for("S", LIMITS["S"]), [6, 7]).select("n", F.round("loss", 6).alias("loss"))
 
 
 @query(GATED + " SELECT 'U' AS term, CAST(count(*) AS BIGINT) AS n, round(coalesce(-avg(j), 0), 6) AS loss FROM g WHERE ua > 0.22 AND ub > 0.22 UNION ALL SELECT 'R', CAST(count(*) AS BIGINT), round(coalesce(avg(j), 0), 6) FROM g WHERE r > 0.2 UNION ALL SELECT 'S', CAST(count(*) AS BIGINT), round(coalesce(avg(u), 0), 6) FROM g WHERE s > 0.2")
 def rus_gated_losses(spark, d):
-    """Routing losses of the pairs whose terms at that time are above a limit: each modality's shares of a cohort stand for its timeline, a pair has the lesser ones."""
-    t = term_rows(spark, d).where("MI > 0").select("cohort", F.col("lag").alias("step"), F.col("mod1").alias("m"), (F.col("U1") / F.col("MI")).alias("u"), (F.col("R") / F.col("MI")).alias("r"), (F.col("S") / F.col("MI")).alias("s"))
-    one, two = (t.select("cohort", "step", F.col("m").alias(f"m{k}"), F.col("r").alias(f"r{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
-    shared = one.join(two, ["cohort", "step"]).where("m1 < m2").select("cohort", "step", "m1", "m2", F.least("r1", "r2").alias("r"), F.least("s1", "s2").alias("s"))
-    pairs = token_pairs(spark, d).withColumns({"cohort": F.col("sample") % 8, "step": F.dayofmonth(F.to_date("day")).cast("long") % 6})
-    found = R.gated_losses(pairs, t, shared, ["cohort", "step"], {"U": 0.22, "R": 0.2, "S": 0.2}, [6, 7])
-    return found.select("term", "n", F.round("loss", 6).alias("loss"))
+    """The three losses in one pass over the pairs."""
+    return R.gated_losses(gated(spark, d), LIMITS, [6, 7]).select("term", "n", F.round("loss", 6).alias("loss"))
 
 
 @query(TOP + ", w AS (SELECT event_id, expert, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY event_id) AS weight FROM top WHERE r <= 2), o AS (SELECT vec_id AS expert, unnest(range(1, 9)) AS p, unnest(embedding[1:8]) AS v FROM embeddings WHERE vec_id < 8) SELECT event_id, CAST(p - 1 AS BIGINT) AS pos, round(sum(weight * CAST(v AS DOUBLE)), 6) AS v FROM w JOIN o USING (expert) GROUP BY ALL")

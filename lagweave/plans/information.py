@@ -446,6 +446,43 @@ def mi_q(spark, d):
     return q.agg((F.sum(F.col("i_q") * F.col("rows")) / F.sum("rows") / math.log(2)).alias("iq"))
 
 
+COARSER = (
+    STATES
+    + ", c AS (SELECT subject % 8 AS cohort, b1, CAST(floor(b1 / 2) AS BIGINT) AS b2, y AS yb, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT cohort, b2, yb, sum(n) AS n FROM c GROUP BY ALL), k AS (SELECT cohort, yb, sum(n) AS n FROM c GROUP BY ALL)"
+    + ", cells AS (SELECT cohort, c.b1, m.b2, yb, CAST(c.n AS DOUBLE) * m.n / k.n AS n FROM c JOIN m USING (cohort, yb) JOIN k USING (cohort, yb)), "
+    + ", ".join(f"{i} AS {mi_sql(b, 'yb', 'cells', 'cohort')}" for i, b in (("i1", "b1"), ("i2", "b2"), ("i12", "b1, b2")))
+)
+
+
+@query(COARSER + ' SELECT cohort, round(i2.mi, 5) AS "R", round(i1.mi - i2.mi, 5) AS "U1", 0.0::DOUBLE AS "U2", round(i12.mi - i1.mi, 5) AS "S" FROM i1 JOIN i2 USING (cohort) JOIN i12 USING (cohort)')
+def pid_coarser(spark, d):
+    """All four terms where they are known: the second input has the margins of a coarser view of the first, but is paired
+    with it at random within a class. What it tells the first tells too, so nothing is unique to it, and the pairing alone is synergy."""
+    s = states(spark, d).select((F.col("subject") % 8).alias("cohort"), "b1", F.floor(F.col("b1") / 2).cast("long").alias("b2"), F.col("y").alias("yb"))
+    one = s.groupBy("cohort", "b1", "b2", "yb").agg(F.count("*").cast("double").alias("n1"))
+    two, of = one.groupBy("cohort", "b2", "yb").agg(F.sum("n1").alias("n2")), one.groupBy("cohort", "yb").agg(F.sum("n1").alias("n"))
+    cells = one.drop("b2").join(two, ["cohort", "yb"]).join(of, ["cohort", "yb"]).select("cohort", "b1", "b2", "yb", (F.col("n1") * F.col("n2") / F.col("n")).alias("n"))
+    t = I.pid(cells, ["cohort"])
+    return t.select("cohort", *[(F.round(c, 5) + 0.0).alias(c) for c in ("R", "U1", "U2", "S")])
+
+
+DEALT = STATES.replace("SELECT subject, i, y, ", "SELECT event_id, subject, i, y, ") + (
+    ", c AS (SELECT b1, y, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT g.b1, k, (coalesce(n, 0) + 1e-8) / (sum(coalesce(n, 0)) OVER (PARTITION BY g.b1) + 5e-8) AS p FROM (SELECT DISTINCT b1 FROM s) g JOIN range(0, 5) r(k) ON true LEFT JOIN c ON c.b1 = g.b1 AND c.y = k)"
+    ", o AS (SELECT b1, CAST((row_number() OVER (ORDER BY md5(concat('1:', CAST(event_id AS VARCHAR))), event_id) - 1) // 64 AS BIGINT) AS batch_id FROM s)"
+    ", w AS (SELECT batch_id, p, avg(p) OVER (PARTITION BY batch_id, k) AS a, count(*) OVER (PARTITION BY batch_id) / 5 AS size FROM o JOIN p USING (b1))"
+)
+
+
+@query(DEALT + " SELECT batch_id, CAST(any_value(size) AS BIGINT) AS rows, round(sum(p * ln(p / a)) / any_value(size), 5) AS iq FROM w GROUP BY batch_id")
+def mi_q_coarser(spark, d):
+    """Each minibatch's least information where it is known: the second posteriors are means of the first ones over two bins, so it is the first input's own."""
+    from pyspark.sql import Window
+
+    pair = Window.partitionBy("batch_id", F.floor(F.col("b1") / 2))
+    coarse = F.array(*[F.avg(F.get("p1", F.lit(k))).over(pair) for k in range(CLASSES)])
+    return L.batch_couplings(batches(spark, d).withColumn("p2", coarse), [], stop=1e-10).select("batch_id", "rows", F.round("i_q", 5).alias("iq"))
+
+
 @query("WITH z AS (SELECT 1)" + RUS + ", c AS (SELECT cohort, mod1, lag, r AS i1, u1 AS i2, r + u1 + s AS i12, greatest(r, u1) AS iq FROM t) SELECT cohort, mod1, lag, round(greatest(0, i1 + i2 - iq), 6) AS \"R\", round(greatest(0, iq - i2), 6) AS \"U1\", round(greatest(0, iq - i1), 6) AS \"U2\", round(greatest(0, i12 - iq), 6) AS \"S\" FROM c")
 def decompose_learned(spark, d):
     c = term_rows(spark, d).select("cohort", "mod1", "lag", F.col("R").alias("i1"), F.col("U1").alias("i2"), (F.col("R") + F.col("U1") + F.col("S")).alias("i12"), F.greatest("R", "U1").alias("iq"))

@@ -8,6 +8,7 @@ from lagweave.functions import arrays as A
 from lagweave.functions.text import chunk_lines as chunks
 from lagweave.operators import aggregate as G
 from lagweave.operators import clean as C
+from lagweave.operators import joins as J
 from lagweave.operators import ranges as R
 from lagweave.operators import sampling as P
 from lagweave.operators import series as S
@@ -294,20 +295,26 @@ def topk_routing(spark, d):
     return routing(spark, d).select("event_id", F.inline(P.topk(F.col("logits"), 2))).select("event_id", "expert", F.round("weight", 6).alias("weight"))
 
 
-KINDS = "WITH kinds AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0)"
+KINDS = "WITH " + STAYS + ", kinds AS (SELECT DISTINCT stay_id, event_type FROM stays JOIN events ON user_id = subject AND ts BETWEEN intime AND outtime)"
 
 
-@query(KINDS + " SELECT user_id FROM kinds WHERE event_type = 'error' INTERSECT SELECT user_id FROM kinds WHERE event_type = 'signup' INTERSECT SELECT user_id FROM kinds WHERE event_type = 'view'")
+def stay_kinds(spark, d):
+    """stay_id and event_type of what falls into each stay, ends included: the modalities that a stay has."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("subject"), "event_type", "ts")
+    return J.interval_pairs(e, stays(spark, d), ["subject"], "ts", "intime", "outtime").select("stay_id", "event_type").distinct()
+
+
+@query(KINDS + " SELECT stay_id FROM kinds WHERE event_type = 'error' INTERSECT SELECT stay_id FROM kinds WHERE event_type = 'click' INTERSECT SELECT stay_id FROM kinds WHERE event_type = 'view'")
 def intersect_stays(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 = 0")
-    one = lambda k: e.where(F.col("event_type") == k).select("user_id")
-    return one("error").intersect(one("signup")).intersect(one("view"))
+    k = stay_kinds(spark, d)
+    one = lambda kind: k.where(F.col("event_type") == kind).select("stay_id")
+    return one("error").intersect(one("click")).intersect(one("view"))
 
 
-@query(KINDS + " SELECT DISTINCT user_id FROM kinds WHERE event_type IN ('error', 'signup')")
+@query(KINDS + " SELECT DISTINCT stay_id FROM kinds WHERE event_type IN ('error', 'purchase')")
 def union_stays(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 = 0")
-    return e.where("event_type = 'error'").select("user_id").union(e.where("event_type = 'signup'").select("user_id")).distinct()
+    k = stay_kinds(spark, d)
+    return k.where("event_type = 'error'").select("stay_id").union(k.where("event_type = 'purchase'").select("stay_id")).distinct()
 
 
 @query("SELECT event_id, value, NULL::VARCHAR AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, NULL, event_type FROM events WHERE event_type <> 'view'")

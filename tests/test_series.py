@@ -1,11 +1,14 @@
 """Time-series, join, sampling and text operators on small fixtures."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.dates import compose_datetime
 from lagweave.functions.text import chunk_lines
-from lagweave.operators import aggregate, clean, cohort, joins, metrics, ranges, sampling, series
+from lagweave.operators import aggregate, clean, cohort, joins, metrics, ranges, routing, sampling, series
 from lagweave.sources import readers
 
 
@@ -70,6 +73,25 @@ def test_chunks(spark):
     assert got == [[("a b c d", 4), ("e", 1)], [("a b c d e f", 6)], [], [], None, [("a b c d", 4), ("e", 1)]]
 
 
+def test_chunks_in_any_blocks(spark):
+    """Blocks of chunks, full ones, a part and none, give the chunks of one pass in Python."""
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 6))) for _ in range(n)) for n in (0, 1, 2, 3, 9, 40, 200)]
+
+    def plain(text):
+        out, held = [], []
+        for line in (x for x in text.split("\n") if x.split()):
+            if held and len(" ".join([*held, line]).split()) > 5:
+                out, held = [*out, " ".join(held)], []
+            held.append(line)
+        return [*out, " ".join(held)] if held else out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for block in (1, 2, 3, 256):
+        got = df.select(chunk_lines(F.col("t"), 5, block=block).alias("c"), "k").orderBy("k").collect()
+        assert [[c["chunk"] for c in r["c"]] for r in got] == [plain(t) for t in texts], block
+
+
 def test_ranked_is_the_whole_order(spark):
     got = sampling.ranked(spark.range(500), "id", 3).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(500))
@@ -184,3 +206,19 @@ def test_ranges_of_one_long_series(spark, block):
     assert same(series.interpolate_linear(whole, ["s"], "i", ["x"]), ranges.interpolate_linear(whole, ["s"], "i", ["x"], block))
     plan = ranges.lag_align(whole, ["s"], ["x"], "y", 12, block)._jdf.queryExecution().executedPlan().toString()
     assert "_range" in plan and "NestedLoop" not in plan
+
+
+def test_gated_losses(spark):
+    """Three pairs at two times by hand: one that counts for all terms, one with one modality's share too low, one without terms."""
+    p, q = [0.5, 0.25, 0.25], [0.25, 0.25, 0.5]
+    pairs = spark.createDataFrame([(0, "a", "b", p, q), (0, "a", "c", p, p), (1, "a", "b", p, q)], "step int, m1 string, m2 string, p1 array<double>, p2 array<double>")
+    unique = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.4), (0, "c", 0.1)], "step int, m string, u double")
+    shared = spark.createDataFrame([(0, "a", "b", 0.3, 0.3), (0, "a", "c", 0.3, 0.1)], "step int, m1 string, m2 string, r double, s double")
+    rows = routing.gate(pairs, unique, shared, ["step"])
+    far = 0.5 * math.log(0.5 / 0.375) + 0.25 * math.log(0.25 / 0.375)  # both halves of the divergence are equal here
+    got = {r["term"]: (r["n"], r["loss"]) for r in routing.gated_losses(rows, {"U": 0.2, "R": 0.2, "S": 0.2}, [2], {"S": 2.0}).collect()}
+    assert got["U"] == (1, pytest.approx(-far)) and got["R"] == (2, pytest.approx(far / 2)) and got["S"] == (1, pytest.approx(2 * (1 - 0.375)))
+    one = routing.divergence_where(rows, routing.counts_for("U", 0.2), -1.0).first()
+    assert (one["n"], one["loss"]) == (1, pytest.approx(-far))
+    none = routing.divergence_where(rows, routing.counts_for("R", 0.9)).first()
+    assert (none["n"], none["loss"]) == (0, 0.0)
