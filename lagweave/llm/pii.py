@@ -400,7 +400,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
-    """The documents with their personal data replaced, all columns, whatever their names; n_chars, where there is one, follows.
+    """The documents with their personal data replaced, all columns, whatever their names; n_chars, where there is one, is the new text's length, null for a null text.
 
     Null and empty texts stay as they are, repeated rows come out each; an empty table gives no rows.
     """

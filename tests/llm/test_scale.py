@@ -36,6 +36,20 @@ def test_clashing_columns(spark):
     assert packing.pack(docs, public_tokenizers.path(WORD)).count() == len(rows)
 
 
+def test_clashing_columns_of_vectors_and_pages(spark):
+    """Extra columns with the names that the searches and the archives use themselves change nothing."""
+    rows = [(k, [float(k % 7), float(k % 5), float(k // 7 + 1)]) for k in range(60)]
+    names = ["shard", "width", "block", "path", "query_id", "score", "rank", "e", "x"]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with_more = vectors.select("*", *[F.lit(c).alias(c) for c in names])
+    found = [sorted(map(tuple, ann.nearest(v, v.where("vec_id % 10 = 0"), 3, shard=20, block=4).collect())) for v in (vectors, with_more)]
+    assert found[0] == found[1] and len(found[0]) == 18
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "z" * (900 + 100 * (k % 3))) for k in range(12)] + [(None, None, None)], "page_id long, url string, html string")
+    more = pages.select("*", *[F.lit(c).alias(c) for c in ("digest", "bytes", "payload_digest", "refers_to", "record_type", "n", "last", "file", "offset", "length")])
+    kept = [sorted(map(tuple, warc.archive(spark, p).collect()), key=repr) for p in (pages, more)]
+    assert kept[0] == kept[1] and len(kept[0]) == 13
+
+
 @pytest.fixture
 def small_parts(spark):
     """Spark would otherwise put the small parts of a test together."""
