@@ -290,3 +290,12 @@ def test_reduced_states(spark):
     assert h.agg(F.countDistinct("b2")).first()[0] > 3  # one number isn't clustered, but binned
     with pytest.raises(ValueError):
         learned.reduction(5, "other")
+
+
+def test_no_minibatch_tells_more_than_its_start():
+    """Posteriors that tell next to nothing: the start is the least within rounding, and a step must not be kept for less than that."""
+    rng = np.random.default_rng(0)
+    one, two = rng.dirichlet(np.full(5, 200), 4), rng.dirichlet(np.full(5, 2000), 4)
+    joints = [learned.batch_joint(one[rng.choice(4, 64, p=(0.9, 0.08, 0.015, 0.005))], two[rng.integers(4, size=64)]) for _ in range(600)]
+    found = learned.solved(joints)
+    assert (found["i_q"] <= found["i_start"]).all() and found["gap"].max() < 1e-7 and found["off"].max() < 1e-12
