@@ -299,3 +299,31 @@ def test_no_minibatch_tells_more_than_its_start():
     joints = [learned.batch_joint(one[rng.choice(4, 64, p=(0.9, 0.08, 0.015, 0.005))], two[rng.integers(4, size=64)]) for _ in range(600)]
     found = learned.solved(joints)
     assert (found["i_q"] <= found["i_start"]).all() and found["gap"].max() < 1e-7 and found["off"].max() < 1e-12
+
+
+def test_pooled_counts_leave_the_series_out_of_the_shuffle(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, k, float(rng.normal()), float(rng.integers(9)), int(rng.integers(3))) for s in range(6) for k in range(30)]
+    s = frame(spark, rows).withColumn("cohort", F.col("subject") % 2)
+    h = info.joint_hist_multilag(s, ["cohort", "subject"], [("x1", "x2")], "y", 3, 4, by=["cohort"])
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    want = info.joint_hist_multilag(s, ["cohort", "subject"], [("x1", "x2")], "y", 3, 4).groupBy(*h.columns[:-1]).agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, h.collect())) == sorted(map(tuple, want.collect()))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "mod1" in line]
+    assert "Join" not in plan and len(dealt) == 1 and "subject" not in dealt[0], plan
+
+
+def test_ranks_and_edges_of_series_need_no_join(spark):
+    s = frame(spark, [(1, k, float(k % 3), None if k == 4 else float(k % 2), k % 2) for k in range(9)])
+    for df in (info.joint_hist_multilag(s, ["subject"], [("x1", "x2")], "y", 2, 4, "auto"), info.transfer_entropies(s, ["subject"], [("x1", "x2")], [1, 2])):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    h = info.joint_hist_multilag(s, ["subject"], [("x1", "x2")], "y", 0, 4, "auto")
+    assert {r["b2"] for r in h.collect()} == {0, 1} and h.agg(F.sum("n")).first()[0] == 8
+
+
+def test_parts_follow_the_rows(spark):
+    df = spark.range(1000).withColumn("subject", F.col("id") % 200)
+    assert series.spread(df, ["subject"], 1000, 100).rdd.getNumPartitions() == 10
+    assert series.spread(df, ["subject"], 1000, 10_000) is df
+    many = spark.range(100_000).select((F.col("id") % 50_000).alias("g"), (F.col("id") % 2).alias("b1"), F.lit(0).alias("b2"), (F.col("id") % 3).alias("yb"), F.lit(1).alias("n"))
+    assert info.gathered(many, ["g"]).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
