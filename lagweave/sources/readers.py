@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lagweave.operators.clean import SENSOR_COLUMNS
 
@@ -55,16 +56,25 @@ def write_assets(rows: DataFrame, path: str, content: str, root: str) -> int:
     return rows.select(path, F.col(content).cast("binary").alias(content)).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+#: Values that an encoder is given at once.
+BATCH = 256
+
+
 def batch_map(df: DataFrame, column: str, to: str, load: Callable[[], Callable[[list], list]], kind: str = "array<double>") -> DataFrame:
-    """A batched encoder over a column. `load` runs once a task and returns the encoder of a list of values."""
+    """A batched encoder over a column. `load` runs once a task and returns the encoder of a list of values, which gets `BATCH` at a time.
+
+    The other columns stay Arrow buffers, and only the values of one such list are Python objects.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(to, T._parse_datatype_string(kind))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = load()
-        for frame in frames:
-            yield frame.assign(**{to: encode(frame[column].tolist())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, coded = load(), to_arrow_type(schema[to].dataType)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield part.append_column(to, pa.array(encode(part.column(column).to_pylist()), coded))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def hashing_encoder(size: int = 8) -> Callable[[], Callable[[list], list]]:

@@ -222,3 +222,24 @@ def test_gated_losses(spark):
     assert (one["n"], one["loss"]) == (1, pytest.approx(-far))
     none = routing.divergence_where(rows, routing.counts_for("R", 0.9)).first()
     assert (none["n"], none["loss"]) == (0, 0.0)
+
+
+def test_long_tables_are_imputed_in_more_parts(spark, monkeypatch):
+    """Parts follow the steps, not the session's number of parts; the values don't change."""
+    rows = spark.range(600).select((F.col("id") % 60).alias("k"), ((F.col("id") * 7) % 40).cast("double").alias("at"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("v"))
+    want = sorted(map(tuple, series.impute(rows, ["k"], "at", ["v"]).collect()))
+    dealt = series.spread
+    monkeypatch.setattr(series, "spread", lambda df, keys, n: dealt(df, keys, n, 100))
+    got = series.impute(rows, ["k"], "at", ["v"])
+    assert got.rdd.getNumPartitions() > 4 and sorted(map(tuple, got.collect())) == want
+
+
+def test_an_encoder_gets_short_lists(spark):
+    def load():
+        def encode(values):
+            return [[float(len(values)), float(len(v or ""))] for v in values]
+
+        return encode
+
+    rows = readers.batch_map(spark.range(700).repartition(1).select("id", F.when(F.col("id") != 3, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("t")), "t", "v", load).collect()
+    assert max(r["v"][0] for r in rows) == readers.BATCH and all(r["v"][1] == len(r["t"] or "") for r in rows) and len(rows) == 700
