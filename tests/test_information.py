@@ -327,3 +327,22 @@ def test_parts_follow_the_rows(spark):
     assert series.spread(df, ["subject"], 1000, 10_000) is df
     many = spark.range(100_000).select((F.col("id") % 50_000).alias("g"), (F.col("id") % 2).alias("b1"), F.lit(0).alias("b2"), (F.col("id") % 3).alias("yb"), F.lit(1).alias("n"))
     assert info.gathered(many, ["g"]).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_scores_come_in_blocks():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(700, 8)), rng.integers(0, 3, 700)
+    model = posterior.fit(x, y, 3, 1, 32, 2)
+    model.weights = rng.normal(size=model.weights.shape)
+    assert np.abs(model.predict(x) - posterior.softmax(model.features(x) @ model.weights)).max() < 1e-12
+
+
+def test_equal_inputs_are_scored_once():
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 3, (500, 2)).astype(float), rng.integers(0, 4, 500)
+    one, counts = resampled.weighed(x, y, 4)
+    assert len(one) == 9 and counts.sum() == 500
+    for row, c in zip(one, counts, strict=True):
+        assert (np.bincount(y[(x == row).all(1)], minlength=4) == c).all()
+    z = rng.normal(size=(50, 2))
+    assert resampled.weighed(z, y[:50], 4)[0] is z
