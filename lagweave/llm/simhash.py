@@ -138,13 +138,14 @@ def links(groups: DataFrame, bits: int = MOST_BITS) -> DataFrame:
 
     Cells with one fingerprint go first, after a count. A cell with more than BLOCK is compared as pairs of
     blocks, each in its own task; links leave a task as a spanning set, never as all pairs of a group.
+    The keys are never broadcast: Spark takes them for as small as the fingerprints that they are made of.
     """
     if not 0 <= bits <= MOST_BITS:
         raise ValueError(f"bits must be 0 to {MOST_BITS}")
     keys = grid_keys(groups.repartition(max(1, -(-groups.count() // SPREAD))))
     full = keys.groupBy("cell").agg(F.count("*").alias("n"), F.min("step").alias("least")).where("n > 1 and least = 0")
     blocks = full.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = keys.join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = keys.hint("merge").join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     dealt = met.select("cell", "step", "fp", F.explode(pairs).alias("p")).select("cell", "p.i", "p.j", "step", "fp")
     dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "step")

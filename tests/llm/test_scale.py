@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lagweave.llm import ann, bpe, classifier, mixing, packing, pii, rules, simhash, token_files, warc, wordpiece
-from lagweave.llm.common import in_slices, lookup, new_path, one_task_each
+from lagweave.llm.common import in_slices, lookup, new_path, one_task_each, written
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -50,6 +50,20 @@ def test_clashing_columns_of_vectors_and_pages(spark):
     assert kept[0] == kept[1] and len(kept[0]) == 13
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """26 keys a fingerprint are more than Spark takes them for, which is the fingerprints' own size."""
+    rng = random.Random(5)
+    groups = written(spark.createDataFrame([(rng.getrandbits(63),) for _ in range(3000)], "fp long"), "groups")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # above the fingerprints, below the counts of their cells
+    try:
+        found = simhash.links(groups)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.fixture
 def small_parts(spark):
     """Spark would otherwise put the small parts of a test together."""
