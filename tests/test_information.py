@@ -1,12 +1,15 @@
 """Decompositions with known results, invariants and edge cases."""
 
+import pickle
+from functools import reduce
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lagweave.operators import coupling, info, learned, posterior, resampled, series
+from lagweave.operators import coupling, info, learned, posterior, resampled, series, whole
 from lagweave.plans import registry
 from lagweave.sources.synthetic import causal_series
 
@@ -210,6 +213,60 @@ def test_synergy_of_a_nonlinear_label(spark):
     assert resampled.temporal_batch(labelled(spark, 6000, lambda a, b: rng.integers(2)), ["who"], "k", [("a", "b")], "y", [0], 2, resamples=2).first()["MI"] < 0.05
 
 
+def all_models(spark, monkeypatch, rows, lags, **options):
+    """The fitted rows and the models, by what was fitted, of three modalities' posteriors."""
+    kept, real = [], resampled.scored
+    monkeypatch.setattr(resampled, "scored", lambda base, models, *more: kept.append((base, models)) or real(base, models, *more))
+    got = resampled.temporal_batch(rows, ["who"], "k", [("a", "b"), ("a", "c")], "y", lags, 2, **options).collect()
+    base, models = kept[0]
+    return got, base.where("_train").toPandas(), {(r["_fit"], r.asDict().get("lag")): pickle.loads(r["model"]) for r in models.collect()}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_fits_see_all_training_rows(spark, monkeypatch, few):
+    """Standardised by all rows and at the least of all rows' loss, whether or not the models are broadcast; a sample's model is neither."""
+    monkeypatch.setattr(whole, "BROADCAST", whole.BROADCAST if few else 0)
+    monkeypatch.setattr(resampled, "PACK", 200)
+    rng = np.random.default_rng(3)
+    got, train, models = all_models(spark, monkeypatch, labelled(spark, 6000, lambda a, b: a + b + rng.normal() > 0), [0, 1])
+    assert len(got) == 4 and {r["train_rows"] for r in got} == {4800, 4797} and len(models) == 2 * 5
+    for (f, lag), (model, states) in models.items():
+        names = resampled.fits_of([("a", "b"), ("a", "c")])[f]
+        there, x = resampled.inputs(train[train["lag"] == lag], names)
+        y = train[train["lag"] == lag]["y"].to_numpy()[there]
+        raw, w = model.features(x)[:, 1:], model.weights[1:]
+        assert np.abs(model.mean - x.mean(0)).max() < 1e-12 and np.abs(model.scale * x.std(0) - 1).max() < 1e-9
+        slope = (raw - raw.mean(0)).T @ (model.predict(x) - np.eye(2)[y]) / len(x) + (model.ridge * w if w.any() else 0)
+        assert not w.any() or np.abs(slope).max() < 1e-3
+        assert (states is None) == (len(names) == 2) and (states is None or posterior.divergences(model.predict(x), states).min(1).mean() < 1e-3)
+    assert sum(m.weights[1:].any() for m, _ in models.values()) >= 5
+
+
+def test_whole_fits_by_blocks_and_weights():
+    """Blocks add up, whatever their number, and a row of weight 2 is two rows; a modality without rows in a block is no hindrance."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 2))
+    y, share, held = np.digitize(x[:, 0] * x[:, 1], [-0.3, 0.3]), rng.integers(1, 3, 3000), rng.random(3000) < 0.2
+
+    def model(parts, times):
+        i = np.repeat(np.arange(3000), share if times else 1)
+        blocks = [({"a": np.ones(len(k), bool)}, {"a": x[k]}, np.zeros((len(k), 0)), y[k], (np.ones(len(k)) if times else share[k].astype(float)), held[k]) for k in np.array_split(i, parts)]
+        blocks.append(({"a": np.zeros(1, bool)}, {"a": None}, np.zeros((1, 0)), y[:1], np.ones(1), held[:1]))
+        fit = whole.Fit(True, 3, 1, 96, 0)
+        while fit.kind:
+            sums = [whole.asked_of(b, ("a",), 3, *fit.asks()) for b in blocks]
+            fit.take(reduce(lambda a, b: whole.added(fit.kind, a, b), [s for s in sums if s is not None]))
+        return fit
+
+    one, many, twice = model(1, False), model(7, False), model(3, True)
+    p = one.model.predict(x)
+    assert np.abs(many.model.predict(x) - p).max() < 1e-3 and np.abs(twice.model.predict(x) - p).max() < 1e-3
+    assert np.isfinite(one.model.ridge) and (p.argmax(1) == y).mean() > 0.9 and 3 < len(one.states) <= posterior.STATES
+    cells = whole.cells_of(p, share.astype(float), 8)
+    halves = whole.added("states", whole.cells_of(p[:1000], share[:1000].astype(float), 8), whole.cells_of(p[1000:], share[1000:].astype(float), 16))
+    assert (cells[0] == halves[0]).all() and np.allclose(cells[1], halves[1]) and abs(cells[1][:, -1].sum() - share.sum()) < 1e-6
+
+
 def test_posteriors_by_themselves():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(2000, 2))
