@@ -303,6 +303,19 @@ def test_one_model_for_all_lags_finds_the_planted_one(spark):
     assert min(got, key=lambda k: got[k]["loss"]) in (1, 2) and got[1]["i1"] > 3 * got[4]["i1"]
 
 
+def test_one_model_for_all_lags_sees_all_rows_by_weight(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    weights = [0.6, 0.3, 0.1]
+    got, train, models = all_models(spark, monkeypatch, labelled(spark, 3000, lambda a, b: a + b + rng.normal() > 0), [0, 1, 2], weights=weights)
+    assert len(got) == 6 and len(models) == 5
+    for (f, _), (model, _) in models.items():
+        names = resampled.fits_of([("a", "b"), ("a", "c")])[f]
+        means = [[np.stack(train[m][train[m].notna() & (train["lag"] == k)].to_numpy()).mean(0) for m in names] for k in range(3)]
+        if "c" not in names:  # whose rows are as many at each lag
+            assert np.abs(model.mean[: len(names)] - np.average([np.concatenate(m) for m in means], axis=0, weights=weights)).max() < 1e-12
+            assert np.abs(model.mean[len(names) :] - weights).max() < 1e-12
+
+
 def test_fit_posterior(spark):
     df = labelled(spark, 2000, lambda a, b: (a > 0) ^ (b > 0)).withColumn("f", F.concat("a", "b"))
     train = F.col("i") < 400
